@@ -57,9 +57,13 @@ def grouped_scan(df: DataFrame, group_cols, order_cols, aggs: dict, n_partitions
         fn = F.count if kind == "count" else _CHUNK_AGG[kind]
         local = local.withColumn(f"__local_{name}", fn(value).over(w_local))
 
-    totals = local.groupBy(*chunk).agg(
-        *[_CHUNK_AGG[kind](F.col(f"__local_{name}")).alias(f"__tot_{name}")
-          for name, (kind, _) in aggs.items()])
+    def _total(kind, col):
+        if kind == "count":
+            return F.count(F.lit(1))
+        return _CHUNK_AGG[kind](F.col(col) if isinstance(col, str) else col)
+
+    totals = ranged.groupBy(*chunk).agg(
+        *[_total(kind, col).alias(f"__tot_{name}") for name, (kind, col) in aggs.items()])
     if group_cols:
         w_prev = Window.partitionBy(*group_cols).orderBy("__pid")
     else:

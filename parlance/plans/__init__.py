@@ -2,6 +2,7 @@
 
 from parlance.plans import registry  # noqa: F401
 from parlance.plans import turn_plans  # noqa: F401
+from parlance.plans import corpus_plans  # noqa: F401
 from parlance.plans.registry import REGISTRY
 
 
