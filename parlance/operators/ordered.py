@@ -12,6 +12,9 @@ the same running count / sum / max / min exactly, in three steps:
 3. join the carries (only chunks with an earlier chunk, so at most one per
    partition: a bounded broadcast) and combine.
 
+The range-partitioned rows are checkpointed once, so both uses see the same
+partition ids.
+
 With no group columns it is a global running scan (e.g. a positional index).
 """
 
@@ -21,6 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from parlance.session import checkpoint_root
+
 _COMBINE = {
     "count": lambda local, carry: local + F.coalesce(carry, F.lit(0)),
     "sum": lambda local, carry: local + F.coalesce(carry, F.lit(0)),
@@ -47,7 +52,11 @@ def grouped_scan(df: DataFrame, group_cols, order_cols, aggs: dict, n_partitions
     order_exprs = [F.col(c) if isinstance(c, str) else c for c in order_cols]
     keys = [F.col(g) for g in group_cols] + order_exprs
     n = _partitions(df, n_partitions)
-    ranged = df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id())
+    # Range bounds come from a sample seeded by the RDD id, so two evaluations
+    # may cut differently: materialise the partition ids once (a reliable
+    # checkpoint in the shared folder, which also survives executor loss).
+    checkpoint_root(df.sparkSession)
+    ranged = df.repartitionByRange(n, *keys).withColumn("__pid", F.spark_partition_id()).checkpoint(eager=True)
 
     chunk = ["__pid"] + group_cols
     w_local = Window.partitionBy(*chunk).orderBy(*order_exprs).rowsBetween(Window.unboundedPreceding, 0)
