@@ -27,15 +27,17 @@ def confusion(df: DataFrame, y: str, p: str, dense: bool = True) -> DataFrame:
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint")))
 
 
-def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
-    """(class, tp, support, predicted, precision, recall, f1); 0 where undefined."""
-    c = confusion(df, y, p, dense=False)
-    sup = c.groupBy(F.col("actual").alias("class")).agg(F.sum("count").alias("support"))
-    pred = c.groupBy(F.col("predicted").alias("class")).agg(F.sum("count").alias("n_pred"))
-    tp = c.where(F.col("actual") == F.col("predicted")).select(F.col("actual").alias("class"),
+def per_class(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
+    """(by..., class, tp, support, n_pred, precision, recall, f1); 0 where undefined."""
+    by = list(by or [])
+    c = df.groupBy(*by, F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
+    sup = c.groupBy(*by, F.col("actual").alias("class")).agg(F.sum("count").alias("support"))
+    pred = c.groupBy(*by, F.col("predicted").alias("class")).agg(F.sum("count").alias("n_pred"))
+    tp = c.where(F.col("actual") == F.col("predicted")).select(*by, F.col("actual").alias("class"),
                                                                F.col("count").alias("tp"))
-    j = sup.join(pred, "class", "full").join(tp, "class", "left")
-    j = j.select("class", *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k) for k in ("tp", "support", "n_pred")])
+    keys = by + ["class"]
+    j = sup.join(pred, keys, "full").join(tp, keys, "left")
+    j = j.select(*keys, *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k) for k in ("tp", "support", "n_pred")])
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     j = j.withColumn("precision", prec).withColumn("recall", rec)
@@ -44,14 +46,16 @@ def per_class(df: DataFrame, y: str, p: str) -> DataFrame:
     return j.withColumn("f1", f1)
 
 
-def summary(df: DataFrame, y: str, p: str) -> DataFrame:
-    """One row: accuracy and support-weighted precision / recall / F1."""
-    pc = per_class(df, y, p)
-    w = pc.agg(F.sum("support").alias("n"), F.sum("tp").alias("correct"),
-               F.sum(F.col("precision") * F.col("support")).alias("wp"),
-               F.sum(F.col("recall") * F.col("support")).alias("wr"),
-               F.sum(F.col("f1") * F.col("support")).alias("wf"))
-    return w.select((F.col("correct") / F.col("n")).alias("accuracy"),
+def summary(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
+    """Per group: accuracy and support-weighted precision / recall / F1."""
+    by = list(by or [])
+    pc = per_class(df, y, p, by)
+    g = pc.groupBy(*by) if by else pc
+    w = g.agg(F.sum("support").alias("n"), F.sum("tp").alias("correct"),
+              F.sum(F.col("precision") * F.col("support")).alias("wp"),
+              F.sum(F.col("recall") * F.col("support")).alias("wr"),
+              F.sum(F.col("f1") * F.col("support")).alias("wf"))
+    return w.select(*by, (F.col("correct") / F.col("n")).alias("accuracy"),
                     (F.col("wp") / F.col("n")).alias("precision"),
                     (F.col("wr") / F.col("n")).alias("recall"),
                     (F.col("wf") / F.col("n")).alias("f1"))

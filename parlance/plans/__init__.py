@@ -5,6 +5,7 @@ from parlance.plans import turn_plans  # noqa: F401
 from parlance.plans import corpus_plans  # noqa: F401
 from parlance.plans import feature_plans  # noqa: F401
 from parlance.plans import log_plans  # noqa: F401
+from parlance.plans import eval_plans  # noqa: F401
 from parlance.plans.registry import REGISTRY
 
 
