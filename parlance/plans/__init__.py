@@ -7,6 +7,7 @@ from parlance.plans import feature_plans  # noqa: F401
 from parlance.plans import log_plans  # noqa: F401
 from parlance.plans import eval_plans  # noqa: F401
 from parlance.plans import model_plans  # noqa: F401
+from parlance.plans import stream_plans  # noqa: F401
 from parlance.plans.registry import REGISTRY
 
 
