@@ -13,7 +13,7 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def rating_to_sentiment(df: DataFrame, col: str, out: str = "sentiment") -> DataFrame:
+def rating_to_sentiment(df: DataFrame, col: str, out: str = "sentiment", max_from: DataFrame | None = None) -> DataFrame:
     """Map a rating / label column to a sentiment name.
 
     Numeric column: if its maximum is >= 4, ratings >= 4 are positive, <= 2
@@ -24,7 +24,7 @@ def rating_to_sentiment(df: DataFrame, col: str, out: str = "sentiment") -> Data
     dtype = dict(df.dtypes)[col]
     if dtype in ("string",):
         return df.withColumn(out, F.lower(F.col(col)))
-    mx = df.agg(F.max(col).alias("__label_max"))
+    mx = (max_from if max_from is not None else df).agg(F.max(col).alias("__label_max"))
     x = F.col(col)
     mapped = (F.when(F.col("__label_max") >= 4,
                      F.when(x >= 4, "positive").when(x <= 2, "negative").otherwise("neutral"))

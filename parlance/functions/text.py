@@ -31,8 +31,10 @@ def _col(c) -> Column:
 def clean_text(c) -> Column:
     """lower -> drop URLs -> keep [a-zA-Z0-9 whitespace ?.!,'] -> collapse whitespace -> strip."""
     c = F.lower(_col(c))
-    c = F.regexp_replace(c, URL_PATTERN, "")
-    c = F.regexp_replace(c, NON_KEPT_CHARS, "")
+    # URL removal and character filtering in one left-to-right pass: a removed
+    # character can never start a URL (h and w are kept), so the matches are
+    # those of the two passes run in turn.
+    c = F.regexp_replace(c, f"{URL_PATTERN}|{NON_KEPT_CHARS}+", "")
     c = F.regexp_replace(c, WS_RUN, " ")
     return F.trim(c)
 

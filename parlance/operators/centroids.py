@@ -22,19 +22,27 @@ def fit(df: DataFrame, vec: str, label: str) -> DataFrame:
 
 
 def score(df: DataFrame, vec: str, model: DataFrame) -> DataFrame:
-    """Adds ``probs`` (array in class order), ``classes``, ``predicted``, ``confidence``."""
+    """Adds ``probs`` (array in class order), ``classes``, ``predicted``, ``confidence``.
+
+    A lambda body only reads lambda variables: an outer expression inside a
+    lambda is recomputed for every array element.
+    """
     j = df.crossJoin(F.broadcast(model))
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
-    neg_d2 = F.transform(
+    j = j.withColumn("__v", v)
+    j = j.withColumn("__s", F.transform(
         "model",
-        lambda m: -F.aggregate(F.zip_with(v, m["c"], lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda acc, x: acc + x))
-    j = j.withColumn("__s", neg_d2)
-    mx = F.array_max("__s")
-    j = j.withColumn("__e", F.transform("__s", lambda s: F.exp(s - mx)))
-    total = F.aggregate("__e", F.lit(0.0), lambda acc, x: acc + x)
-    j = j.withColumn("probs", F.transform("__e", lambda e: e / total))
+        lambda m: -F.aggregate(F.zip_with(F.col("__v"), m["c"], lambda a, b: (a - b) * (a - b)),
+                               F.lit(0.0), lambda acc, x: acc + x)))
+    j = j.withColumn("__mx", F.array_max("__s"))
+    # per-row scalars enter the lambdas as arrays (array_repeat), never as
+    # expressions the optimizer could inline into a lambda body
+    j = j.withColumn("__e", F.zip_with("__s", F.array_repeat("__mx", F.size("__s")),
+                                       lambda s, m: F.exp(s - m)))
+    j = j.withColumn("__tot", F.aggregate("__e", F.lit(0.0), lambda acc, x: acc + x))
+    j = j.withColumn("probs", F.zip_with("__e", F.array_repeat("__tot", F.size("__e")), lambda e, t: e / t))
     j = j.withColumn("classes", F.transform("model", lambda m: m["label"]))
-    best = F.array_position(F.col("__s"), mx)
+    best = F.array_position(F.col("__s"), F.col("__mx"))
     return (j.withColumn("predicted", F.element_at("classes", best.cast("int")))
             .withColumn("confidence", F.array_max("probs"))
-            .drop("__s", "__e", "model"))
+            .drop("__v", "__s", "__mx", "__e", "__tot", "model"))

@@ -28,16 +28,20 @@ def confusion(df: DataFrame, y: str, p: str, dense: bool = True) -> DataFrame:
 
 
 def per_class(df: DataFrame, y: str, p: str, by=None) -> DataFrame:
-    """(by..., class, tp, support, n_pred, precision, recall, f1); 0 where undefined."""
+    """(by..., class, tp, support, n_pred, precision, recall, f1); 0 where undefined.
+
+    One pass: each row counts once as an actual and once as a predicted
+    class (a two-element explode), summed by a single partial aggregate.
+    """
     by = list(by or [])
-    c = df.groupBy(*by, F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count(F.lit(1)).alias("count"))
-    sup = c.groupBy(*by, F.col("actual").alias("class")).agg(F.sum("count").alias("support"))
-    pred = c.groupBy(*by, F.col("predicted").alias("class")).agg(F.sum("count").alias("n_pred"))
-    tp = c.where(F.col("actual") == F.col("predicted")).select(*by, F.col("actual").alias("class"),
-                                                               F.col("count").alias("tp"))
-    keys = by + ["class"]
-    j = sup.join(pred, keys, "full").join(tp, keys, "left")
-    j = j.select(*keys, *[F.coalesce(F.col(k), F.lit(0)).cast("bigint").alias(k) for k in ("tp", "support", "n_pred")])
+    hit = (F.col(y) == F.col(p)).cast("int")
+    ev = df.select(*by, F.explode(F.array(
+        F.struct(F.col(y).alias("class"), F.lit(1).alias("a"), F.lit(0).alias("q"), hit.alias("t")),
+        F.struct(F.col(p).alias("class"), F.lit(0).alias("a"), F.lit(1).alias("q"), F.lit(0).alias("t")),
+    )).alias("e"))
+    j = ev.groupBy(*by, F.col("e.class").alias("class")).agg(
+        F.sum("e.t").cast("bigint").alias("tp"), F.sum("e.a").cast("bigint").alias("support"),
+        F.sum("e.q").cast("bigint").alias("n_pred"))
     prec = F.when(F.col("n_pred") > 0, F.col("tp") / F.col("n_pred")).otherwise(0.0)
     rec = F.when(F.col("support") > 0, F.col("tp") / F.col("support")).otherwise(0.0)
     j = j.withColumn("precision", prec).withColumn("recall", rec)

@@ -200,7 +200,7 @@ SELECT round(avg(auc), 6) AS mean_auc, count(*) AS n_classes FROM au
 """, ids=("X7", "E3"))
 def auc_ovr(spark, sf_dir):
     s = centroid_scored(spark, sf_dir)
-    long = s.select("vec_id", "y", F.posexplode("probs").alias("i", "score"), "classes")
+    long = s.select("vec_id", "y", F.posexplode_outer("probs").alias("i", "score"), "classes")
     long = long.select(F.element_at("classes", F.col("i") + 1).alias("class"), "score",
                        (F.col("y") == F.element_at("classes", F.col("i") + 1)).cast("int").alias("y"))
     a = metrics.auc(long, "y", "score", by=["class"])
