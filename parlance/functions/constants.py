@@ -77,6 +77,7 @@ TOP_CLASSES = 10
 # Model settings.
 LR_C = 1.0
 LR_MAX_ITER = 1000
+LR_TOL = 1e-4  # the reference's solver default stopping tolerance
 DT_MAX_DEPTH = 20
 DT_MIN_LEAF = 2
 CV_FOLDS = 5

@@ -50,7 +50,7 @@ def logistic(n_train: int, c: float = K.LR_C, label: str = "label") -> LogisticR
     mean(loss) + regParam * |w|^2 / 2 for regParam = 1 / (C * n)."""
     return LogisticRegression(featuresCol="features", labelCol=label, maxIter=K.LR_MAX_ITER,
                               regParam=1.0 / (c * max(n_train, 1)), elasticNetParam=0.0,
-                              standardization=False)
+                              standardization=False, tol=K.LR_TOL)
 
 
 def tree(label: str = "label", depth: int = K.DT_MAX_DEPTH, leaf: int = K.DT_MIN_LEAF) -> DecisionTreeClassifier:

@@ -167,11 +167,12 @@ def retrain_cycle(spark, sf_dir):
     test, _ = sentiment_codes(sc.where((F.col("split") == "test") & (F.col("clean_text") != "")), "sentiment")
     test = test.withColumn("label", F.col("sentiment_encoded").cast("double"))
     tr, te, _, _ = models.featurize(comb, test, "doc_id", "clean_text")
-    tr = tr.cache()
+    tr, te = tr.cache(), te.cache()
+    n_train = tr.count()
     path = scratch_path(spark, "model_metrics")
     rows = []
     for run in range(2):
-        for name, est in (("Logistic Regression", models.logistic(tr.count())), ("Decision Tree", models.tree())):
+        for name, est in (("Logistic Regression", models.logistic(n_train)), ("Decision Tree", models.tree())):
             m = est.fit(tr)
             r = models.evaluate(m, te, name=name, binary=False)
             rows.append(r)
