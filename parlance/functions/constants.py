@@ -86,6 +86,19 @@ LR_GRID_C = [0.01, 0.1, 1, 10]
 DT_GRID_DEPTH = [10, 20, 30]
 DT_GRID_LEAF = [1, 2, 4]
 
+# Training-text templates: system prompts of the two chat-template variants,
+# the dialogue form's end-of-text token, and the similarity report's labels.
+CHAT_SYSTEM_FULL = "You are a helpful customer support assistant for an e-commerce platform."
+CHAT_SYSTEM_SHORT = "You are a helpful e-commerce customer support assistant."
+EOS_TOKEN = "<|endoftext|>"
+SIMILARITY_TARGET = "60-70%"
+STATUS_PASSED = "\u2705 PASSED"
+STATUS_BELOW = "\u26a0\ufe0f Below target"
+
+# Report digits: metrics with 4 decimals, percentages with 2.
+METRIC_DIGITS = 4
+PERCENT_DIGITS = 2
+
 # --- public values (not from the reference) --------------------------------
 
 # Python's str.isspace() set, as a regex character-class body usable by both

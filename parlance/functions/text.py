@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from parlance.functions.constants import ENGLISH_STOPWORDS, ESCALATION_TRIGGERS, PY_WHITESPACE
+from parlance.functions.constants import (CHAT_SYSTEM_SHORT, ENGLISH_STOPWORDS, EOS_TOKEN, ESCALATION_TRIGGERS,
+                                          METRIC_DIGITS, PERCENT_DIGITS, PY_WHITESPACE)
 
 WS = PY_WHITESPACE
 URL_PATTERN = f"http[^{WS}]+|www[^{WS}]+"
@@ -130,5 +131,34 @@ def prompt(question, context=None) -> Column:
     return F.concat(F.lit("Customer: "), q, F.lit(" Support:"))
 
 
+def chat_text(instruction, response, system: str = CHAT_SYSTEM_SHORT) -> Column:
+    """Three-part chat template: system, user and assistant blocks, each closed by ``</s>``."""
+    return F.concat(F.lit(f"<|system|>\n{system}\n</s>\n<|user|>\n"), _col(instruction),
+                    F.lit("\n</s>\n<|assistant|>\n"), _col(response), F.lit("\n</s>"))
+
+
+def dialogue_text(instruction, response, eos: str = EOS_TOKEN) -> Column:
+    """``Customer: {instruction} Support: {response}{eos}``."""
+    return F.concat(F.lit("Customer: "), _col(instruction), F.lit(" Support: "), _col(response), F.lit(eos))
+
+
+def fixed(c, digits: int = METRIC_DIGITS) -> Column:
+    """Number as text with ``digits`` decimals (Python ``f"{x:.4f}"``).
+
+    The value is rounded to an integer count of units first, with the same
+    double arithmetic in every engine; formatting that short value cannot
+    round differently in Java and C.
+    """
+    scale = 10 ** digits
+    c = _col(c)
+    return F.when(c.isNotNull(), F.format_string(f"%.{digits}f", F.floor(c * scale + 0.5) / scale))
+
+
+def percent(c, digits: int = PERCENT_DIGITS) -> Column:
+    """Fraction as a percentage with ``digits`` decimals (Python ``f"{x:.2%}"``)."""
+    c = _col(c)
+    return F.when(c.isNotNull(), F.concat(fixed(c * 100, digits), F.lit("%")))
+
+
 def _regex_quote(s: str) -> str:
     return "".join("\\" + ch if not ch.isalnum() and ch != " " else ch for ch in s)

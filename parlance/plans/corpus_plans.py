@@ -11,6 +11,8 @@ from parlance.operators import corpus, encode, splits, turns
 from parlance.plans import sqlfrag as Q
 from parlance.plans.registry import Tables, plan
 from parlance.plans.turn_plans import PAIRS_SQL
+from parlance.sources import landing
+from parlance.sources.tables import shape_report
 
 
 def _h(key: str, modulus: int, seed=None) -> str:
@@ -320,3 +322,44 @@ FROM r
 def positional_split(spark, sf_dir):
     p = turns.pair_turns(Tables(spark, sf_dir).conversations).select("conv_id", "turn")
     return splits.positional_split(p, ["conv_id", "turn"]).select("conv_id", "turn", "position", "split")
+
+
+# --- S3, F9: landing and shape reports ------------------------------------------------
+
+LANDED = ("conversations", "documents")
+
+
+@plan("landed_corpora", sql=" UNION ALL ".join(
+    f"SELECT '{name}' AS dataset, count(*)::BIGINT AS records FROM {name}" for name in LANDED),
+    ids=("S3",))
+def landed_corpora(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = None
+    for name in LANDED:
+        counted = landing.land(spark, getattr(t, name), name)
+        out = counted if out is None else out.unionByName(counted)
+    return out
+
+
+SUPPORT_REQUIRED = ("clean_instruction", "clean_response")
+
+
+def _shape_sql(dataset: str, source: str, required=()) -> str:
+    req = Q.str_list(required) if required else "[]::VARCHAR[]"
+    return f"""
+SELECT '{dataset}' AS dataset, (SELECT count(*) FROM ({source}))::BIGINT AS n_rows,
+       count(*)::INTEGER AS n_columns, string_agg(column_name, ',') AS columns,
+       array_to_string(list_filter({req}, lambda r: NOT list_contains(list(column_name), r)), ',') AS missing,
+       len(list_filter({req}, lambda r: NOT list_contains(list(column_name), r))) = 0 AS has_required
+FROM (DESCRIBE SELECT * FROM ({source}))"""
+
+
+@plan("corpus_shapes", sql=" UNION ALL ".join([
+    _shape_sql("conversations", "SELECT * FROM conversations"),
+    _shape_sql("documents", "SELECT * FROM documents"),
+    _shape_sql("support_corpus", SUPPORT_CORPUS_SQL, SUPPORT_REQUIRED)]), ids=("F9",))
+def corpus_shapes(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    return (shape_report(t.conversations, "conversations")
+            .unionByName(shape_report(t.documents, "documents"))
+            .unionByName(shape_report(support_corpus(spark, sf_dir), "support_corpus", SUPPORT_REQUIRED)))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
 from parlance.functions import scoring as S
+from parlance.functions import text as TX
 from parlance.operators import centroids, metrics, splits
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
@@ -209,7 +210,7 @@ def auc_ovr(spark, sf_dir):
 
 # --- X8: comparison of two fixed models -----------------------------------------------
 
-COMPARISON_SQL = f"""
+COMPARISON_BASE_SQL = f"""
 WITH {BINARY_SQL},
 maj AS (SELECT y AS mp FROM b GROUP BY y ORDER BY count(*) DESC, y LIMIT 1),
 both_ AS (SELECT 'Lexicon' AS name, doc_id, y, p, score, fold FROM b
@@ -229,6 +230,9 @@ folds_ AS (SELECT name, fold, sum(f1 * support) / sum(support) AS f1 FROM f2 GRO
 cv AS (SELECT name, avg(f1) AS cv_f1, stddev_pop(f1) AS cv_std FROM folds_ GROUP BY name),
 {auc_sql('both_', ['name'])},
 res AS (SELECT full_.name, accuracy, precision, recall, f1, cv_f1, cv_std, auc FROM full_ JOIN cv USING (name) JOIN au USING (name))
+"""
+
+COMPARISON_SQL = COMPARISON_BASE_SQL + """
 SELECT name, round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall,
        round(f1, 6) AS f1, round(cv_f1, 6) AS cv_f1, round(cv_std, 6) AS cv_std, round(auc, 6) AS auc,
        name = (SELECT name FROM res ORDER BY f1 DESC, name LIMIT 1) AS is_best
@@ -236,8 +240,8 @@ FROM res
 """
 
 
-@plan("model_comparison", sql=COMPARISON_SQL, ids=("X8", "U4", "W7", "A14", "M5", "D4"))
-def model_comparison(spark, sf_dir):
+def _comparison(spark, sf_dir):
+    """Unrounded metrics of the lexicon scorer and the majority baseline."""
     b = binary_scored(spark, sf_dir)
     maj = b.groupBy("y").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "y").limit(1).select(
         F.col("y").alias("mp"))
@@ -249,7 +253,26 @@ def model_comparison(spark, sf_dir):
     per_fold = metrics.summary(both, "y", "p", by=["name", "fold"])
     cv = per_fold.groupBy("name").agg(F.avg("f1").alias("cv_f1"), F.stddev_pop("f1").alias("cv_std"))
     a = metrics.auc(both, "y", "score", by=["name"])
-    res = full.join(cv, "name").join(a, "name")
+    return full.join(cv, "name").join(a, "name")
+
+
+@plan("model_comparison", sql=COMPARISON_SQL, ids=("X8", "U4", "W7", "A14", "M5", "D4"))
+def model_comparison(spark, sf_dir):
+    res = _comparison(spark, sf_dir)
     best = res.orderBy(F.desc("f1"), "name").limit(1).select(F.col("name").alias("__best"))
     out = res.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("name") == F.col("__best")).drop("__best")
     return _round_all(out, ["accuracy", "precision", "recall", "f1", "cv_f1", "cv_std", "auc"])
+
+
+@plan("model_report_text", sql=COMPARISON_BASE_SQL + f"""
+SELECT name, {Q.fixed('accuracy')} AS accuracy, {Q.fixed('precision')} AS precision,
+       {Q.fixed('recall')} AS recall, {Q.fixed('f1')} AS f1,
+       {Q.fixed('cv_f1')} || ' \u00b1 ' || {Q.fixed('cv_std')} AS cv_f1, {Q.fixed('auc')} AS auc
+FROM res
+""", ids=("T27", "X8"))
+def model_report_text(spark, sf_dir):
+    """The comparison as printed: every metric with 4 decimals, CV F1 as ``mean ± std``."""
+    r = _comparison(spark, sf_dir)
+    return r.select("name", *[TX.fixed(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
+                    F.concat(TX.fixed("cv_f1"), F.lit(" \u00b1 "), TX.fixed("cv_std")).alias("cv_f1"),
+                    TX.fixed("auc").alias("auc"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
+from parlance.functions import text as TX
 from parlance.operators import retrieval, splits, tfidf, turns
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, SUPPORT_CORPUS_SQL, sentiment_corpus, support_prepared
@@ -173,6 +174,24 @@ def similarity_summary(spark, sf_dir):
                  F.count_if(F.col("similarity") >= K.SIMILARITY_PASS).alias("n_above"))
 
 
+@plan("similarity_report", sql=_pair_sql(SAMPLE_WHERE) + f"""
+, a AS (SELECT avg(similarity) AS m, min(similarity) AS lo, max(similarity) AS hi FROM r)
+SELECT {Q.percent('m')} AS average_similarity, {Q.percent('lo')} AS min_similarity,
+       {Q.percent('hi')} AS max_similarity, {Q.q(K.SIMILARITY_TARGET)} AS target,
+       CASE WHEN m >= {K.SIMILARITY_PASS} THEN {Q.q(K.STATUS_PASSED)} ELSE {Q.q(K.STATUS_BELOW)} END AS status
+FROM a
+""", ids=("T27", "X9"))
+def similarity_report(spark, sf_dir):
+    """The similarity check as printed: percentages with 2 decimals, target and status."""
+    sample = splits.seeded_sample(_pairs(spark, sf_dir), "id", K.SIMILARITY_SAMPLES)
+    s = tfidf.pair_cosine(sample, "id", "user_message", "reply")
+    a = s.agg(F.avg("similarity").alias("m"), F.min("similarity").alias("lo"), F.max("similarity").alias("hi"))
+    return a.select(TX.percent("m").alias("average_similarity"), TX.percent("lo").alias("min_similarity"),
+                    TX.percent("hi").alias("max_similarity"), F.lit(K.SIMILARITY_TARGET).alias("target"),
+                    F.when(F.col("m") >= K.SIMILARITY_PASS, F.lit(K.STATUS_PASSED))
+                    .otherwise(F.lit(K.STATUS_BELOW)).alias("status"))
+
+
 # --- J5 / V8: nearest corpus instruction ----------------------------------------
 
 NEAREST_SQL = f"""

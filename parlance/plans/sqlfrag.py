@@ -96,3 +96,21 @@ def calibrate(c: str) -> str:
 
 def preview(x: str, n: int) -> str:
     return f"(CASE WHEN length({x}) > {n} THEN substr({x}, 1, {n}) || '...' ELSE {x} END)"
+
+
+def chat_text(instr: str, resp: str, system: str = K.CHAT_SYSTEM_SHORT) -> str:
+    return (f"({q(f'<|system|>' + chr(10) + system + chr(10) + '</s>' + chr(10) + '<|user|>' + chr(10))} || {instr} || "
+            f"{q(chr(10) + '</s>' + chr(10) + '<|assistant|>' + chr(10))} || {resp} || {q(chr(10) + '</s>')})")
+
+
+def dialogue_text(instr: str, resp: str, eos: str = K.EOS_TOKEN) -> str:
+    return f"('Customer: ' || {instr} || ' Support: ' || {resp} || {q(eos)})"
+
+
+def fixed(x: str, digits: int = K.METRIC_DIGITS) -> str:
+    scale = 10 ** digits
+    return f"printf('%.{digits}f', floor(({x}) * {scale} + 0.5) / {scale})"
+
+
+def percent(x: str, digits: int = K.PERCENT_DIGITS) -> str:
+    return f"({fixed(f'({x}) * 100', digits)} || '%')"

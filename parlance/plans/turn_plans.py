@@ -158,3 +158,23 @@ def reply_prompts(spark, sf_dir):
                     TX.prompt("user_message").alias("prompt_plain"),
                     TX.prompt("user_message", fs).alias("prompt_grounded"),
                     TX.text_after("reply", "Support:").alias("after_marker"))
+
+
+# --- T20: training text ------------------------------------------------------------
+
+@plan("training_text", sql=f"""
+SELECT conv_id, turn,
+       {Q.chat_text('user_message', 'reply', K.CHAT_SYSTEM_FULL)} AS chat_text_full,
+       {Q.chat_text('user_message', 'reply', K.CHAT_SYSTEM_SHORT)} AS chat_text,
+       {Q.dialogue_text('user_message', 'reply')} AS dialogue_text
+FROM ({PAIRS_SQL}) WHERE user_message IS NOT NULL AND reply IS NOT NULL
+""", ids=("T20",))
+def training_text(spark, sf_dir):
+    """Every (user turn, reply) pair as fine-tuning text, in the two chat-template
+    variants and the ``Customer: … Support: …`` dialogue form."""
+    p = turns.pair_turns(Tables(spark, sf_dir).conversations).where(
+        F.col("user_message").isNotNull() & F.col("reply").isNotNull())
+    return p.select("conv_id", "turn",
+                    TX.chat_text("user_message", "reply", K.CHAT_SYSTEM_FULL).alias("chat_text_full"),
+                    TX.chat_text("user_message", "reply", K.CHAT_SYSTEM_SHORT).alias("chat_text"),
+                    TX.dialogue_text("user_message", "reply").alias("dialogue_text"))

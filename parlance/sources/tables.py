@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = ("region nation customer supplier part orders lineitem events documents "
@@ -98,3 +99,17 @@ def label_column(df: DataFrame) -> str | None:
 def require_columns(df: DataFrame, required) -> list[str]:
     """Missing required columns (empty when all are present)."""
     return [c for c in required if c not in df.columns]
+
+
+def shape_report(df: DataFrame, dataset: str, required=()) -> DataFrame:
+    """One row: dataset, row count, column count, column list and missing required columns.
+
+    The row count is one partial aggregate; the column facts come from the schema.
+    """
+    missing = require_columns(df, required)
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
+        F.lit(dataset).alias("dataset"), "n_rows",
+        F.lit(len(df.columns)).alias("n_columns"),
+        F.lit(",".join(df.columns)).alias("columns"),
+        F.lit(",".join(missing)).alias("missing"),
+        F.lit(not missing).alias("has_required"))

@@ -122,3 +122,41 @@ def test_previous_metric_literal_and_latest(spark):
                                "id long, model_name string, accuracy double, timestamp timestamp")
     r = logs.latest_by_name(df, "model_name", "accuracy", "timestamp").first()
     assert (r.previous_literal, r.previous_latest) == (0.7, 0.8)
+
+
+# Values away from a rounding tie, as the reference's metrics are.
+FORMAT_VALUES = [0.7561547479, 0.5902696366, 0.0, 1.0, 0.12344, 0.99996, 0.6426, 0.5096, 0.7145, 123.45678]
+
+
+def test_fixed_and_percent_match_python_format(spark):
+    df = spark.createDataFrame([(v,) for v in FORMAT_VALUES] + [(None,)], "x double")
+    got = df.select("x", TX.fixed("x").alias("f"), TX.percent("x").alias("p")).collect()
+    for r in got:
+        if r.x is None:
+            assert r.f is None and r.p is None
+        else:
+            assert r.f == f"{r.x:.4f}" and r.p == f"{r.x:.2%}"
+
+
+def test_training_text_templates(spark):
+    df = spark.createDataFrame([("where is my order", "It ships today.")], "i string, r string")
+    r = df.select(TX.chat_text("i", "r").alias("c"), TX.dialogue_text("i", "r").alias("d")).first()
+    assert r.c == ("<|system|>\nYou are a helpful e-commerce customer support assistant.\n</s>\n"
+                   "<|user|>\nwhere is my order\n</s>\n<|assistant|>\nIt ships today.\n</s>")
+    assert r.d == "Customer: where is my order Support: It ships today.<|endoftext|>"
+
+
+def test_shape_report_and_landing(spark):
+    from parlance.session import scratch_path
+    from parlance.sources import landing
+    from parlance.sources.tables import shape_report
+
+    df = spark.createDataFrame([(1, "a,b\nc"), (2, None)], "id long, text string")
+    rep = shape_report(df, "t", ["text", "clean_response"]).first()
+    assert (rep.n_rows, rep.n_columns, rep.columns, rep.missing, rep.has_required) == (
+        2, 2, "id,text", "clean_response", False)
+    path = scratch_path(spark, "landing-test")
+    assert landing.land(spark, df, "t", path, fmt="csv").first().records == 2
+    back = spark.read.schema(df.schema).option("header", True).option("multiLine", True).option(
+        "escape", '"').csv(path)
+    assert sorted(back.collect()) == sorted(df.collect())
