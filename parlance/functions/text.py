@@ -1,4 +1,5 @@
-"""Text column functions (Column -> Column), all JVM-side built-ins.
+"""Text column functions (Column -> Column), all JVM-side built-ins (P1: the
+reference's per-row lambdas become column expressions, never Python UDFs).
 
 Regex patterns are written so that Java regex (Spark) gives the same result as
 the Python ``re`` module the reference uses: Python's ``\\s`` is Unicode-wide

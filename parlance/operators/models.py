@@ -59,7 +59,10 @@ def tree(label: str = "label", depth: int = K.DT_MAX_DEPTH, leaf: int = K.DT_MIN
 
 
 def evaluate(model, test: DataFrame, label: str = "label", name: str = "model", binary: bool = True) -> DataFrame:
-    """One metrics row: accuracy, weighted precision / recall / F1 and AUC."""
+    """One metrics row: accuracy, weighted precision / recall / F1 and AUC.
+
+    P2: ``model`` is any fitted Spark ML classification model.
+    """
     pred = model.transform(test).withColumn("y", F.col(label).cast("int")).withColumn(
         "p", F.col("prediction").cast("int"))
     s = metrics.summary(pred, "y", "p")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from parlance.functions import constants as K
 from parlance.functions import scoring as S
 from parlance.functions import text as TX
-from parlance.operators import centroids, metrics, splits
+from parlance.operators import centroids, external, metrics, splits
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
 from parlance.plans.registry import Tables, plan
@@ -276,3 +276,16 @@ def model_report_text(spark, sf_dir):
     return r.select("name", *[TX.fixed(c).alias(c) for c in ("accuracy", "precision", "recall", "f1")],
                     F.concat(TX.fixed("cv_f1"), F.lit(" \u00b1 "), TX.fixed("cv_std")).alias("cv_f1"),
                     TX.fixed("auc").alias("auc"))
+
+
+# --- P3: the same model applied as an external scorer on Arrow batches ------------------
+
+@plan("external_scores", sql=f"""
+WITH {CENTROID_SQL}
+SELECT vec_id, y, p AS predicted, round(confidence, 4) AS confidence FROM mc
+""", ids=("P3", "M7"))
+def external_scores(spark, sf_dir):
+    e = Tables(spark, sf_dir).embeddings
+    make_fn, dims = external.centroid_predictor(centroids.fit(e, "embedding", "label"))
+    s = external.score_with(e, "embedding", make_fn, dims)
+    return s.select("vec_id", F.col("label").alias("y"), "predicted", F.round("confidence", 4).alias("confidence"))
