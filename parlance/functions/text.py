@@ -19,6 +19,16 @@ WS = PY_WHITESPACE
 URL_PATTERN = f"http[^{WS}]+|www[^{WS}]+"
 NON_KEPT_CHARS = f"[^a-zA-Z0-9{WS}?.!,']"
 WS_RUN = f"[{WS}]+"
+# URL removal and character filtering in one left-to-right pass. A removed
+# character can never start a URL (h and w are kept), so the matches are those
+# of the two passes run in turn. Every match is a possessive run of kept text
+# (an h or w that does not start a URL included) followed by a URL, a run of
+# removed characters or the end, and the run is put back: the scan never fails
+# at a position and retries at the next, which a bare negated class does on
+# every kept character.
+_KEPT = f"a-zA-Z0-9{WS}?.!,'"
+CLEAN_PASS = (f"((?:[a-gi-vx-zA-Z0-9{WS}?.!,']++|h(?!ttp[^{WS}])|w(?!ww[^{WS}]))*+)"
+              f"(?:http[^{WS}]+|www[^{WS}]+|[^{_KEPT}]+|\\z)")
 # Word tokens of the keyword override: \b[a-z']+\b on cleaned text.
 KEYWORD_TOKEN = r"\b[a-z']+\b"
 # Vectorizer tokens: two or more word characters, Unicode-aware.
@@ -33,10 +43,7 @@ def _col(c) -> Column:
 def clean_text(c) -> Column:
     """lower -> drop URLs -> keep [a-zA-Z0-9 whitespace ?.!,'] -> collapse whitespace -> strip."""
     c = F.lower(_col(c))
-    # URL removal and character filtering in one left-to-right pass: a removed
-    # character can never start a URL (h and w are kept), so the matches are
-    # those of the two passes run in turn.
-    c = F.regexp_replace(c, f"{URL_PATTERN}|{NON_KEPT_CHARS}+", "")
+    c = F.regexp_replace(c, CLEAN_PASS, "$1")
     c = F.regexp_replace(c, WS_RUN, " ")
     return F.trim(c)
 

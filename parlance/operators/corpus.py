@@ -35,9 +35,13 @@ def sentiment_corpus(raw: DataFrame, order_col: str, stopwords=None) -> DataFram
     tcol, lcol = text_column(raw.drop(order_col)), label_column(raw)
     df = dedup_rows(raw, order_col).dropna(how="any")
     df = df.withColumn("clean_text", TX.clean_text(tcol))
-    # dedup keeps every label value, so the maximum is the raw rows' maximum
-    df = L.rating_to_sentiment(df, lcol, "sentiment", max_from=raw.dropna(how="any"))
-    dim = fit_codes(df, "sentiment", "sentiment_encoded")
+    # dedup keeps every label value, so the label maximum and the set of
+    # sentiments are those of the raw complete rows: both come from the label
+    # column alone, without cleaning any text
+    complete = raw.dropna(how="any").select(lcol)
+    df = L.rating_to_sentiment(df, lcol, "sentiment", max_from=complete)
+    dim = fit_codes(L.rating_to_sentiment(complete, lcol, "sentiment", max_from=complete),
+                    "sentiment", "sentiment_encoded")
     df = apply_codes(df, dim, "sentiment", "sentiment_encoded", unknown="drop")
     df = text_features(df, "clean_text")
     return df.withColumn("stopword_ratio", TX.stopword_ratio("clean_text", stopwords))

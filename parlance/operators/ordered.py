@@ -112,6 +112,10 @@ def first_by(df: DataFrame, key_cols, order_col: str, keep_cols=None) -> DataFra
         keep = [order_col] + keep
     else:
         keep = [order_col] + [c for c in keep if c != order_col]
+    if keep == [order_col]:
+        # nothing rides along: a plain min keeps a fixed-width buffer, so the
+        # aggregate is hash-based instead of sorting the (possibly long) keys
+        return df.groupBy(*key_cols).agg(F.min(order_col).alias(order_col)).select(*key_cols, order_col)
     packed = df.groupBy(*key_cols).agg(F.min(F.struct(*[F.col(c) for c in keep])).alias("__first"))
     return packed.select(*key_cols, *[F.col(f"__first.{c}").alias(c) for c in keep])
 

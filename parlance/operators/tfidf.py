@@ -23,17 +23,54 @@ from parlance.operators.ordered import row_number_within
 
 
 def terms(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
-    toks = vector_tokens(text_col)
+    return df.select(F.col(id_col).alias("id"), F.explode(_token_array(text_col, ngrams)).alias("term"))
+
+
+def _with_ngrams(df: DataFrame, text_col: str, ngrams=(1, 1), out: str = "__all") -> DataFrame:
+    """Adds the token array (unigrams and / or bigrams) as ``out``.
+
+    The tokens are their own projection: the n-gram expression reads them
+    several times, and a non-trivial expression read more than once is not
+    inlined by the optimizer, so the tokenizing regex runs once per row.
+    """
+    d = df.withColumn("__tok", vector_tokens(text_col))
+    toks = F.col("__tok")
     if ngrams[1] >= 2:
-        toks = with_bigrams(toks)
+        toks = with_bigrams("__tok")
         if ngrams[0] >= 2:
-            toks = F.slice(toks, F.size(vector_tokens(text_col)) + 1, 1 << 30)
-    return df.select(F.col(id_col).alias("id"), F.explode(toks).alias("term"))
+            toks = F.slice(toks, F.size("__tok") + 1, 1 << 30)
+    return d.withColumn(out, toks).drop("__tok")
+
+
+def terms(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
+    d = _with_ngrams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__txt")), "__txt", ngrams)
+    return d.select("id", F.explode("__all").alias("term"))
 
 
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
-    """(id, term, tf) of every document."""
-    return terms(df, id_col, text_col, ngrams).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(id, term, tf) of every document; each row of ``df`` is one document.
+
+    A document's tokens all sit in one row, so they are counted in the row:
+    sorted, then each run of equal tokens becomes (term, run length). The
+    (document, term) pairs leave the scan stage already counted and never
+    cross a shuffle. Lambda bodies read only lambda variables.
+    """
+    d = _with_ngrams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__txt")), "__txt", ngrams)
+    d = d.select("id", F.sort_array("__all").alias("__s"))
+    n = F.size("__s")
+    nxt = F.concat(F.slice("__s", 2, F.greatest(n - 1, F.lit(1))), F.array(F.lit(None).cast("string")))
+    # true where a run of equal tokens ends
+    d = d.select("id", "__s", F.zip_with("__s", nxt, lambda a, b: b.isNull() | (a != b)).alias("__end"))
+    d = d.select("id",
+                 F.filter(F.zip_with("__s", "__end", lambda t, e: F.when(e, t)), lambda x: x.isNotNull())
+                 .alias("__t"),
+                 F.filter(F.zip_with("__end", F.sequence(F.lit(1), F.greatest(F.size("__end"), F.lit(1))),
+                                     lambda e, i: F.when(e, i)), lambda x: x.isNotNull()).alias("__e"))
+    prev = F.concat(F.array(F.lit(0)), F.slice("__e", 1, F.greatest(F.size("__e") - 1, F.lit(1))))
+    d = d.select("id", "__t", F.zip_with("__e", prev, lambda e, p: e - p).alias("__c"))
+    d = d.select("id", F.explode(F.arrays_zip(F.col("__t").alias("term"), F.col("__c").alias("tf"))).alias("__p"))
+    # a document without tokens yields one (null, 1) entry: dropped here
+    return d.select("id", "__p.term", F.col("__p.tf").cast("long").alias("tf")).where(F.col("term").isNotNull())
 
 
 def doc_count(df: DataFrame) -> DataFrame:

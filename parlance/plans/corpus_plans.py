@@ -12,7 +12,7 @@ from parlance.plans import sqlfrag as Q
 from parlance.plans.registry import Tables, plan
 from parlance.plans.turn_plans import PAIRS_SQL
 from parlance.sources import landing
-from parlance.sources.tables import shape_report
+from parlance.sources.tables import shape_report, spread
 
 
 def _h(key: str, modulus: int, seed=None) -> str:
@@ -23,7 +23,7 @@ def _h(key: str, modulus: int, seed=None) -> str:
 
 @plan("clean_text", sql=f"SELECT doc_id, {Q.clean('text')} AS clean_text FROM documents", ids=("T1",))
 def clean_text(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
     return d.select("doc_id", TX.clean_text("text").alias("clean_text"))
 
 
@@ -38,7 +38,8 @@ FROM c
 
 @plan("text_features", sql=TEXT_FEATURES_SQL, ids=("T2", "T3", "T4", "T5"))
 def text_features(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", TX.clean_text("text").alias("ct"))
+    d = spread(Tables(spark, sf_dir).documents.select("doc_id", "text"))
+    d = d.select("doc_id", TX.clean_text("text").alias("ct"))
     d = corpus.text_features(d, "ct")
     return d.select("doc_id", "text_len", "word_count", "has_exclaim", "has_question",
                     F.round(TX.stopword_ratio("ct"), 6).alias("stopword_ratio"))

@@ -10,6 +10,7 @@ from parlance.operators import retrieval, splits, tfidf, turns
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, SUPPORT_CORPUS_SQL, sentiment_corpus, support_prepared
 from parlance.plans.registry import Tables, plan
+from parlance.sources.tables import spread
 from parlance.plans.turn_plans import PAIRS_SQL
 
 # Java (?U)\w as an RE2 class.
@@ -39,7 +40,8 @@ SELECT id, term, count(*) AS tf FROM t GROUP BY id, term
 def ngrams(spark, sf_dir):
     from parlance.functions.text import clean_text
     c = Tables(spark, sf_dir).conversations.where(F.col("role") == "user")
-    c = c.select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), clean_text("text").alias("c"))
+    c = spread(c.select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "text"))
+    c = c.select("id", clean_text("text").alias("c"))
     return tfidf.term_counts(c, "id", "c", (1, 2))
 
 

@@ -15,6 +15,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer partitions than the session has cores.
+
+    A Parquet row group is read by one task, so a file written as one large
+    row group would run all per-row text work on one core. Used where heavy
+    per-row work (cleaning, tokenizing) sits directly on a scan with no
+    shuffle before it. On a cluster the input has many more row groups than
+    cores and this returns ``df`` as is; only an undersized scan pays one
+    shuffle, of the columns selected before the call.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target)
+
+
 # Conversation log: one row per scored user turn (append-only).
 CONVERSATION_LOG = T.StructType([
     T.StructField("id", T.LongType()),

@@ -36,6 +36,9 @@ def test_clean_text_matches_python_reference_rules(spark):
         return re.sub(r"\s+", " ", t).strip()
 
     samples = [c[0] for c in CLEAN_CASES] + ["Hello, WORLD!!  visit www.x.y now\n\nok?", "x y z"]
+    samples += ["hhttp://x", "www", "wwwx", "h", "w", "\u00e9http://x\u00e9", "a\nwww.x\n", "ht tp", "http x",
+                "hw", "wh", "x\u0085", " www.a", "HTTP://X", "ahttpsb wwa wwwww", "\u00e9\u00e9 h \u00e9 w",
+                "hwhw ahttp" * 300 + "www.x " * 50]
     got = spark.createDataFrame([(s,) for s in samples], "x string").select(TX.clean_text("x").alias("r")).collect()
     assert [r["r"] for r in got] == [py_clean(s) for s in samples]
 
