@@ -101,6 +101,10 @@ PERCENT_DIGITS = 2
 
 # --- public values (not from the reference) --------------------------------
 
+# Training rows per partition for iterative Spark ML fits.
+ML_ROWS_PER_PARTITION = 50_000
+
+
 # Python's str.isspace() set, as a regex character-class body usable by both
 # Java regex (Spark) and RE2 (DuckDB). Java's \s lacks U+001C..U+001F.
 PY_WHITESPACE = (

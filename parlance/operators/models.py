@@ -45,6 +45,17 @@ def featurize(train: DataFrame, test: DataFrame, id_col: str, text_col: str):
     return vectors(tr, n_terms, train, id_col), vectors(te, n_terms, test, id_col), vocab, n_terms
 
 
+def sized(df: DataFrame, n_rows: int, rows_per_partition: int = K.ML_ROWS_PER_PARTITION) -> DataFrame:
+    """Fewer partitions for a small training set (no shuffle).
+
+    An iterative fit runs one job per iteration; on a few hundred rows the
+    task overhead of many partitions dominates. A large set keeps its
+    partitions: the target grows with the row count.
+    """
+    target = max(1, -(-n_rows // rows_per_partition))
+    return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
+
+
 def logistic(n_train: int, c: float = K.LR_C, label: str = "label") -> LogisticRegression:
     """L2 logistic regression; C * sum(loss) + |w|^2 / 2 equals Spark's
     mean(loss) + regParam * |w|^2 / 2 for regParam = 1 / (C * n)."""

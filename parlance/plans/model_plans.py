@@ -40,7 +40,8 @@ def _features(spark, sf_dir):
     sc = split_corpus(spark, sf_dir)
     train, test = sc.where(F.col("split") == "train"), sc.where(F.col("split") == "test")
     tr, te, _, n_terms = models.featurize(train, test, "doc_id", "clean_text")
-    return tr.cache(), te.cache(), n_terms
+    tr, te = tr.cache(), te.cache()
+    return models.sized(tr, tr.count()), models.sized(te, te.count()), n_terms
 
 
 @plan("lr_sentiment", ids=("M1", "M6", "X1", "X2", "X6", "V6", "V9"))
@@ -90,7 +91,9 @@ def intent_lr(spark, sf_dir):
     d = splits.stratified_split(d, "doc_id", "lang")
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     tr, te, _, _ = models.featurize(train, test, "doc_id", "clean_text")
-    m = models.logistic(tr.count()).setFamily("multinomial").fit(tr.cache())
+    tr = tr.cache()
+    n = tr.count()
+    m = models.logistic(n).setFamily("multinomial").fit(models.sized(tr, n))
     return models.evaluate(m, te, name="Intent LR", binary=False)
 
 
@@ -169,6 +172,7 @@ def retrain_cycle(spark, sf_dir):
     tr, te, _, _ = models.featurize(comb, test, "doc_id", "clean_text")
     tr, te = tr.cache(), te.cache()
     n_train = tr.count()
+    tr, te = models.sized(tr, n_train), models.sized(te, te.count())
     path = scratch_path(spark, "model_metrics")
     rows = []
     for run in range(2):
