@@ -104,6 +104,9 @@ PERCENT_DIGITS = 2
 # Training rows per partition for iterative Spark ML fits.
 ML_ROWS_PER_PARTITION = 50_000
 
+# Largest counted class dimension joined by broadcast.
+DIMENSION_BROADCAST_ROWS = 100_000
+
 
 # Python's str.isspace() set, as a regex character-class body usable by both
 # Java regex (Spark) and RE2 (DuckDB). Java's \s lacks U+001C..U+001F.

@@ -23,12 +23,19 @@ def fit_codes(df: DataFrame, col: str, code_col: str = "code") -> DataFrame:
 
 
 def apply_codes(df: DataFrame, dim: DataFrame, col: str, code_col: str = "code",
-                unknown: str = "drop") -> DataFrame:
+                unknown: str = "drop", broadcast_max_rows: int = K.DIMENSION_BROADCAST_ROWS) -> DataFrame:
     """Attach codes of a fitted dimension.
 
     unknown="drop" keeps only known values (inner join); "null" keeps the row
     with a null code; "error" raises on the first unknown value.
+
+    A fitted dimension is materialised (its numbering is checkpointed), so its
+    row count is cheap to take; at most ``broadcast_max_rows`` rows it is
+    broadcast. Otherwise it stays a shuffle join, never a broadcast of
+    unchecked size.
     """
+    if dim.count() <= broadcast_max_rows:
+        dim = F.broadcast(dim)
     if unknown == "drop":
         return df.join(dim, on=col, how="inner")
     out = df.join(dim, on=col, how="left")
