@@ -16,6 +16,7 @@ from parlance.operators import centroids, external, metrics, splits
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
 from parlance.plans.registry import Tables, plan
+from parlance.session import checkpoint_root
 
 # --- SQL building blocks -------------------------------------------------------------
 
@@ -87,8 +88,12 @@ def binary_scored(spark, sf_dir):
     sc = sentiment_corpus(spark, sf_dir)
     p = S.lexicon_positive_probability("clean_text")
     code, _ = S.binary_prediction(p)
-    return splits.folds(sc.select("doc_id", F.col("label").alias("y"), p.alias("score"), code.alias("p")),
-                        "doc_id", K.CV_FOLDS)
+    scored = splits.folds(sc.select("doc_id", F.col("label").alias("y"), p.alias("score"), code.alias("p")),
+                          "doc_id", K.CV_FOLDS)
+    # One narrow row per document, read by every metric branch: written once
+    # to the shared checkpoint folder instead of re-cleaning the text per branch.
+    checkpoint_root(spark)
+    return scored.checkpoint(eager=True)
 
 
 def centroid_scored(spark, sf_dir):
