@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import edit_embedding, mixing, packing, sharding, token_files
+from parlance.llm import edit_embedding, mixing, packing, sharding, token_files, toxicity
 from parlance.sources.tables import table
 
 
@@ -10,6 +10,10 @@ def op1_edit_embedding(spark, sf_dir):
     return edit_embedding.fingerprint_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_toxicity(spark, sf_dir):
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -26,7 +30,7 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_embedding, op6_packing, op7_mixing, op8_token_files, op9_sharding)}
+QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op6_packing, op7_mixing, op8_token_files, op9_sharding)}
 
 #: Hash-random order and prefix sums over whole sources; targets by the level
 #: that the largest prefix of capped sources leaves.
