@@ -43,5 +43,6 @@ def components(links: DataFrame) -> DataFrame:
         now = saved(_star(large, False), "links")
         new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if mark == tuple(new):
-            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(roots)
         mark = tuple(new)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import edit_embedding, mixing, packing, sharding, token_files, toxicity
+from parlance.llm import edit_embedding, jaccard_join, mixing, packing, sharding, token_files, toxicity
 from parlance.sources.tables import table
 
 
@@ -30,7 +30,11 @@ def op9_sharding(spark, sf_dir):
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op6_packing, op7_mixing, op8_token_files, op9_sharding)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
 
 #: Hash-random order and prefix sums over whole sources; targets by the level
 #: that the largest prefix of capped sources leaves.
@@ -56,4 +60,24 @@ SELECT doc_id, size, source_size, target,
        (whole * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM j
 """
 
-ORACLE_SQL = {"op7_mixing": OP7_SQL}
+#: All pairs of distinct texts that share an n-gram, compared on their whole sets.
+OP10_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws, coalesce(text, '') AS t FROM documents),
+c AS (SELECT t, any_value(ws) AS ws, min(doc_id) AS first, count(*) AS copies FROM w WHERE len(ws) > 0 GROUP BY t),
+g AS (SELECT DISTINCT first AS c, unnest(CASE WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+        ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS gram FROM c),
+z AS (SELECT c, count(*) AS n FROM g GROUP BY c),
+p AS (SELECT a.c AS a, b.c AS b, count(*) AS common FROM g a JOIN g b ON a.gram = b.gram AND a.c < b.c GROUP BY a.c, b.c),
+l AS (SELECT a, b FROM p JOIN z x ON x.c = a JOIN z y ON y.c = b WHERE common * 5 >= 4 * (x.n + y.n - common)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT first AS c, first AS root FROM c UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.c WHERE r.root < e.b),
+m AS (SELECT c, min(root) AS root FROM r GROUP BY c),
+k AS (SELECT e.a AS c, sum(c.copies) AS links FROM e JOIN c ON c.first = e.b GROUP BY e.a),
+o AS (SELECT c.t, c.copies - 1 + coalesce(k.links, 0) AS n_links, m.root FROM c JOIN m ON m.c = c.first LEFT JOIN k ON k.c = c.first)
+SELECT w.doc_id, coalesce(o.n_links, 0)::BIGINT AS n_links, coalesce(o.root, w.doc_id) AS component_id,
+       w.doc_id = coalesce(o.root, w.doc_id) AS kept
+FROM w LEFT JOIN o ON o.t = w.t AND len(w.ws) > 0
+"""
+
+ORACLE_SQL = {"op7_mixing": OP7_SQL, "op10_jaccard_join": OP10_SQL}
