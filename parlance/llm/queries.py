@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import edit_embedding, jaccard_join, mixing, packing, sharding, token_files, toxicity
+from parlance.llm import cosine_dedup, edit_embedding, jaccard_join, mixing, packing, sharding, token_files, toxicity
 from parlance.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_cosine_dedup(spark, sf_dir):
+    return cosine_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -34,7 +38,7 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op4_cosine_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
 
 #: Hash-random order and prefix sums over whole sources; targets by the level
 #: that the largest prefix of capped sources leaves.
@@ -80,4 +84,22 @@ SELECT w.doc_id, coalesce(o.n_links, 0)::BIGINT AS n_links, coalesce(o.root, w.d
 FROM w LEFT JOIN o ON o.t = w.t AND len(w.ws) > 0
 """
 
-ORACLE_SQL = {"op7_mixing": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+#: All pairs of equal label, cosine in double precision, components by reachability.
+OP4_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+      ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS c, vec_id AS root FROM v UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.c WHERE r.root < l.b),
+m AS (SELECT c, min(root) AS root FROM r GROUP BY c),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(m.root, e.vec_id) AS component_id,
+       e.vec_id = coalesce(m.root, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN m ON m.c = e.vec_id LEFT JOIN k ON k.a = e.vec_id
+"""
+
+ORACLE_SQL = {"op4_cosine_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op10_jaccard_join": OP10_SQL}
