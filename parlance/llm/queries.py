@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import cosine_dedup, edit_embedding, jaccard_join, mixing, packing, sharding, token_files, toxicity
+from parlance.llm import cosine_dedup, edit_embedding, gated_lm, jaccard_join, mixing, packing, sharding, token_files, toxicity
 from parlance.sources.tables import table
 
 
@@ -14,6 +14,10 @@ def op2_toxicity(spark, sf_dir):
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_gated_lm(spark, sf_dir):
+    return gated_lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def op4_cosine_dedup(spark, sf_dir):
     return cosine_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -38,7 +42,7 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op4_cosine_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op3_gated_lm, op4_cosine_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
 
 #: Hash-random order and prefix sums over whole sources; targets by the level
 #: that the largest prefix of capped sources leaves.
