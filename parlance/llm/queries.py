@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from parlance.llm import cosine_dedup, edit_embedding, gated_lm, jaccard_join, mixing, packing, sharding, token_files, toxicity
+from parlance.llm import cosine_dedup, edit_embedding, gated_lm, jaccard_join, mixing, packing, sharding, suffix_dedup, token_files, toxicity
 from parlance.sources.tables import table
 
 
@@ -22,6 +22,10 @@ def op4_cosine_dedup(spark, sf_dir):
     return cosine_dedup.link_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return suffix_dedup.digest_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -42,7 +46,7 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op3_gated_lm, op4_cosine_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op3_gated_lm, op4_cosine_dedup, op5_suffix_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
 
 #: Hash-random order and prefix sums over whole sources; targets by the level
 #: that the largest prefix of capped sources leaves.

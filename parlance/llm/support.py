@@ -28,17 +28,21 @@ def quoted(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
+def saved(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """``df`` written once as Parquet in the shared scratch folder and read back.
 
     Cuts the lineage: later stages read committed files, so a lost executor
     costs only its own tasks, and one evaluation serves every reader (row
     order and partition numbers stored in it cannot change on recomputation).
+    ``release``: have the driver's JVM collect its garbage then, which lets
+    Spark's cleaner delete the shuffle files that only this write needed.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     _SCRATCH.append(path)
     df.write.option("compression", "zstd").parquet(path)
+    if release:
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
