@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import blocks
 from parlance.llm.components import components
-from parlance.llm.support import fresh, quoted, saved, text_or_empty
+from parlance.llm.support import quoted, saved, text_or_empty
 
 N, THRESHOLD = 5, 0.8
 #: Hashes of a band, and the recall wanted at the threshold itself.
@@ -253,14 +253,13 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     found = joined(docs, **options)
     head = found.where("has_words").groupBy("component").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "class")).alias("head"))
-    head = head.select("head.doc_id", "head.class")
-    digest, number, left = fresh(docs, "digest", "number", "left_over")
+    head = head.select(F.col("head.doc_id").alias("head_id"), F.col("head.class").alias("head_class"))
     text = text_or_empty()
-    rows = docs.withColumn(digest, F.md5(text.cast("binary"))).withColumn(left, ~text.rlike(r"[^\x20\x09-\x0D]"))
-    joined_rows = rows.join(head, (rows[digest] == head["class"]) & quoted("doc_id").cast("long").eqNullSafe(head["doc_id"]), "left") \
-        .select(*[rows[c] for c in rows.columns], head["class"].isNotNull().alias(number))
-    kept = joined_rows.where(F.col(number) | F.col(left)).drop(number)
-    # Equal rows of the kept document are interchangeable: the first one stays.
-    same = Window.partitionBy(F.col(digest), quoted("doc_id").cast("long")).orderBy(F.lit(0))
-    return kept.withColumn(number, F.row_number().over(same)).where((F.col(number) == 1) | F.col(left)).select(
-        *[quoted(c) for c in docs.columns])
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("doc"), quoted("doc_id").cast("long").alias("id"),
+                       F.md5(text.cast("binary")).alias("digest"), (~text.rlike(r"[^\x20\x09-\x0D]")).alias("wordless"))
+    chosen = rows.join(head, (F.col("digest") == F.col("head_class")) & F.col("id").eqNullSafe(F.col("head_id")), "left")
+    chosen = chosen.where(F.col("head_class").isNotNull() | F.col("wordless"))
+    # Equal rows of the chosen document are interchangeable: the first one stays.
+    same = Window.partitionBy("digest", "id").orderBy(F.lit(0))
+    kept = chosen.withColumn("number", F.row_number().over(same)).where((F.col("number") == 1) | F.col("wordless"))
+    return kept.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
