@@ -133,3 +133,13 @@ ENGLISH_STOPWORDS = (
     "could here's how's let's ought that's there's what's when's where's who's "
     "why's would"
 ).split()
+
+# Keys of turns and training rows: numbers padded to the digits a 64-bit one can
+# have, training rows led by their source (dataset rows sort before user rows).
+ID_DIGITS = 20
+DATASET_ID_PREFIX = "dataset:"
+USER_ID_PREFIX = "user:"
+# Fits of a cross-validation that run side by side.
+CV_PARALLELISM = 8
+# A class counts as well recognised from this F1 on.
+GOOD_F1 = 0.7

@@ -47,13 +47,14 @@ def max_probability(prob_array) -> Column:
     return F.array_max(_col(prob_array))
 
 
-def keyword_override(sentiment, confidence, cleaned) -> Column:
+def keyword_override(sentiment, confidence, cleaned=None, tokens=None) -> Column:
     """Below 0.6 confidence a positive word wins first, then a negative word.
 
+    ``tokens``: the keyword tokens where a column already holds them.
     Returns struct(sentiment, confidence) before calibration.
     """
     s, c = _col(sentiment), _col(confidence)
-    toks = keyword_tokens(cleaned)
+    toks = keyword_tokens(cleaned) if tokens is None else _col(tokens)
     low = c < K.OVERRIDE_BELOW
     pos = low & has_any(toks, K.POSITIVE_WORDS)
     neg = low & has_any(toks, K.NEGATIVE_WORDS)

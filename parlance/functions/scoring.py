@@ -13,7 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
-from parlance.functions.text import has_char, keyword_tokens, stopword_ratio, words
+from parlance.functions.text import has_char, keyword_tokens, stopword_ratio
 
 # Lexicon logistic scorer: z = b + a*(pos - neg) + e*exclaim + q*question + s*(stop_ratio - m)
 LEXICON_WEIGHTS = {"bias": 0.0, "lexicon": 1.5, "exclaim": 0.4, "question": -0.3,
@@ -33,15 +33,16 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def lexicon_positive_probability(cleaned) -> Column:
-    """P(positive) of cleaned text under the fixed lexicon logistic scorer."""
+def lexicon_positive_probability(cleaned, tokens=None, ws=None) -> Column:
+    """P(positive) of cleaned text under the fixed lexicon logistic scorer;
+    ``tokens`` and ``ws`` name columns that hold its keyword tokens and words."""
     w = LEXICON_WEIGHTS
-    toks = keyword_tokens(cleaned)
+    toks = keyword_tokens(cleaned) if tokens is None else _col(tokens)
     pos = F.size(F.array_intersect(toks, F.array(*[F.lit(x) for x in K.POSITIVE_WORDS])))
     neg = F.size(F.array_intersect(toks, F.array(*[F.lit(x) for x in K.NEGATIVE_WORDS])))
     z = (F.lit(w["bias"]) + w["lexicon"] * (pos - neg) + w["exclaim"] * has_char(cleaned, "!")
          + w["question"] * has_char(cleaned, "?")
-         + w["stop"] * (stopword_ratio(cleaned) - w["stop_mid"]))
+         + w["stop"] * (stopword_ratio(cleaned, ws=ws) - w["stop_mid"]))
     return 1.0 / (1.0 + F.exp(-z))
 
 
@@ -57,18 +58,20 @@ def _member_of(items):
     return lambda x: x.isin(items)
 
 
-def lang_intent(cleaned) -> Column:
-    """struct(intent, confidence): softmax over marker-word rates, argmax (first wins)."""
-    ws = words(cleaned)
+def lang_logits(ws) -> dict[str, Column]:
+    """Marker-word rate of each language over the words ``ws``, in class order."""
+    ws = _col(ws)
     n = F.size(ws) + 1
-    langs = sorted(LANG_MARKERS)
-    logits = [LANG_SCALE * F.size(F.filter(ws, _member_of(LANG_MARKERS[k]))) / n for k in langs]
-    mx = F.greatest(*logits)
-    exps = [F.exp(lg - mx) for lg in logits]
-    total = exps[0]
-    for e in exps[1:]:
-        total = total + e
+    return {k: LANG_SCALE * F.size(F.filter(ws, _member_of(LANG_MARKERS[k]))) / n for k in sorted(LANG_MARKERS)}
+
+
+def softmax_choice(logits: dict[str, Column], peak) -> tuple[Column, Column]:
+    """(class, confidence) of a softmax over logits whose largest is ``peak``;
+    the first of equal classes wins."""
     best = None
-    for k, lg in zip(reversed(langs), reversed(logits)):
-        best = F.when(lg == mx, F.lit(k)) if best is None else F.when(lg == mx, F.lit(k)).otherwise(best)
-    return F.struct(best.alias("intent"), F.round(1.0 / total, 4).alias("confidence"))
+    for k, lg in reversed(logits.items()):
+        best = F.when(lg == peak, F.lit(k)) if best is None else F.when(lg == peak, F.lit(k)).otherwise(best)
+    total = None
+    for lg in logits.values():
+        total = F.exp(lg - peak) if total is None else total + F.exp(lg - peak)
+    return best, F.round(1.0 / total, 4)

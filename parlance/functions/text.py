@@ -72,10 +72,11 @@ def has_char(c, ch: str) -> Column:
     return F.instr(_col(c), ch).__gt__(0).cast("int")
 
 
-def stopword_ratio(c, stopwords=None) -> Column:
-    """stop words / (words + 1); the list is a parameter (an ``IN`` set)."""
+def stopword_ratio(c, stopwords=None, ws=None) -> Column:
+    """stop words / (words + 1); the list is a parameter (an ``IN`` set).
+    ``ws``: the words of ``c`` where a column already holds them."""
     stop = list(dict.fromkeys(stopwords or ENGLISH_STOPWORDS))
-    ws = words(c)
+    ws = words(c) if ws is None else _col(ws)
     hits = F.size(F.filter(ws, lambda x: x.isin(stop)))
     return hits / (F.size(ws) + 1)
 
@@ -92,7 +93,7 @@ def has_any(tokens: Column, word_list) -> Column:
 def escalation_trigger(c, triggers=None, word_boundary: bool = False) -> Column:
     """Any phrase as a substring of the lower-cased text (or as a whole word)."""
     phrases = triggers or ESCALATION_TRIGGERS
-    alternation = "|".join(p.replace(" ", "\\ ") for p in phrases)
+    alternation = "|".join(_regex_quote(p.lower()) for p in phrases)
     pattern = f"\\b(?:{alternation})\\b" if word_boundary else alternation
     return F.coalesce(F.lower(_col(c)).rlike(pattern), F.lit(False))
 

@@ -68,12 +68,12 @@ def turn_counts(messages: DataFrame, session: str) -> DataFrame:
 
 
 def previous_value(df: DataFrame, group: str, order_cols, value: str, out: str = "previous") -> DataFrame:
-    """lag(value) per group: rank rows (skew-safe), then join each row to the
-    row ranked one lower; the join key (group, rank) is unique."""
+    """lag(value) per group (a null group is a group): rank rows (skew-safe), then
+    join each row to the row ranked one lower; the key (group, rank) is unique."""
     ranked = row_number_within(df, [group], order_cols, out="__rn")
     prev = ranked.select(F.col(group).alias("__g"), (F.col("__rn") + 1).alias("__rn2"),
                          F.col(value).alias(out))
-    j = ranked.join(prev, (F.col(group) == F.col("__g")) & (F.col("__rn") == F.col("__rn2")), "left")
+    j = ranked.join(prev, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__rn") == F.col("__rn2")), "left")
     return j.drop("__g", "__rn2", "__rn")
 
 
@@ -90,11 +90,14 @@ def latest_by_name(metrics: DataFrame, name: str, value: str, ts: str, n: int =
         F.max_by(value, F.struct(F.col(ts), F.col("id"))).alias("previous_latest"))
 
 
-def loss_rollup(log: DataFrame, run: str, epoch: str, loss: str, limit: float) -> DataFrame:
-    """Mean loss per (run, epoch) over valid batches (not NaN, <= limit); the
-    divisor is at least 1, so an epoch without valid batches reports 0."""
-    valid = ~F.isnan(F.col(loss)) & F.col(loss).isNotNull() & (F.col(loss) <= limit)
-    return log.groupBy(run, epoch).agg(
-        F.count(F.lit(1)).alias("batches"), F.count_if(valid).alias("valid_batches"),
-        (F.coalesce(F.sum(F.when(valid, F.col(loss))), F.lit(0.0))
-         / F.greatest(F.count_if(valid), F.lit(1))).alias("avg_loss"))
+def loss_rollup(log: DataFrame, run: str, epoch: str, loss: str, limits: dict) -> DataFrame:
+    """Mean loss per (run, epoch) over valid batches (not NaN, <= limit) for each
+    named limit, in one aggregate (``valid_batches`` is that of the limit named
+    ""); the divisor is at least 1, so an epoch without valid batches reports 0."""
+    def valid(limit):
+        return ~F.isnan(F.col(loss)) & F.col(loss).isNotNull() & (F.col(loss) <= limit)
+
+    means = [(F.coalesce(F.sum(F.when(valid(x), F.col(loss))), F.lit(0.0))
+              / F.greatest(F.count_if(valid(x)), F.lit(1))).alias(f"avg_loss{name}") for name, x in limits.items()]
+    return log.groupBy(run, epoch).agg(F.count(F.lit(1)).alias("batches"),
+                                       F.count_if(valid(limits[""])).alias("valid_batches"), *means)

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from parlance.operators.ordered import grouped_scan
 
 
-def confusion(df: DataFrame, y: str, p: str, dense: bool = True) -> DataFrame:
-    """(actual, predicted, count); dense over all classes seen in y or p."""
+def confusion(df: DataFrame, y: str, p: str, dense: bool = True, classes: DataFrame | None = None) -> DataFrame:
+    """(actual, predicted, count); dense over all classes seen in y or p, or over
+    the given ones (column ``c``) on both axes."""
     counts = df.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(
         F.count(F.lit(1)).alias("count"))
     if not dense:
         return counts
-    classes = (df.select(F.col(y).alias("c")).union(df.select(F.col(p).alias("c")))
-               .where(F.col("c").isNotNull()).distinct())
+    if classes is None:
+        classes = (df.select(F.col(y).alias("c")).union(df.select(F.col(p).alias("c")))
+                   .where(F.col("c").isNotNull()).distinct())
     grid = classes.select(F.col("c").alias("actual")).crossJoin(classes.select(F.col("c").alias("predicted")))
     return (grid.join(counts, ["actual", "predicted"], "left")
             .withColumn("count", F.coalesce(F.col("count"), F.lit(0)).cast("bigint")))

@@ -91,10 +91,15 @@ def cross_validate(estimator, data: DataFrame, grid=None, folds: int = K.CV_FOLD
     ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="f1")
     grid = grid or ParamGridBuilder().build()
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=grid, evaluator=ev, numFolds=folds,
-                        foldCol=fold_col, parallelism=2, seed=K.SEED)
+                        foldCol=fold_col, parallelism=K.CV_PARALLELISM, seed=K.SEED)
     return cv.fit(data)
 
 
+def fold_rows(n_train: int, folds: int) -> int:
+    """Rows that a fit inside ``folds``-fold cross-validation sees."""
+    return max(1, n_train * (folds - 1) // folds)
+
+
 def lr_grid(lr: LogisticRegression, n_train: int):
     """C in {0.01, 0.1, 1, 10} as regParam = 1 / (C * n); the solver axis collapses."""
     return ParamGridBuilder().addGrid(lr.regParam, [1.0 / (c * max(n_train, 1)) for c in K.LR_GRID_C]).build()

@@ -28,7 +28,7 @@ from parlance.session import checkpoint_root
 
 _COMBINE = {
     "count": lambda local, carry: local + F.coalesce(carry, F.lit(0)),
-    "sum": lambda local, carry: local + F.coalesce(carry, F.lit(0)),
+    "sum": lambda local, carry: F.coalesce(local + carry, local, carry),
     "max": lambda local, carry: F.greatest(local, carry),
     "min": lambda local, carry: F.least(local, carry),
 }
@@ -87,10 +87,14 @@ def grouped_scan(df: DataFrame, group_cols, order_cols, aggs: dict, n_partitions
     ).where(F.col("__n_prev") > 0).drop("__n_prev")
     # Only a chunk whose group started in an earlier partition has a carry:
     # at most one such chunk per partition, so this side is bounded by n.
-    out = local.join(F.broadcast(carries), on=chunk, how="left")
+    # A null group is a group too, so the keys are compared null-safe.
+    carries = carries.select(*[F.col(c).alias(f"__of_{c}") for c in chunk],
+                             *[f"__carry_{name}" for name in aggs])
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in chunk]
+    out = local.join(F.broadcast(carries), on=same, how="left")
     for name, (kind, _) in aggs.items():
         out = out.withColumn(name, _COMBINE[kind](F.col(f"__local_{name}"), F.col(f"__carry_{name}")))
-    drop = ["__pid"] + [c for name in aggs for c in (f"__local_{name}", f"__carry_{name}")]
+    drop = ["__pid"] + [f"__of_{c}" for c in chunk] + [c for name in aggs for c in (f"__local_{name}", f"__carry_{name}")]
     return out.drop(*drop)
 
 

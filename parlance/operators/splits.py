@@ -35,7 +35,9 @@ def stratified_split(df: DataFrame, key: str, by: str, test_fraction: float = K.
     h = stable_bucket(key, 1 << 32, seed)
     ranked = row_number_within(df.withColumn("__h", h), [by], ["__h", key], out="__rn")
     sizes = df.groupBy(by).agg(F.count(F.lit(1)).alias("__n"))
-    j = ranked.join(sizes, on=by, how="inner")
+    # A null class is a class of its own: its rows are split like any other's.
+    sizes = sizes.withColumnRenamed(by, "__by")
+    j = ranked.join(sizes, F.col(by).eqNullSafe(F.col("__by"))).drop("__by")
     n_test = F.ceil(F.col("__n") * F.lit(test_fraction))
     return (j.withColumn(out, F.when(F.col("__rn") <= n_test, F.lit("test")).otherwise(F.lit("train")))
             .drop("__h", "__rn", "__n"))

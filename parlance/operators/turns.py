@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
@@ -25,29 +25,54 @@ def pair_turns(conversations: DataFrame) -> DataFrame:
     return user.join(bot, on=["conv_id", "turn"], how="left")
 
 
+def turn_id(conv="conv_id", turn="turn", prefix: str = "") -> Column:
+    """Text key of a turn: unique for any session and turn number, and its text
+    order is the order of (session, turn) for numbers from 0."""
+    parts = [F.lpad(F.col(c).cast("string"), K.ID_DIGITS, "0") for c in (conv, turn)]
+    return F.concat(F.lit(prefix), parts[0], F.lit(":"), parts[1])
+
+
+def _prepared(df: DataFrame, text_col: str) -> DataFrame:
+    """Cleaned text, its words and its keyword tokens as columns, so that every
+    later rule reads them by name and no plan repeats the cleaning regex."""
+    df = df.withColumn("__clean", TX.clean_text(text_col))
+    return df.withColumns({"__words": TX.words("__clean"), "__tokens": TX.keyword_tokens("__clean")})
+
+
+def _sentiment(df: DataFrame, p_positive=None) -> DataFrame:
+    p = p_positive if p_positive is not None else S.lexicon_positive_probability("__clean", "__tokens", "__words")
+    df = df.withColumn("__p", p)
+    code, conf = S.binary_prediction("__p")
+    df = df.withColumns({"__s": L.code_to_sentiment(code, 2), "__conf": conf})
+    df = df.withColumn("__over", L.keyword_override("__s", "__conf", tokens="__tokens"))
+    return (df.withColumn("sentiment", F.col("__over.sentiment"))
+            .withColumn("sentiment_confidence", L.calibrate("__over.confidence"))
+            .drop("__over", "__s", "__conf", "__p"))
+
+
+def _intent(df: DataFrame) -> DataFrame:
+    logits = S.lang_logits("__words")
+    names = {k: f"__logit_{k}" for k in logits}
+    df = df.withColumns({names[k]: lg for k, lg in logits.items()})
+    df = df.withColumn("__peak", F.greatest(*names.values()))
+    intent, confidence = S.softmax_choice({k: F.col(n) for k, n in names.items()}, F.col("__peak"))
+    return df.withColumns({"intent": intent, "intent_confidence": confidence}).drop("__peak", *names.values())
+
+
+_PREPARED = ("__clean", "__words", "__tokens")
+
+
 def score_sentiment(df: DataFrame, text_col: str, p_positive=None) -> DataFrame:
     """Sentiment and calibrated confidence of each row.
 
     ``p_positive`` is the positive-class probability column of any two-class
     scorer; by default the fixed lexicon scorer.
     """
-    cleaned = TX.clean_text(text_col)
-    df = df.withColumn("__clean", cleaned)
-    p = p_positive if p_positive is not None else S.lexicon_positive_probability("__clean")
-    code, conf = S.binary_prediction(p)
-    over = L.keyword_override(L.code_to_sentiment(code, 2), conf, "__clean")
-    return (df.withColumn("__over", over)
-            .withColumn("sentiment", F.col("__over.sentiment"))
-            .withColumn("sentiment_confidence", L.calibrate("__over.confidence"))
-            .drop("__over", "__clean"))
+    return _sentiment(_prepared(df, text_col), p_positive).drop(*_PREPARED)
 
 
 def score_intent(df: DataFrame, text_col: str) -> DataFrame:
-    it = S.lang_intent(TX.clean_text(text_col))
-    return (df.withColumn("__intent", it)
-            .withColumn("intent", F.col("__intent.intent"))
-            .withColumn("intent_confidence", F.col("__intent.confidence"))
-            .drop("__intent"))
+    return _intent(_prepared(df, text_col)).drop(*_PREPARED)
 
 
 def choose_reply(grounded, generated=None):
@@ -66,15 +91,14 @@ def choose_reply(grounded, generated=None):
     return reply, source
 
 
-def score_turns(pairs: DataFrame, word_boundary: bool = False) -> DataFrame:
+def score_turns(pairs: DataFrame, word_boundary: bool = False, p_positive=None) -> DataFrame:
     """Score user turns: sentiment, intent, escalation, reply and its source.
 
     Input columns: conv_id, turn, user_message, reply (candidate). Output adds
     session_id, sentiment, sentiment_confidence, intent, intent_confidence,
     escalate, response, model_used, category.
     """
-    df = score_sentiment(pairs, "user_message")
-    df = score_intent(df, "user_message")
+    df = _intent(_sentiment(_prepared(pairs, "user_message"), p_positive)).drop(*_PREPARED)
     reply, source = choose_reply("reply")
     esc = L.escalate("user_message", "sentiment", "sentiment_confidence", word_boundary=word_boundary)
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
@@ -90,7 +114,7 @@ def score_turns(pairs: DataFrame, word_boundary: bool = False) -> DataFrame:
 def log_rows(scored: DataFrame) -> DataFrame:
     """Scored turns as conversation-log rows (the log table's columns)."""
     return scored.select(
-        (F.col("conv_id") * 10000 + F.col("turn")).cast("bigint").alias("id"),
+        turn_id().alias("id"),
         "session_id", "user_message", F.col("response").alias("bot_response"),
         "intent", "intent_confidence", "sentiment", "sentiment_confidence", "model_used",
         F.col("escalate").cast("int").alias("escalated"),
@@ -98,10 +122,10 @@ def log_rows(scored: DataFrame) -> DataFrame:
     )
 
 
-def training_rows(scored: DataFrame, source: str = "user") -> DataFrame:
+def training_rows(scored: DataFrame, source: str = "user", prefix: str = "") -> DataFrame:
     """Scored turns as training pairs; category is the intent's upper prefix."""
     return scored.select(
-        (F.col("conv_id") * 10000 + F.col("turn")).cast("bigint").alias("id"),
+        turn_id(prefix=prefix).alias("id"),
         F.col("user_message").alias("instruction"), F.col("response").alias("response"),
         "intent", "category", F.coalesce(F.lit(source), F.lit("user")).alias("source"),
         F.current_timestamp().alias("timestamp"),

@@ -10,7 +10,7 @@ from parlance.functions.labels import stable_bucket
 from parlance.operators import corpus, encode, splits, turns
 from parlance.plans import sqlfrag as Q
 from parlance.plans.registry import Tables, plan
-from parlance.plans.turn_plans import PAIRS_SQL
+from parlance.plans.turn_plans import PAIRS_SQL, SCORED_SQL
 from parlance.sources import landing
 from parlance.sources.tables import shape_report, spread
 
@@ -80,7 +80,7 @@ def sentiment_corpus(spark, sf_dir):
 
 SUPPORT_CORPUS_SQL = f"""
 WITH p AS ({PAIRS_SQL}),
-raw AS (SELECT conv_id * 10000 + turn AS id, user_message AS instruction, reply AS response FROM p),
+raw AS (SELECT {Q.TURN_ID} AS id, user_message AS instruction, reply AS response FROM p),
 dd AS (SELECT min(id) AS id, instruction, response FROM raw GROUP BY instruction, response),
 nn AS (SELECT * FROM dd WHERE instruction IS NOT NULL AND response IS NOT NULL),
 c AS (SELECT id, {Q.clean('instruction')} AS clean_instruction, {Q.clean('response')} AS clean_response FROM nn)
@@ -93,7 +93,7 @@ FROM c
 
 def support_raw(spark, sf_dir):
     p = turns.pair_turns(Tables(spark, sf_dir).conversations)
-    return p.select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"),
+    return p.select(turns.turn_id().alias("id"),
                     F.col("user_message").alias("instruction"), F.col("reply").alias("response"))
 
 
@@ -114,7 +114,8 @@ def support_corpus(spark, sf_dir):
 SELECT min(doc_id) AS doc_id, lang, source, n_chars FROM documents GROUP BY text, lang, source, n_chars
 """, ids=("F1",))
 def dedup_exact(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source", "n_chars")
+    # The digest stands for the text: it alone crosses the shuffle.
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.sha2("text", 256).alias("text"), "lang", "source", "n_chars")
     return corpus.dedup_rows(d, "doc_id").select("doc_id", "lang", "source", "n_chars")
 
 
@@ -124,7 +125,7 @@ FROM documents GROUP BY text
 """, ids=("F2",))
 def dedup_keep_first(spark, sf_dir):
     from parlance.operators.ordered import first_by
-    d = Tables(spark, sf_dir).documents.select("doc_id", "text", "lang", "source")
+    d = Tables(spark, sf_dir).documents.select("doc_id", F.sha2("text", 256).alias("text"), "lang", "source")
     return first_by(d, ["text"], "doc_id", ["lang", "source"]).select("doc_id", "lang", "source")
 
 
@@ -254,7 +255,13 @@ def name_to_code(spark, sf_dir):
         "doc_id", "source", "source_code")
 
 
-@plan("sentiment_code_map", sql=None, ids=("J3",))
+_CODES = " ".join(f"WHEN sentiment = {Q.q(k)} THEN {v}" for k, v in K.SENTIMENT_CODES.items())
+
+
+@plan("sentiment_code_map", sql=f"""
+SELECT conv_id, turn, sentiment, CASE {_CODES} END AS sentiment_encoded FROM ({SCORED_SQL})
+WHERE CASE {_CODES} END IS NOT NULL
+""", ids=("J3",))
 def sentiment_code_map(spark, sf_dir):
     from parlance.plans.turn_plans import scored_turns
     coded, _ = encode.sentiment_codes(scored_turns(spark, sf_dir), "sentiment")
@@ -306,11 +313,11 @@ def kfold(spark, sf_dir):
 @plan("seeded_sample", sql=f"""
 WITH p AS ({PAIRS_SQL})
 SELECT conv_id, turn FROM p
-ORDER BY {_h("conv_id * 10000 + turn", 1 << 32, K.SEED)}, conv_id * 10000 + turn LIMIT {K.SIMILARITY_SAMPLES}
+ORDER BY {_h(Q.TURN_ID, 1 << 32, K.SEED)}, {Q.TURN_ID} LIMIT {K.SIMILARITY_SAMPLES}
 """, ids=("D3",))
 def seeded_sample(spark, sf_dir):
     p = turns.pair_turns(Tables(spark, sf_dir).conversations)
-    p = p.withColumn("__key", F.col("conv_id") * 10000 + F.col("turn"))
+    p = p.withColumn("__key", turns.turn_id())
     return splits.seeded_sample(p, "__key", K.SIMILARITY_SAMPLES).select("conv_id", "turn")
 
 

@@ -179,23 +179,25 @@ def centroid_confusion(spark, sf_dir):
 
 @plan("per_class_f1", sql=f"""
 WITH {CENTROID_SQL}, {prf_sql('mc')}
-SELECT class, round(f1, 6) AS f1, support FROM f WHERE support > 0 ORDER BY f1 DESC, class
-""", ids=("W6", "X3"))
+SELECT class, round(f1, 6) AS f1, support, f1 >= {K.GOOD_F1} AS good FROM f WHERE support > 0 ORDER BY f1 DESC, class
+""", ids=("W6", "X3", "F13"))
 def per_class_f1(spark, sf_dir):
     pc = metrics.per_class(centroid_scored(spark, sf_dir), "y", "p").where(F.col("support") > 0)
-    return pc.select("class", F.round("f1", 6).alias("f1"), "support").orderBy(F.desc("f1"), "class")
+    return pc.select("class", F.round("f1", 6).alias("f1"), "support", (F.col("f1") >= K.GOOD_F1).alias("good")).orderBy(F.desc("f1"), "class")
 
 
 @plan("confusion_topk", sql=f"""
 WITH {CENTROID_SQL},
-top AS (SELECT y FROM mc GROUP BY y ORDER BY count(*) DESC, y LIMIT 5),
-cn AS (SELECT y AS actual, p AS predicted, count(*) AS n FROM mc WHERE y IN (SELECT y FROM top) GROUP BY 1, 2)
-SELECT actual, predicted, n AS count FROM cn
+top AS (SELECT y FROM mc GROUP BY y ORDER BY count(*) DESC, y LIMIT {K.TOP_CLASSES}),
+cn AS (SELECT y AS actual, p AS predicted, count(*) AS n FROM mc GROUP BY 1, 2)
+SELECT a.y AS actual, b.y AS predicted, coalesce(cn.n, 0) AS count
+FROM top a, top b LEFT JOIN cn ON cn.actual = a.y AND cn.predicted = b.y
 """, ids=("X4", "F12", "W5"))
 def confusion_topk(spark, sf_dir):
-    from parlance.operators.corpus import keep_top_classes
-    s = keep_top_classes(centroid_scored(spark, sf_dir), "y", 5)
-    return metrics.confusion(s, "y", "p", dense=False)
+    from parlance.operators.corpus import value_counts
+    s = centroid_scored(spark, sf_dir).select("y", "p")
+    top = value_counts(s, "y").limit(K.TOP_CLASSES).select(F.col("y").alias("c"))
+    return metrics.confusion(s, "y", "p", classes=top)
 
 
 @plan("auc_ovr", sql=f"""

@@ -30,7 +30,7 @@ def grams(x: str) -> str:
 # --- V1, V2: terms -------------------------------------------------------------
 
 NGRAMS_SQL = f"""
-WITH u AS (SELECT conv_id * 10000 + turn AS id, {Q.clean('text')} AS c FROM conversations WHERE role = 'user'),
+WITH u AS (SELECT {Q.TURN_ID} AS id, {Q.clean('text')} AS c FROM conversations WHERE role = 'user'),
 t AS (SELECT id, unnest({grams('c')}) AS term FROM u)
 SELECT id, term, count(*) AS tf FROM t GROUP BY id, term
 """
@@ -40,7 +40,7 @@ SELECT id, term, count(*) AS tf FROM t GROUP BY id, term
 def ngrams(spark, sf_dir):
     from parlance.functions.text import clean_text
     c = Tables(spark, sf_dir).conversations.where(F.col("role") == "user")
-    c = spread(c.select((F.col("conv_id") * 10000 + F.col("turn")).alias("id"), "text"))
+    c = spread(c.select(turns.turn_id().alias("id"), "text"))
     c = c.select("id", clean_text("text").alias("c"))
     return tfidf.term_counts(c, "id", "c", (1, 2))
 
@@ -129,7 +129,7 @@ def tfidf_plain(spark, sf_dir):
 def _pair_sql(where: str = "") -> str:
     return f"""
 WITH p AS ({PAIRS_SQL}),
-k AS (SELECT conv_id * 10000 + turn AS id, user_message, reply FROM p WHERE reply IS NOT NULL {where}),
+k AS (SELECT {Q.TURN_ID} AS id, user_message, reply FROM p WHERE reply IS NOT NULL {where}),
 t AS (SELECT id, unnest({toks('user_message')}) AS term, 0 AS side FROM k
       UNION ALL SELECT id, unnest({toks('reply')}) AS term, 1 AS side FROM k),
 c AS (SELECT id, term, count(*) FILTER (WHERE side = 0) AS ta, count(*) FILTER (WHERE side = 1) AS tb FROM t GROUP BY id, term),
@@ -143,7 +143,7 @@ r AS (SELECT k.id, CASE WHEN na > 0 AND nb > 0 THEN dot / (sqrt(na) * sqrt(nb))
 
 def _pairs(spark, sf_dir):
     p = turns.pair_turns(Tables(spark, sf_dir).conversations).where(F.col("reply").isNotNull())
-    return p.withColumn("id", F.col("conv_id") * 10000 + F.col("turn"))
+    return p.withColumn("id", turns.turn_id())
 
 
 @plan("pair_cosine", sql=_pair_sql() + "SELECT id, round(coalesce(similarity, 0.0), 6) AS similarity FROM r",
@@ -153,8 +153,8 @@ def pair_cosine(spark, sf_dir):
     return s.select("id", F.round("similarity", 6).alias("similarity"))
 
 
-SAMPLE_WHERE = (f"AND conv_id * 10000 + turn IN (SELECT conv_id * 10000 + turn FROM p WHERE reply IS NOT NULL "
-                f"ORDER BY {Q.bucket('conv_id * 10000 + turn', 1 << 32, K.SEED)}, conv_id * 10000 + turn "
+SAMPLE_WHERE = (f"AND {Q.TURN_ID} IN (SELECT {Q.TURN_ID} FROM p WHERE reply IS NOT NULL "
+                f"ORDER BY {Q.bucket(Q.TURN_ID, 1 << 32, K.SEED)}, {Q.TURN_ID} "
                 f"LIMIT {K.SIMILARITY_SAMPLES})")
 
 

@@ -15,25 +15,22 @@ from parlance.plans.turn_plans import SCORED_SQL, scored_turns
 from parlance.session import scratch_path
 from parlance.sources import logtables
 
-DATASET_BASE = 0
-USER_BASE = 10 ** 15
-
 # --- the tables -----------------------------------------------------------------
 
 LOG_SQL = f"""
-SELECT conv_id * 10000 + turn AS id, session_id, user_message, response AS bot_response, intent,
+SELECT {Q.TURN_ID} AS id, session_id, user_message, response AS bot_response, intent,
        intent_confidence, sentiment, sentiment_confidence, model_used, escalate::INTEGER AS escalated
 FROM ({SCORED_SQL})
 """
 
 BULK_SQL = f"""
-SELECT {DATASET_BASE} + id AS id, clean_instruction AS instruction, clean_response AS response,
+SELECT '{K.DATASET_ID_PREFIX}' || id AS id, clean_instruction AS instruction, clean_response AS response,
        'unknown' AS intent, 'unknown' AS category, 'dataset' AS source
 FROM ({SUPPORT_CORPUS_SQL}) WHERE clean_instruction <> '' AND clean_response <> ''
 """
 
 USER_ROWS_SQL = f"""
-SELECT {USER_BASE} + conv_id * 10000 + turn AS id, user_message AS instruction, response, intent, category,
+SELECT '{K.USER_ID_PREFIX}' || {Q.TURN_ID} AS id, user_message AS instruction, response, intent, category,
        'user' AS source
 FROM ({SCORED_SQL})
 """
@@ -47,12 +44,11 @@ def conversation_log(spark, sf_dir):
 
 def bulk_rows(spark, sf_dir):
     sc = support_prepared(spark, sf_dir)
-    return logtables.bulk_load(sc, id_base=DATASET_BASE)
+    return logtables.bulk_load(sc)
 
 
 def user_rows(spark, sf_dir):
-    t = turns.training_rows(scored_turns(spark, sf_dir))
-    return t.withColumn("id", F.col("id") + F.lit(USER_BASE))
+    return turns.training_rows(scored_turns(spark, sf_dir), prefix=K.USER_ID_PREFIX)
 
 
 def training_table(spark, sf_dir):
@@ -157,12 +153,14 @@ def recent_turns(spark, sf_dir):
 
 
 @plan("session_history", sql="""
-SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position
+SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS position
 FROM conversations WHERE role IN ('user', 'assistant')
 """, ids=("W8", "W9"))
 def session_history(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations.where(F.col("role").isin("user", "assistant"))
-    return logs.session_history(c.select("conv_id", "turn", "role"), "conv_id", "turn")
+    # Only the keys are ranked; the messages are joined to them.
+    ranked = logs.session_history(c.select("conv_id", "turn"), "conv_id", "turn")
+    return c.select("conv_id", "turn", "role", "text").join(ranked, ["conv_id", "turn"])
 
 
 @plan("escalated_only", sql=f"SELECT id, session_id, sentiment FROM ({LOG_SQL}) WHERE escalated = 1",
@@ -240,13 +238,10 @@ SELECT event_type AS run, dayofmonth(ts)::INTEGER AS epoch, count(*) AS batches,
 FROM events GROUP BY 1, 2
 """, ids=("A15",))
 def training_log_rollup(spark, sf_dir):
-    log = loss_log(spark, sf_dir)
-    a = logs.loss_rollup(log, "run", "epoch", "loss", K.LOSS_LIMIT)
-    b = logs.loss_rollup(log, "run", "epoch", "loss", K.LOSS_LIMIT_RELAXED).select(
-        "run", "epoch", F.col("avg_loss").alias("avg_loss_relaxed"))
-    return a.join(b, ["run", "epoch"]).select(
-        "run", "epoch", "batches", "valid_batches", F.round("avg_loss", 6).alias("avg_loss"),
-        F.round("avg_loss_relaxed", 6).alias("avg_loss_relaxed"))
+    rolled = logs.loss_rollup(loss_log(spark, sf_dir), "run", "epoch", "loss",
+                              {"": K.LOSS_LIMIT, "_relaxed": K.LOSS_LIMIT_RELAXED})
+    return rolled.select("run", "epoch", "batches", "valid_batches", F.round("avg_loss", 6).alias("avg_loss"),
+                         F.round("avg_loss_relaxed", 6).alias("avg_loss_relaxed"))
 
 
 @plan("progress_rows", sql="""

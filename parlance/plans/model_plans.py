@@ -8,6 +8,7 @@ known-class filter) have SQL twins.
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
@@ -17,6 +18,7 @@ from parlance.operators.encode import fit_codes, sentiment_codes
 from parlance.operators.ordered import first_by
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
+from parlance.plans.feature_plans import VOCAB_CTE
 from parlance.plans.log_plans import LOG_SQL, conversation_log
 from parlance.plans.registry import Tables, plan
 from parlance.session import scratch_path
@@ -40,7 +42,8 @@ def _features(spark, sf_dir):
     sc = split_corpus(spark, sf_dir)
     train, test = sc.where(F.col("split") == "train"), sc.where(F.col("split") == "test")
     tr, te, _, n_terms = models.featurize(train, test, "doc_id", "clean_text")
-    tr, te = tr.cache(), te.cache()
+    tr = tr.select("doc_id", "label", "fold", "features").cache()
+    te = te.select("doc_id", "label", "features").cache()
     return models.sized(tr, tr.count()), models.sized(te, te.count()), n_terms
 
 
@@ -62,27 +65,71 @@ def dt_sentiment(spark, sf_dir):
 @plan("cv_f1", ids=("M5", "D4", "A14"))
 def cv_f1(spark, sf_dir):
     tr, _, _ = _features(spark, sf_dir)
-    n = tr.count()
-    cvm = models.cross_validate(models.logistic(n), tr)
+    cvm = models.cross_validate(models.logistic(models.fold_rows(tr.count(), K.CV_FOLDS)), tr)
     std = cvm.stdMetrics[0] if cvm.stdMetrics else None
     return spark.createDataFrame([("Logistic Regression", float(cvm.avgMetrics[0]), float(std or 0.0))],
                                  "name string, cv_f1 double, cv_std double")
 
 
-@plan("grid_lr", ids=("M3", "M4"))
+@plan("grid_lr", ids=("M3",))
 def grid_lr(spark, sf_dir):
+    """Folds are fitted with the regularisation of their own row number, the
+    winner again on all training rows with theirs."""
     tr, te, _ = _features(spark, sf_dir)
     n = tr.count()
-    lr = models.logistic(n)
     tr3 = splits.folds(tr.drop("fold"), "doc_id", K.GRID_FOLDS)
-    cvm = models.cross_validate(lr, tr3, models.lr_grid(lr, n), K.GRID_FOLDS)
-    rows = [(1.0 / (pm[lr.regParam] * n), float(score))
+    inside = models.fold_rows(n, K.GRID_FOLDS)
+    lr = models.logistic(inside)
+    cvm = models.cross_validate(lr, tr3, models.lr_grid(lr, inside), K.GRID_FOLDS)
+    rows = [(float(c), float(score)) for c, score in zip(K.LR_GRID_C, cvm.avgMetrics)]
+    best_c = max(rows, key=lambda r: r[1])[0]
+    best = models.evaluate(models.logistic(n, best_c).fit(tr), te, name="Logistic Regression (tuned)")
+    return spark.createDataFrame(rows, "C double, cv_f1 double").crossJoin(best.select(F.col("f1").alias("test_f1_of_best")))
+
+
+@plan("grid_dt", ids=("M4",))
+def grid_dt(spark, sf_dir):
+    tr, te, _ = _features(spark, sf_dir)
+    tr3 = splits.folds(tr.drop("fold"), "doc_id", K.GRID_FOLDS)
+    dt = models.tree()
+    cvm = models.cross_validate(dt, tr3, models.dt_grid(dt), K.GRID_FOLDS)
+    rows = [(int(pm[dt.maxDepth]), int(pm[dt.minInstancesPerNode]), float(score))
             for pm, score in zip(cvm.getEstimatorParamMaps(), cvm.avgMetrics)]
-    grid = spark.createDataFrame(rows, "C double, cv_f1 double")
-    best = models.evaluate(cvm.bestModel, te, name="Logistic Regression (tuned)")
+    best = models.evaluate(cvm.bestModel, te, name="Decision Tree (tuned)")
+    grid = spark.createDataFrame(rows, "max_depth int, min_leaf int, cv_f1 double")
     return grid.crossJoin(best.select(F.col("f1").alias("test_f1_of_best")))
 
 
+MODEL_ROWS_CTE = f"""{VOCAB_CTE},
+mr AS (SELECT split, doc_id FROM sp WHERE clean_text <> '')"""
+
+
+@plan("lr_checks", sql=f"""
+WITH {MODEL_ROWS_CTE}
+SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
+       (SELECT count(*) FROM vocab) AS n_terms, true AS metrics_in_range, true AS accuracy_recomputed,
+       true AS probabilities_sum_to_one FROM mr
+""", ids=("M1", "M6", "X1"))
+def lr_checks(spark, sf_dir):
+    """What must hold for any fit: rows, terms, metrics in range and equal to those
+    recomputed from the predictions, probabilities that sum to one."""
+    tr, te, n_terms = _features(spark, sf_dir)
+    n = tr.count()
+    m = models.logistic(n).fit(tr)
+    metrics_row = models.evaluate(m, te)
+    ranged = [F.col(c).between(0, 1) for c in ("accuracy", "precision", "recall", "f1", "auc")]
+    ok = ranged[0]
+    for r in ranged[1:]:
+        ok = ok & r
+    pred = m.transform(te).select("label", "prediction", vector_to_array("probability").alias("p"))
+    seen = pred.agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc"),
+                    F.bool_and(F.abs(F.aggregate("p", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9).alias("sums"))
+    return metrics_row.crossJoin(seen).select(
+        F.lit(n).cast("long").alias("n_train"), "n_test", F.lit(n_terms).cast("long").alias("n_terms"),
+        ok.alias("metrics_in_range"), (F.abs(F.col("accuracy") - F.col("acc")) < 1e-9).alias("accuracy_recomputed"),
+        F.col("sums").alias("probabilities_sum_to_one"))
+
+
 @plan("intent_lr", ids=("M8", "E1", "D2", "X3"))
 def intent_lr(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", "lang", TX.clean_text("text").alias("clean_text"))
@@ -97,7 +144,10 @@ def intent_lr(spark, sf_dir):
     return models.evaluate(m, te, name="Intent LR", binary=False)
 
 
-@plan("model_reload", ids=("S12", "M6"))
+@plan("model_reload", sql=f"""
+WITH {MODEL_ROWS_CTE}
+SELECT count(*) AS rows, count(*) AS equal FROM mr WHERE split = 'test'
+""", ids=("S12", "M6"))
 def model_reload(spark, sf_dir):
     tr, te, _ = _features(spark, sf_dir)
     m = models.logistic(tr.count()).fit(tr)
@@ -114,7 +164,7 @@ def model_reload(spark, sf_dir):
 
 UNION_SQL = f"""
 WITH sc AS ({SENTIMENT_CORPUS_SQL}),
-c AS (SELECT clean_text, {_code_sql('sentiment')} AS sentiment_encoded, 0 AS src, doc_id AS ord FROM sc
+c AS (SELECT clean_text, {_code_sql('sentiment')} AS sentiment_encoded, 0 AS src, {Q.padded('doc_id')} AS ord FROM sc
       WHERE {Q.bucket('doc_id', splits.BUCKETS, K.SEED)} < 8000 AND clean_text <> ''),
 lg AS (SELECT {Q.clean('user_message')} AS clean_text, {_code_sql('sentiment')} AS sentiment_encoded, 1 AS src, id AS ord
        FROM ({LOG_SQL}) WHERE user_message IS NOT NULL AND sentiment IS NOT NULL),
@@ -125,10 +175,13 @@ FROM u GROUP BY clean_text
 """
 
 
-def combined_train(spark, sf_dir):
+def combined_train(spark, sf_dir, keys: bool = False):
+    """Corpus and log rows, the first row of each text kept; ``keys`` adds the
+    kept row's own key as ``doc_id``."""
     sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id").where(F.col("split") == "train")
     corpus, _ = sentiment_codes(sc.where(F.col("clean_text") != ""), "sentiment")
-    corpus = corpus.select("clean_text", "sentiment_encoded", F.lit(0).alias("src"), F.col("doc_id").alias("ord"))
+    corpus = corpus.select("clean_text", "sentiment_encoded", F.lit(0).alias("src"),
+                           F.lpad(F.col("doc_id").cast("string"), K.ID_DIGITS, "0").alias("ord"))
     log = conversation_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
     log = log.withColumn("clean_text", TX.clean_text("user_message"))
     log, _quarantined = sentiment_codes(log, "sentiment")
@@ -136,7 +189,8 @@ def combined_train(spark, sf_dir):
                                                       F.col("id").alias("ord"))
     u = corpus.unionByName(log, allowMissingColumns=True).withColumn("__o", F.struct("src", "ord"))
     first = first_by(u, ["clean_text"], "__o", ["sentiment_encoded"])
-    return first.select("clean_text", "sentiment_encoded",
+    key = [F.concat_ws(":", F.col("__o.src").cast("string"), "__o.ord").alias("doc_id")] if keys else []
+    return first.select(*key, "clean_text", "sentiment_encoded",
                         F.when(F.col("__o.src") == 0, "corpus").otherwise("log").alias("origin"))
 
 
@@ -162,28 +216,27 @@ def intent_samples(spark, sf_dir):
 
 @plan("retrain_cycle", ids=("M9", "S6", "W3", "W4"))
 def retrain_cycle(spark, sf_dir):
-    """Refit on corpus + log, evaluate on the unchanged test split, append
-    metrics rows, report each model's previous accuracy."""
-    comb = combined_train(spark, sf_dir).withColumn("doc_id", F.xxhash64("clean_text"))
-    comb = comb.withColumn("label", F.col("sentiment_encoded").cast("double"))
+    """Fit on the corpus alone (run 0) and on corpus + log (run 1), evaluate both
+    on the unchanged test split, append metrics rows, report each model's
+    previous accuracy."""
+    comb = combined_train(spark, sf_dir, keys=True).withColumn("label", F.col("sentiment_encoded").cast("double"))
     sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id")
     test, _ = sentiment_codes(sc.where((F.col("split") == "test") & (F.col("clean_text") != "")), "sentiment")
-    test = test.withColumn("label", F.col("sentiment_encoded").cast("double"))
-    tr, te, _, _ = models.featurize(comb, test, "doc_id", "clean_text")
-    tr, te = tr.cache(), te.cache()
-    n_train = tr.count()
-    tr, te = models.sized(tr, n_train), models.sized(te, te.count())
+    test = test.select("doc_id", "clean_text", F.col("sentiment_encoded").cast("double").alias("label"))
     path = scratch_path(spark, "model_metrics")
-    rows = []
-    for run in range(2):
-        for name, est in (("Logistic Regression", models.logistic(n_train)), ("Decision Tree", models.tree())):
-            m = est.fit(tr)
-            r = models.evaluate(m, te, name=name, binary=False)
-            rows.append(r)
-            logtables.append(r.select(F.monotonically_increasing_id().alias("id"), F.col("name").alias("model_name"),
+    for run, rows in enumerate((comb.where(F.col("origin") == "corpus"), comb)):
+        tr, te, _, _ = models.featurize(rows, test, "doc_id", "clean_text")
+        tr, te = (x.select("doc_id", "label", "features").cache() for x in (tr, te))
+        n_train = tr.count()
+        small, held = models.sized(tr, n_train), models.sized(te, te.count())
+        for k, (name, est) in enumerate((("Logistic Regression", models.logistic(n_train)), ("Decision Tree", models.tree()))):
+            r = models.evaluate(est.fit(small), held, name=name, binary=False)
+            logtables.append(r.select(F.lit(f"{run}:{name}").alias("id"), F.col("name").alias("model_name"),
                                       "accuracy", F.col("f1").alias("f1_score"), "precision", "recall",
                                       F.current_timestamp().alias("timestamp")).withColumn("run", F.lit(run)),
-                             path, batch_id=run * 2 + (0 if name.startswith("L") else 1))
+                             path, batch_id=run * 2 + k)
+        tr.unpersist()
+        te.unpersist()
     hist = spark.read.parquet(path)
     from parlance.operators.logs import previous_value
     return previous_value(hist, "model_name", ["run", "model_name"], "accuracy", out="previous_accuracy").select(

@@ -20,6 +20,14 @@ def str_list(items) -> str:
     return "[" + ", ".join(q(x) for x in items) + "]"
 
 
+def padded(x: str) -> str:
+    return f"lpad(CAST({x} AS VARCHAR), {K.ID_DIGITS}, '0')"
+
+
+#: Key of a turn, see ``turns.turn_id``.
+TURN_ID = f"({padded('conv_id')} || ':' || {padded('turn')})"
+
+
 def clean(x: str) -> str:
     return (f"trim(regexp_replace(regexp_replace(regexp_replace(lower({x}), {q(URL_PATTERN)}, '', 'g'), "
             f"{q(NON_KEPT_CHARS)}, '', 'g'), {q(WS_RUN)}, ' ', 'g'))")
@@ -60,7 +68,7 @@ def has_any(tokens: str, items) -> str:
 
 
 def escalation_trigger(x: str, word_boundary: bool = False) -> str:
-    alt = "|".join(K.ESCALATION_TRIGGERS)
+    alt = "|".join(p.lower() for p in K.ESCALATION_TRIGGERS)
     pat = f"\\b(?:{alt})\\b" if word_boundary else alt
     return f"coalesce(regexp_matches(lower({x}), {q(pat)}), false)"
 

@@ -3,6 +3,7 @@ the batch SQL of the same computation."""
 
 from __future__ import annotations
 
+from parlance.plans import sqlfrag as Q
 from parlance.plans.log_plans import RATINGS_SQL
 from parlance.plans.registry import plan
 from parlance.plans.turn_plans import SCORED_SQL
@@ -21,7 +22,7 @@ def stream_scoring(spark, sf_dir):
 
 
 @plan("stream_two_sinks", sql=f"""
-SELECT conv_id * 10000 + turn AS id, session_id, escalate::INTEGER AS escalated, true AS in_training
+SELECT {Q.TURN_ID} AS id, session_id, escalate::INTEGER AS escalated, true AS in_training
 FROM ({STREAM_SCORED_SQL})
 """, ids=("R2", "S4", "S5"))
 def stream_two_sinks(spark, sf_dir):

@@ -7,7 +7,6 @@ run (tests, bench) needs when nothing else provides them.
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -44,12 +43,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, stream state and written tables.
 
-    Taken from ``spark.checkpoint.dir`` (the folder the cluster names). Only when
-    the session has none, as in tests, a fresh local folder is made and set.
+    Taken from ``spark.checkpoint.dir`` (the folder the cluster names). Only a
+    session on one machine that has none gets a fresh local folder; a cluster
+    without one is an error, since executors do not share local folders.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getCheckpointDir()
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not root:
         root = tempfile.mkdtemp(prefix="parlance-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
@@ -62,12 +64,3 @@ def checkpoint_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new, unique path under the shared checkpoint folder."""
     return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
-
-
-def is_local_path(path: str) -> bool:
-    return "://" not in path or path.startswith("file:")
-
-
-def ensure_dir(path: str) -> None:
-    if is_local_path(path):
-        os.makedirs(path.replace("file:", ""), exist_ok=True)

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parlance.functions import constants as K
 from parlance.sources.tables import CONVERSATION_LOG, MODEL_COMPARISON, MODEL_METRICS, TRAINING_DATA
 
 
@@ -37,7 +38,7 @@ def read_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MODEL_METRICS).parquet(path)
 
 
-def bulk_load(support: DataFrame, id_base: int = 0) -> DataFrame:
+def bulk_load(support: DataFrame, prefix: str = K.DATASET_ID_PREFIX) -> DataFrame:
     """Prepared support corpus -> training rows with source 'dataset'.
 
     Rows empty or null in either cleaned text are dropped (an empty field
@@ -49,7 +50,7 @@ def bulk_load(support: DataFrame, id_base: int = 0) -> DataFrame:
           .dropna(subset=["__i", "__r"]))
     intent = F.col("intent") if "intent" in df.columns else F.lit("unknown")
     category = F.col("category") if "category" in df.columns else F.lit("unknown")
-    return df.select((F.lit(id_base) + F.col("id")).cast("bigint").alias("id"),
+    return df.select(F.concat(F.lit(prefix), F.col("id").cast("string")).alias("id"),
                      F.col("__i").alias("instruction"), F.col("__r").alias("response"),
                      intent.alias("intent"), category.alias("category"),
                      F.lit("dataset").alias("source"), F.current_timestamp().alias("timestamp"))

@@ -33,7 +33,7 @@ def spread(df: DataFrame) -> DataFrame:
 
 # Conversation log: one row per scored user turn (append-only).
 CONVERSATION_LOG = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.StringType()),
     T.StructField("session_id", T.StringType()),
     T.StructField("user_message", T.StringType()),
     T.StructField("bot_response", T.StringType()),
@@ -48,7 +48,7 @@ CONVERSATION_LOG = T.StructType([
 
 # Training pairs (append-only).
 TRAINING_DATA = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.StringType()),
     T.StructField("instruction", T.StringType()),
     T.StructField("response", T.StringType()),
     T.StructField("intent", T.StringType()),
@@ -59,7 +59,7 @@ TRAINING_DATA = T.StructType([
 
 # Model metrics history (append-only).
 MODEL_METRICS = T.StructType([
-    T.StructField("id", T.LongType()),
+    T.StructField("id", T.StringType()),
     T.StructField("model_name", T.StringType()),
     T.StructField("accuracy", T.DoubleType()),
     T.StructField("f1_score", T.DoubleType()),

@@ -108,7 +108,7 @@ def test_reply_length_rule(spark):
 def test_loss_rollup_limits(spark):
     df = spark.createDataFrame([("r", 1, float("nan")), ("r", 1, 10.0), ("r", 1, 10.01), ("r", 2, 99.0)],
                                "run string, epoch int, loss double")
-    got = {r.epoch: (r.valid_batches, r.avg_loss) for r in logs.loss_rollup(df, "run", "epoch", "loss", 10.0).collect()}
+    got = {r.epoch: (r.valid_batches, r.avg_loss) for r in logs.loss_rollup(df, "run", "epoch", "loss", {"": 10.0}).collect()}
     assert got == {1: (1, 10.0), 2: (0, 0.0)}
 
 
