@@ -143,3 +143,8 @@ USER_ID_PREFIX = "user:"
 CV_PARALLELISM = 8
 # A class counts as well recognised from this F1 on.
 GOOD_F1 = 0.7
+# What a request without a session or a user name gets; the answer to a request
+# for results that were not stored.
+DEFAULT_SESSION = "default"
+DEFAULT_USER = "Customer"
+MISSING_RESULTS = "Results not found"

@@ -68,6 +68,9 @@ def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 def comparison_records(spark: SparkSession, path: str) -> DataFrame:
-    """Model comparison table as JSON records."""
+    """Model comparison table as JSON records; one error record if it is missing."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.range(1).select(F.to_json(F.struct(F.lit(K.MISSING_RESULTS).alias("error"))).alias("record"))
     df = read_csv(spark, path, MODEL_COMPARISON)
     return df.select(F.to_json(F.struct(*df.columns)).alias("record"))
