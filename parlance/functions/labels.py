@@ -43,10 +43,6 @@ def code_to_sentiment(code, n_classes) -> Column:
     return F.when(n == 2, two).otherwise(three)
 
 
-def max_probability(prob_array) -> Column:
-    return F.array_max(_col(prob_array))
-
-
 def keyword_override(sentiment, confidence, cleaned=None, tokens=None) -> Column:
     """Below 0.6 confidence a positive word wins first, then a negative word.
 

@@ -22,10 +22,6 @@ from parlance.functions.text import vector_tokens, with_bigrams
 from parlance.operators.ordered import row_number_within
 
 
-def terms(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
-    return df.select(F.col(id_col).alias("id"), F.explode(_token_array(text_col, ngrams)).alias("term"))
-
-
 def _with_ngrams(df: DataFrame, text_col: str, ngrams=(1, 1), out: str = "__all") -> DataFrame:
     """Adds the token array (unigrams and / or bigrams) as ``out``.
 
@@ -42,11 +38,6 @@ def _with_ngrams(df: DataFrame, text_col: str, ngrams=(1, 1), out: str = "__all"
     return d.withColumn(out, toks).drop("__tok")
 
 
-def terms(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
-    d = _with_ngrams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__txt")), "__txt", ngrams)
-    return d.select("id", F.explode("__all").alias("term"))
-
-
 def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
     """(id, term, tf) of every document; each row of ``df`` is one document.
 
@@ -124,30 +115,36 @@ def fit_transform(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1), min_
     return transform(tf, vocab, sublinear, bounded=max_terms is not None), vocab
 
 
-def classifier_features(df: DataFrame, id_col: str, text_col: str):
-    """The classifiers' TF-IDF: 1-2-grams, min_df 2, 5000 terms, sublinear tf."""
-    return fit_transform(df, id_col, text_col, K.TFIDF_NGRAMS, K.TFIDF_MIN_DF,
-                         K.TFIDF_MAX_TERMS, sublinear=True)
-
-
 def pair_cosine(df: DataFrame, id_col: str, left: str, right: str) -> DataFrame:
     """Cosine of two texts per row, IDF fitted on just those two texts.
 
-    With n = 2: a term in both texts has idf 1, a term in one has
-    ln(1.5) + 1. Computed per row from the exploded tokens of the row.
+    With n = 2: a term in both texts has idf 1, a term in one has ln(1.5) + 1.
+    Both texts are in the row, so nothing is shuffled: their tokens, marked by
+    side, are sorted together and folded run by run.
     """
-    a = df.select(F.col(id_col).alias("id"), F.lit(0).alias("side"), F.explode(vector_tokens(left)).alias("term"))
-    b = df.select(F.col(id_col).alias("id"), F.lit(1).alias("side"), F.explode(vector_tokens(right)).alias("term"))
-    counts = a.unionByName(b).groupBy("id", "term").agg(
-        F.count(F.when(F.col("side") == 0, 1)).alias("ta"),
-        F.count(F.when(F.col("side") == 1, 1)).alias("tb"))
-    idf = F.when((F.col("ta") > 0) & (F.col("tb") > 0), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1.0)
-    w = counts.withColumn("wa", F.col("ta") * idf).withColumn("wb", F.col("tb") * idf)
-    per = w.groupBy("id").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"),
-                              F.sum(F.col("wa") * F.col("wa")).alias("na"),
-                              F.sum(F.col("wb") * F.col("wb")).alias("nb"))
-    sim = F.when((F.col("na") > 0) & (F.col("nb") > 0),
-                 F.col("dot") / (F.sqrt("na") * F.sqrt("nb"))).otherwise(F.lit(0.0))
-    ids = df.select(F.col(id_col).alias("id"))
-    return ids.join(per.select("id", sim.alias("similarity")), "id", "left").select(
-        F.col("id").alias(id_col), F.coalesce(F.col("similarity"), F.lit(0.0)).alias("similarity"))
+    def marked(c, side):
+        return F.transform(vector_tokens(c), lambda t: F.struct(t.alias("t"), F.lit(side).alias("side")))
+
+    def state(t, a, b, dot, na, nb):
+        return F.struct(t.alias("t"), a.alias("a"), b.alias("b"), dot.alias("dot"), na.alias("na"), nb.alias("nb"))
+
+    def closed(s):
+        """(dot, na, nb) with the run of the current term added."""
+        idf = F.when((s["a"] > 0) & (s["b"] > 0), F.lit(1.0)).otherwise(F.log(F.lit(1.5)) + 1.0)
+        wa, wb = s["a"] * idf, s["b"] * idf
+        return s["dot"] + wa * wb, s["na"] + wa * wa, s["nb"] + wb * wb
+
+    def step(s, x):
+        a, b = F.when(x["side"] == 0, 1).otherwise(0), F.when(x["side"] == 1, 1).otherwise(0)
+        return F.when(s["t"] == x["t"], state(s["t"], s["a"] + a, s["b"] + b, s["dot"], s["na"], s["nb"])).otherwise(
+            state(x["t"], a, b, *closed(s)))
+
+    def finish(s):
+        dot, na, nb = closed(s)
+        return F.when((na > 0) & (nb > 0), dot / (F.sqrt(na) * F.sqrt(nb))).otherwise(F.lit(0.0))
+
+    none = F.array().cast("array<struct<t:string,side:int>>")
+    d = df.select(F.col(id_col), F.sort_array(F.concat(F.coalesce(marked(left, 0), none), F.coalesce(marked(right, 1), none))).alias("__all"))
+    zero = F.lit(0.0)
+    start = state(F.lit(None).cast("string"), F.lit(0), F.lit(0), zero, zero, zero)
+    return d.select(id_col, F.aggregate("__all", start, step, finish).alias("similarity"))

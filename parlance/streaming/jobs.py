@@ -18,18 +18,27 @@ from parlance.session import scratch_path
 from parlance.sources import logtables
 
 
-def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int = 1) -> DataFrame:
-    """A given table as a file stream (its schema read from the footer)."""
+def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """A given table as a file stream (its schema read from the footer). All
+    waiting files go into one micro-batch unless ``max_files`` says otherwise."""
     path = f"{sf_dir.rstrip('/')}/{name}*.parquet"
     schema = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    return reader.parquet(path)
 
 
-def _run(query_builder, spark: SparkSession, name: str) -> str:
-    """Start a stream with availableNow, wait for it, return its output folder."""
+#: How a live dashboard refreshes (a caller passes it as ``trigger``).
+DASHBOARD_TRIGGER = {"processingTime": "30 seconds"}
+
+
+def _run(query_builder, spark: SparkSession, name: str, trigger: dict | None = None) -> str:
+    """Start a stream, wait for it, return its output folder. The default trigger
+    takes what is there and ends; another one runs until the stream is stopped."""
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
-    q = query_builder(out).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+    q = query_builder(out).option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
@@ -76,30 +85,43 @@ def stream_two_sinks(spark: SparkSession, sf_dir: str):
     return spark.read.parquet(log_path), spark.read.parquet(train_path)
 
 
-def _complete(spark: SparkSession, agg: DataFrame, name: str) -> DataFrame:
-    """Run an aggregating stream in complete mode; return the last full result."""
+def _complete(spark: SparkSession, agg: DataFrame, name: str, trigger: dict | None = None) -> DataFrame:
+    """Run an aggregating stream in complete mode; return the last full result.
+    Every batch writes its own folder, so a failure leaves the one before it."""
+    def build(out):
+        return agg.writeStream.outputMode("complete").foreachBatch(lambda df, bid: logtables.append(df, out, bid))
+
+    out = _run(build, spark, name, trigger)
+    last = spark.read.parquet(out).agg(F.max("batch")).first()[0]
+    return spark.read.parquet(f"{out}/batch={last}")
+
+
+def _updated(spark: SparkSession, agg: DataFrame, key: str, name: str) -> DataFrame:
+    """Run an aggregating stream in update mode: a batch writes the rows that it
+    changed; a key's newest row counts."""
     def build(out):
-        return agg.writeStream.outputMode("complete").foreachBatch(
-            lambda df, bid: df.write.mode("overwrite").parquet(f"{out}/latest"))
+        return agg.writeStream.outputMode("update").foreachBatch(lambda df, bid: logtables.append(df, out, bid))
 
-    return spark.read.parquet(f"{_run(build, spark, name)}/latest")
+    rows = spark.read.parquet(_run(build, spark, name))
+    kept = [c for c in rows.columns if c not in (key, "batch")]
+    return rows.groupBy(key).agg(*[F.max_by(c, "batch").alias(c) for c in kept])
 
 
 def stream_session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     msgs = file_stream(spark, sf_dir, "conversations").where(F.col("role").isin("user", "assistant"))
     agg = msgs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("messages")).withColumn(
         "turn_count", F.floor(F.col("messages") / 2).cast("bigint"))
-    return _complete(spark, agg, "stream_session_counts")
+    return _updated(spark, agg, "conv_id", "stream_session_counts")
 
 
-def stream_dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_dashboard(spark: SparkSession, sf_dir: str, trigger: dict | None = None) -> DataFrame:
     scored = score_messages(file_stream(spark, sf_dir, "conversations"))
     agg = scored.groupBy().agg(
         F.count(F.lit(1)).alias("total_conversations"),
         F.count_if(F.col("escalate")).alias("total_escalations"),
         F.count_if(F.col("sentiment") == "positive").alias("positive"),
         F.count_if(F.col("sentiment") == "negative").alias("negative"))
-    return _complete(spark, agg, "stream_dashboard")
+    return _complete(spark, agg, "stream_dashboard", trigger)
 
 
 def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -109,4 +131,4 @@ def stream_feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
     agg = r.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_feedback"),
                                       F.round(F.avg("rating"), 6).alias("avg_rating"),
                                       F.count_if(F.col("rating") <= 2).alias("low_ratings"))
-    return _complete(spark, agg, "stream_feedback")
+    return _updated(spark, agg, "session_id", "stream_feedback")
