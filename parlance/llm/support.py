@@ -43,7 +43,9 @@ def saved(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     if release:
         spark._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
 
 
 def new_path(spark: SparkSession, name: str) -> str:
@@ -52,12 +54,49 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(table: DataFrame) -> None:
+    """Delete a table that ``saved`` wrote, once nothing will read it again."""
+    _SCRATCH.remove(table.scratch_path)
+    _delete(table.sparkSession, table.scratch_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables of this driver, once their results are stored."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     while _SCRATCH:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop())
-        path.getFileSystem(conf).delete(path, True)
+        _delete(spark, _SCRATCH.pop())
+
+
+_KEPT: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a Python worker keeps between tasks for one kind of work (tables,
+    encoders). Another kind of work gives it up: a worker outlives many stages,
+    and an executor has several."""
+    if owner not in _KEPT:
+        _KEPT.clear()
+        _KEPT[owner] = {}
+    return _KEPT[owner]
+
+
+#: Rows and bytes of an Arrow batch of documents. A document may be long, and a
+#: batch lies in memory several times (JVM, socket, Python, strings).
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+
+
+def documents(df: DataFrame) -> DataFrame:
+    """``df``, with its session set to hand documents to Python in small batches
+    (a caller's smaller setting stays)."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
 
 
 def text_or_empty(column: str = "text"):

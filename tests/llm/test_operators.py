@@ -156,7 +156,7 @@ def test_language_model(docs, rows):
 
 
 def _small_model():
-    known = sorted(({f"w{i}": 500 - i for i in range(300)} | {gated_lm.END: 400}).items())
+    known = sorted(({b"w%d" % i: 500 - i for i in range(300)} | {gated_lm.END: 400}).items())
     v = gated_lm.Vocabulary(known, 10_000, 500, {"tokens": 40, "distinct": 30, "once": 20, "twice": 5})
     return v, gated_lm.new_network(v)
 
