@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import tokens
-from parlance.llm.support import quoted, saved, text_or_empty
+from parlance.llm.support import documents, lean, quoted, saved, text_or_empty
 
 SEQUENCE = 2048
 
@@ -49,8 +49,8 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int | None = tokens.END_I
                      pa.array([len(x) // width for x in ids], pa.int64()), pa.array(ids, pa.binary()),
                      some.column("doc_id")], names=["part", "before", "n", "ids", "doc_id"])
 
-    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return saved(rows.mapInArrow(encode, "part int, before long, n long, ids binary, doc_id long"), "pack-ids")
+    rows = documents(docs).select(quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return saved(rows.mapInArrow(lean(encode), "part int, before long, n long, ids binary, doc_id long"), "pack-ids")
 
 
 def offsets(ids: DataFrame) -> DataFrame:
@@ -82,7 +82,7 @@ def pack(ids: DataFrame, sequence: int = SEQUENCE, width: int = 2) -> DataFrame:
     # One row per partition: broadcast whatever the documents' number is.
     placed = ids.join(F.broadcast(offsets(ids)), "part").select(
         "doc_id", "n", "ids", (F.col("base") + F.col("before")).alias("at"))
-    return placed.mapInArrow(cut, "doc_id long, start long, length long, ids binary, doc_tokens long, "
+    return placed.mapInArrow(lean(cut), "doc_id long, start long, length long, ids binary, doc_tokens long, "
                                   "sequence_id long, offset long")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -84,6 +87,25 @@ def kept(owner: str) -> dict:
     return _KEPT[owner]
 
 
+def lean(work):
+    """``work`` for ``mapInArrow``, giving freed memory back when a task ends: idle
+    workers stay for later stages, several to an executor."""
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            give_back()
+    return run
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the machine."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the GNU C library's
+    if trim:
+        trim(0)
+
+
 #: Rows and bytes of an Arrow batch of documents. A document may be long, and a
 #: batch lies in memory several times (JVM, socket, Python, strings).
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parlance.llm import tokens
-from parlance.llm.support import new_path, quoted, text_or_empty
+from parlance.llm.support import documents, lean, new_path, quoted, text_or_empty
 
 #: Bytes of a row group, and rows of a page (the grain of the page index).
 ROW_GROUP_BYTES = 16 << 20
@@ -56,10 +56,10 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None,
                     names=["doc_id", "shard", "place", "n_tokens", "ids"])
                 place += len(counts)
 
-    rows = docs.select(quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    rows = documents(docs).select(quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     ordered = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(
         F.col("doc_id").asc_nulls_first(), "text")
-    (ordered.mapInArrow(encode, SCHEMA).write
+    (ordered.mapInArrow(lean(encode), SCHEMA).write
      .option("compression", "zstd")
      .option("parquet.block.size", str(ROW_GROUP_BYTES))
      .option("parquet.page.row.count.limit", str(PAGE_ROWS))
@@ -106,7 +106,7 @@ def token_documents(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     path = new_path(spark, "token-files")
     write_tokens(docs, path, tokenizer)
     rows = read_tokens(spark, path).select("doc_id", "shard", "place", "ids").mapInArrow(
-        digest, "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
+        lean(digest), "doc_id long, shard int, place long, n_tokens long, ids_crc32 long")
     starts = with_starts(read_tokens(spark, path, ids=False).drop("doc_id"))
     return (rows.join(starts.drop("n_tokens"), ["shard", "place"])
             .select("doc_id", "start", "n_tokens", "ids_crc32"))
