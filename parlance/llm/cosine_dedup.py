@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm import blocks
 from parlance.llm.components import components
-from parlance.llm.support import quoted, saved
+from parlance.llm.support import lean, quoted, saved
 
 THRESHOLD, RECALL = 0.93, 0.9995
 SEED = 930
@@ -75,7 +75,7 @@ def signatures(vectors: DataFrame, bits: int, tables: int) -> DataFrame:
 
     rows = vectors.select(quoted("vec_id").cast("long").alias("vec_id"), quoted("label").cast("string").alias("label"),
                           quoted("embedding").cast("array<double>").alias("vector"))
-    return rows.mapInArrow(sign, "vec_id long, class string, label string, vector binary, signs binary")
+    return rows.mapInArrow(lean(sign), "vec_id long, class string, label string, vector binary, signs binary")
 
 
 def _verify(threshold: float):
@@ -133,7 +133,7 @@ def linked(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     spread = spread.join(shared, ["label", "table", "bucket"])  # buckets of one vector stay behind
     group = ["label", "table", "bucket"]
     found = blocks.units(blocks.in_blocks(spread, group, "class"), group).mapInArrow(
-        _verify(threshold), "node string, links long, head string")
+        lean(_verify(threshold)), "node string, links long, head string")
     found = saved(found, "vector-links")
     comps = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
     of_class = (named.join(blocks.summed(found).withColumnRenamed("node", "class"), "class", "left")

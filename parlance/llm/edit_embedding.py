@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.llm.components import components
-from parlance.llm.support import quoted, saved, text_or_empty
+from parlance.llm.support import documents, kept, lean, quoted, saved, text_or_empty
 
 #: Sampled steps of a length class (as expected), also the steps of the shortest class.
 SAMPLES = 1024
@@ -42,8 +42,6 @@ SLICE_CHARS = 6_000_000
 #: Bits of a band and number of bands.
 BAND_BITS, BANDS = 24, 48
 
-_TABLES: dict = {}
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64)
@@ -55,7 +53,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 def _stay_table() -> np.ndarray:
     """Steps the walk stays on a character of class c from phase j on, flat at
     c * PERIOD + j: up to and with the next step whose random bit is 1."""
-    if "stay" not in _TABLES:
+    mine = kept("walks")
+    if "stay" not in mine:
         bits = np.random.default_rng(SEED).integers(0, 2, (CLASSES, PERIOD), dtype=np.uint8)
         bits[:, 0] = 1
         stay = np.empty((CLASSES, PERIOD), np.uint8)
@@ -63,17 +62,18 @@ def _stay_table() -> np.ndarray:
         for j in range(PERIOD - 1, -1, -1):
             wait = np.where(bits[:, j] == 1, 1, wait + 1).astype(np.uint8)
             stay[:, j] = wait
-        _TABLES["stay"] = stay.ravel()
-    return _TABLES["stay"]
+        mine["stay"] = stay.ravel()
+    return mine["stay"]
 
 
 def sampled_steps(octave: int) -> np.ndarray:
     """Sampled steps of a length class, ascending: steps below SAMPLES << octave
     whose hash is among the lowest 1 / 2**octave."""
-    if octave not in _TABLES:
+    mine = kept("walks")
+    if octave not in mine:
         steps = np.arange(SAMPLES << octave, dtype=np.int64)
-        _TABLES[octave] = steps[(_mix(steps + SEED) >> np.uint64(11)) < np.uint64((1 << 53) >> octave)]
-    return _TABLES[octave]
+        mine[octave] = steps[(_mix(steps + SEED) >> np.uint64(11)) < np.uint64((1 << 53) >> octave)]
+    return mine[octave]
 
 
 def octave_of(steps: int) -> int:
@@ -162,7 +162,7 @@ def in_order(docs: DataFrame) -> DataFrame:
     range's first id are sent to the range before it too (those of the first
     range to the last), marked ``ahead``: so the document after a range's last
     one is at hand without a look into other tasks."""
-    spark = docs.sparkSession
+    spark = documents(docs).sparkSession
     lowest = -(1 << 63)
     rows = docs.select(F.coalesce(quoted("doc_id").cast("long"), F.lit(lowest)).alias("order"),
                        quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
@@ -186,7 +186,7 @@ def in_order(docs: DataFrame) -> DataFrame:
                 [pa.array(where, pa.int64()), pa.array(late), batch.column("doc_id").take(pa.array(pick)),
                  batch.column("text").take(pa.array(pick))], names=["bucket", "ahead", "doc_id", "text"])
 
-    dealt = rows.mapInArrow(deal, "bucket long, ahead boolean, doc_id long, text string")
+    dealt = rows.mapInArrow(lean(deal), "bucket long, ahead boolean, doc_id long, text string")
     return dealt.repartitionByRange(parts, "bucket").sortWithinPartitions(
         "bucket", "ahead", F.col("doc_id").asc_nulls_first(), "text")
 
@@ -236,7 +236,7 @@ def _describe(batches):
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """Contract rows of the fingerprint query."""
-    return in_order(docs).mapInArrow(_describe, FIELDS)
+    return in_order(docs).mapInArrow(lean(_describe), FIELDS)
 
 
 def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -248,8 +248,8 @@ def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
                 prints = fingerprints(some.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([some.column("key"), pa.array(prints)], names=["key", "fingerprint"])
 
-    rows = docs.select(quoted(key).alias("key"), text_or_empty(text).alias("text"))
-    return rows.mapInArrow(describe, f"key {rows.schema['key'].dataType.simpleString()}, fingerprint string")
+    rows = documents(docs).select(quoted(key).alias("key"), text_or_empty(text).alias("text"))
+    return rows.mapInArrow(lean(describe), f"key {rows.schema['key'].dataType.simpleString()}, fingerprint string")
 
 
 def bands(fingerprint: str) -> list[int]:

@@ -31,17 +31,17 @@ from pyspark.sql import functions as F
 
 from parlance.llm import blocks
 from parlance.llm.components import components
-from parlance.llm.support import quoted, saved, text_or_empty
+from parlance.llm.support import documents, kept, lean, quoted, saved, text_or_empty
 
 N, THRESHOLD = 5, 0.8
 #: Hashes of a band, and the recall wanted at the threshold itself.
 BAND_ROWS, RECALL = 7, 0.9999
 SEED = 7001
+#: n-grams that one pass of a comparison looks at.
+PASS_GRAMS = 1_000_000
 #: Bytes of text hashed at once (a longer text goes alone).
 SLICE_BYTES = 2 << 20
 
-_POWERS: dict = {}
-
 
 def band_count(rows: int = BAND_ROWS, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """Fewest bands of ``rows`` hashes that find a pair at the threshold with
@@ -57,7 +57,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Powers of the hash base and of its inverse, and a random number per byte."""
-    have = _POWERS.get("p")
+    mine = kept("hashes")
+    have = mine.get("powers")
     if have is None or len(have[0]) < n:
         size = 1 << max(21, (n - 1).bit_length())
         base = 0x9E3779B97F4A7C15
@@ -67,7 +68,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             p[0] = 1
             both.append(np.multiply.accumulate(p))
         bytes_ = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        have = _POWERS["p"] = (*both, bytes_)
+        have = mine["powers"] = (*both, bytes_)
     return have
 
 
@@ -153,9 +154,9 @@ def sketches(docs: DataFrame, n: int, rows: int, bands: int) -> DataFrame:
                     names=["doc_id", "class", "node", "bands"])
 
     text = text_or_empty()
-    rows_ = docs.select(quoted("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("class"),
+    rows_ = documents(docs).select(quoted("doc_id").cast("long").alias("doc_id"), F.md5(text.cast("binary")).alias("class"),
                         F.xxhash64(text).alias("node"), text.alias("text"))
-    return saved(rows_.mapInArrow(sketch, "doc_id long, class string, node long, bands array<bigint>"), "sketches")
+    return saved(rows_.mapInArrow(lean(sketch), "doc_id long, class string, node long, bands array<bigint>"), "sketches")
 
 
 def candidate_groups(sketched: DataFrame) -> DataFrame:
@@ -167,6 +168,29 @@ def candidate_groups(sketched: DataFrame) -> DataFrame:
     return found.select("node", F.col("component").alias("group"))
 
 
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, in passes over parts of the hashes so
+    that memory does not grow with the texts."""
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    passes = 1 + sum(map(len, sets)) // PASS_GRAMS
+    width = max(1, (4 << 20) // len(sets))
+    for k in range(passes):
+        some = sets if passes == 1 else [s[s % np.uint64(passes) == k] for s in sets]
+        which = np.repeat(np.arange(len(some)), [len(s) for s in some])
+        _, column, counts = np.unique(np.concatenate(some), return_inverse=True, return_counts=True)
+        shared = counts[column] > 1
+        rank = np.cumsum(counts > 1) - 1
+        which, column = which[shared], rank[column[shared]]
+        order = np.argsort(column, kind="stable")
+        which, column = which[order], column[order]
+        for lo in range(0, int((counts > 1).sum()), width):
+            a, z = np.searchsorted(column, (lo, lo + width))
+            part = np.zeros((len(sets), width), np.float32)
+            part[which[a:z], column[a:z] - lo] = 1
+            common += part @ part.T
+    return common.astype(np.int64)
+
+
 def _verify(n: int, threshold: float):
     def verify(batches):
         for unit in blocks.runs(batches, ["group"]):
@@ -183,21 +207,7 @@ def _verify(n: int, threshold: float):
             copies = unit.column("copies").to_numpy()[pick].astype(np.int64)
             sets = [np.unique(ngram_hashes([texts[k]], n)[0]) for k in pick]
             sizes = np.array([len(s) for s in sets], np.int64)
-            which = np.repeat(np.arange(len(sets)), sizes)
-            grams, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-            shared = counts[column] > 1
-            rank = np.cumsum(counts > 1) - 1
-            which, column = which[shared], rank[column[shared]]
-            common = np.zeros((len(sets), len(sets)), np.float32)
-            order = np.argsort(column, kind="stable")
-            which, column = which[order], column[order]
-            width = max(1, (4 << 20) // len(sets))
-            for lo in range(0, int(counts.size and (counts > 1).sum()), width):
-                a, z = np.searchsorted(column, (lo, lo + width))
-                part = np.zeros((len(sets), width), np.float32)
-                part[which[a:z], column[a:z] - lo] = 1
-                common += part @ part.T
-            common = common.astype(np.int64)
+            common = _common(sets)
             either = sizes[:, None] + sizes[None, :] - common
             close = (common >= threshold * either - 1e-9) & (either > 0)
             i, j = unit.column("block_i")[0].as_py(), unit.column("block_j")[0].as_py()
@@ -227,7 +237,7 @@ def joined(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, recall: fl
     texts = members.join(rows, (rows["digest"] == members["class"]) & rows["doc_id"].eqNullSafe(members["first"])).select(
         "group", "class", "copies", "text")
     work = blocks.units(blocks.in_blocks(texts, ["group"], "class"), ["group"])
-    found = saved(work.mapInArrow(_verify(n, threshold), "node string, links long, head string"), "verified")
+    found = saved(work.mapInArrow(lean(_verify(n, threshold)), "node string, links long, head string"), "verified")
     named = components(found.select(F.col("node").alias("a"), F.col("head").alias("b")))
     of_class = (classes.select("class", "first", "copies")
                 .join(blocks.summed(found).withColumnRenamed("node", "class"), "class", "left")

@@ -9,8 +9,8 @@ is found in clean documents), are entries too: a match inside one does not
 count. The weights matched in a text, over the logarithm of its length in
 words, go through a fitted logistic curve.
 
-Learning: at most ``TRAIN_ROWS`` labelled rows, those with the smallest hashed
-ids, are read (their whole texts). Everything else - the scoring - covers all
+Learning: at most ``TRAIN_ROWS`` labelled rows, drawn by hashed ids, are read
+(their whole texts). Everything else - the scoring - covers all
 rows and whole texts.
 
 Defined results: a null or empty text has no match and gets the curve's value
@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.support import fresh, quoted, saved, text_or_empty
+from parlance.llm.support import documents, fresh, give_back, kept, lean, quoted, saved, text_or_empty
 
 #: Bound of the labelled sample, entries of the lexicon at most.
 TRAIN_ROWS, LEXICON = 40_000, 20_000
+#: Distinct patterns that a task adds up before it passes them on.
+TALLIED = 100_000
 #: Word beginnings of these lengths may be entries.
 BEGINNINGS = range(4, 9)
 #: Toxic documents an entry must be seen in, and the least share of toxic ones
@@ -83,28 +85,37 @@ def patterns_of(words: set[str]) -> set[str]:
 def _labelled(docs: DataFrame, labels: DataFrame, train, rows: int) -> DataFrame:
     """(text, toxic) of the bounded training sample, whole texts."""
     some = (labels.where(quoted("toxic").isNotNull() & quoted("doc_id").isNotNull())
-            .select(quoted("doc_id").alias("doc_id"), quoted("toxic").cast("int").alias("toxic")).where(train(F.col("doc_id")))
-            .orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(rows))
+            .select(quoted("doc_id").alias("doc_id"), quoted("toxic").cast("int").alias("toxic")).where(train(F.col("doc_id"))))
+    there = some.count()
+    if there > rows:  # the share that stays below the bound, by hash: no sort, no single task
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(2)), F.lit(1 << 40)) / float(1 << 40)
+        some = some.where(draw < 0.97 * rows / there)
     # At most ``rows`` narrow rows.
-    sample = docs.select(quoted("doc_id").alias("doc_id"), text_or_empty().alias("text")).join(
+    sample = documents(docs).select(quoted("doc_id").alias("doc_id"), text_or_empty().alias("text")).join(
         F.broadcast(some), "doc_id").select("text", "toxic")
     return saved(sample, "toxicity-sample")  # several passes read it
 
 
-def _counts(sample: DataFrame, only: set[str] | None, make) -> DataFrame:
-    """(pattern, toxic, clean): documents that hold each pattern, pre-added per batch."""
+def _counts(sample: DataFrame, make) -> DataFrame:
+    """(pattern, toxic, clean): documents that hold each pattern, pre-added before the shuffle."""
+    def rows(tally):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()),
+             pa.array([v[1] for v in tally.values()], pa.int64())], names=["pattern", "toxic", "clean"])
+
     def count(batches):
+        kept("toxicity")
+        tally: dict[str, list[int]] = {}
         for batch in batches:
-            tally: dict[str, list[int]] = {}
             for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist()):
-                found = make(fold(text))
-                for p in found if only is None else found & only:
+                for p in make(fold(text)):
                     tally.setdefault(p, [0, 0])[0 if toxic else 1] += 1
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(tally), pa.string()), pa.array([v[0] for v in tally.values()], pa.int64()),
-                 pa.array([v[1] for v in tally.values()], pa.int64())], names=["pattern", "toxic", "clean"])
+                if len(tally) > TALLIED:
+                    yield rows(tally)
+                    tally = {}
+        yield rows(tally)
 
-    return sample.mapInArrow(count, "pattern string, toxic long, clean long").groupBy("pattern").agg(
+    return sample.mapInArrow(lean(count), "pattern string, toxic long, clean long").groupBy("pattern").agg(
         F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
@@ -180,7 +191,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, rows: int = TRAIN_ROWS,
     """Lexicon, exceptions and curve from labelled rows that ``train(doc_id)`` admits."""
     sample = _labelled(docs, labels, train, rows)
     toxic = sample.where("toxic = 1")
-    seen = _counts(toxic, None, _word_patterns).where(F.col("toxic") >= LEAST_DOCS)
+    seen = _counts(toxic, _word_patterns).where(F.col("toxic") >= LEAST_DOCS)
     # Of the bounded sample's patterns, the most common ones are weighed.
     candidates = {r[0] for r in seen.orderBy(F.desc("toxic"), "pattern").limit(20 * LEXICON).select("pattern").collect()}
     spark = docs.sparkSession
@@ -191,7 +202,7 @@ def learn(docs: DataFrame, labels: DataFrame, train, rows: int = TRAIN_ROWS,
 
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     n1, n0 = sizes.get(1, 0), sum(n for k, n in sizes.items() if k != 1)
-    counted = _counts(sample, None, of_candidates)
+    counted = _counts(sample, of_candidates)
     weighed = counted.withColumn("weight", F.log((F.col("toxic") + 0.5) / (n1 + 1.0)) - F.log((F.col("clean") + 0.5) / (n0 + 1.0)))
     good = weighed.where((F.col("toxic") >= LEAST_PRECISION * (F.col("toxic") + F.col("clean"))) & (F.col("weight") > 0))
     weights = {r["pattern"]: r["weight"] for r in
@@ -204,19 +215,23 @@ def learn(docs: DataFrame, labels: DataFrame, train, rows: int = TRAIN_ROWS,
         hit = [f" {w} " in starts.value or any(" " + w[:n] in starts.value for n in BEGINNINGS) for w in words]
         return {f"{a} {b}" for a, b, x, y in zip(words, words[1:], hit, hit[1:]) if x or y}
 
-    excused = _counts(sample, None, pairs).where((F.col("clean") >= EXCEPTION_DOCS) & (F.col("clean") > 4 * F.col("toxic")))
+    excused = _counts(sample, pairs).where((F.col("clean") >= EXCEPTION_DOCS) & (F.col("clean") > 4 * F.col("toxic")))
     found = [r[0] for r in excused.orderBy(F.desc("clean"), "pattern").limit(LEXICON).select("pattern").collect()] if weights else []
     lexicon = Lexicon(weights, sorted({fold(e).strip() for e in exceptions} | set(found)), 0.0, 0.0)
 
+    shared.destroy()
+    starts.destroy()
+
     def features(batches):
         automaton = lexicon.automaton()
+        kept("toxicity")
         for batch in batches:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([lexicon.feature(automaton, t) for t in batch.column("text").to_pylist()], pa.float64()),
                  batch.column("toxic")], names=["feature", "toxic"])
 
     # At most ``rows`` pairs of numbers.
-    xy = sample.mapInArrow(features, "feature double, toxic int").toPandas()
+    xy = sample.mapInArrow(lean(features), "feature double, toxic int").toPandas()
     lexicon.base, lexicon.slope = _fit_curve(xy["feature"].to_numpy(float), (xy["toxic"] == 1).to_numpy(float))
     return lexicon
 
@@ -228,12 +243,14 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kept("toxicity")
         lexicon = shared.value
         automaton = lexicon.automaton()
         for batch in texts:
             yield batch.map(lambda t: lexicon.score(lexicon.feature(automaton, t))).astype("float64")
+        give_back()
 
-    return docs.withColumn(name, F.pandas_udf(of, "double")(text_or_empty(text)))
+    return documents(docs).withColumn(name, F.pandas_udf(of, "double")(text_or_empty(text)))
 
 
 def fold_of(key, parts: int):
