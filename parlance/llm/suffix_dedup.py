@@ -13,10 +13,10 @@ the same place, so no repeat is missed.
 1. Every anchor gives its initial bucket (hash of its q-gram) and an identifier
    of all bytes that a string through it can touch (its reach). A reach that
    occurs twice is removed as a whole; a bucket of one member is done.
-2. Buckets that hold different reaches are refined, one copy of each reach: the
-   q-grams of the reaches get bucket identifiers (dense ranks), pairs of
-   identifiers at twice the length give the next ones, and the identifiers so
-   updated serve the next round, until strings of LENGTH bytes are told apart.
+2. Buckets that hold different reaches are refined, one copy of each reach: by
+   the bytes before and behind the anchor, then by the bucket identifiers of the
+   q-grams at every place and at the later offset, whose combination is the
+   identifier of LENGTH bytes, until strings of LENGTH bytes are told apart.
    A bucket of more than ``LARGE`` reaches is refined by the whole cluster
    instead: its strings are counted by hash with partial sums.
 3. The removed intervals of each text are joined to the documents.
@@ -36,18 +36,18 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.jaccard_join import _powers, mix
-from parlance.llm.support import fresh, quoted, saved, text_or_empty
+from parlance.llm.support import discard, documents, fresh, lean, quoted, saved, text_or_empty
 
 LENGTH, GRAM = 200, 100
 SPAN = LENGTH - GRAM + 1
-#: q of the initial buckets inside a reach; it doubles to GRAM and LENGTH.
-Q = 50
+#: Bytes before and behind the anchor's q-gram by which a bucket is refined first.
+Q = (SPAN - 1) // 2
 #: Reaches of a bucket that one task refines, and reaches refined in one go.
-LARGE, AT_ONCE = 8192, 16384
+LARGE, AT_ONCE = 16384, 16384
 
 
 def _prefix(b: np.ndarray) -> np.ndarray:
@@ -111,7 +111,8 @@ def _emit_anchors(batches):
 
 
 def _emit_reaches(batches):
-    """(g, large, k1, k2, lo, bytes) of the marked anchors of each text."""
+    """(g, k1, k2, lo, anchor, bytes) of the marked anchors of each text: lo is the
+    reach's place in the text, anchor the anchor's place in the reach."""
     seen: set = set()
     for batch in batches:
         rows = []
@@ -121,55 +122,63 @@ def _emit_reaches(batches):
             seen.add((k1, k2))
             data = text.encode()
             for m in marks:
-                if m["code"] & 2:
-                    at = m["code"] >> 3
-                    lo = max(at - SPAN + 1, 0)
-                    rows.append((m["g"], bool(m["code"] & 4), k1, k2, lo, data[lo:at + LENGTH]))
+                at = m["code"] >> 3
+                lo = max(at - SPAN + 1, 0)
+                rows.append((m["g"], k1, k2, lo, at - lo, data[lo:at + LENGTH]))
         for a in range(0, len(rows), 10_000):
             cols = list(zip(*rows[a:a + 10_000]))
-            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "large", "k1", "k2", "lo", "reach"])
+            kinds = (pa.int64(),) * 5 + (pa.binary(),)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "k1", "k2", "lo", "anchor", "reach"])
 
 
-def refined(bucket: np.ndarray, owner: np.ndarray, lo: np.ndarray, reaches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def refined(bucket: np.ndarray, owner: np.ndarray, lo: np.ndarray, anchor: np.ndarray,
+            reaches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """(row, start in its reach) of the strings of LENGTH bytes that start at two
     places of the same bucket. ``owner`` tells texts apart, ``lo`` is the place
-    of a reach in its text."""
+    of a reach in its text, ``anchor`` the place of its anchor in the reach.
+
+    Round 1 refines a bucket by the q-grams Q bytes before and behind the
+    anchor: a string through the anchor reaches over one of them, so only the
+    strings over a shared one go on. Round 2 gives each place the identifier of
+    its GRAM bytes, round 3 that of LENGTH bytes from those of round 2 at the
+    place and at the later offset, and sorts the places by it."""
     lengths = np.array([len(r) for r in reaches], np.int64)
     base = np.concatenate(([0], np.cumsum(lengths)))[:-1]
     total = _prefix(np.frombuffer(b"".join(reaches), np.uint8))
-
-    def places(width: int) -> np.ndarray:
-        """All places at which ``width`` more bytes lie in the same reach."""
-        counts = lengths - width + 1
-        first = np.repeat(base - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-        return first + np.arange(int(counts.sum()))
-
-    at = places(Q)
-    pointer = np.zeros(int(lengths.sum()) + 1, np.int64)
-    grams = _hashes(total, at, at + Q)
-    pointer[at] = np.unique(grams, return_inverse=True)[1]
-    width = Q
-    while width * 2 < LENGTH:  # identifiers of 2 * width bytes from those of width bytes
-        at = places(width * 2)
-        pair = pointer[at] * (int(pointer.max()) + 1) + pointer[at + width]
-        pointer[at] = np.unique(pair, return_inverse=True)[1]
-        width *= 2
-    at = places(LENGTH)
-    row = np.repeat(np.arange(len(reaches)), lengths - LENGTH + 1)
-    times = np.bincount(pointer[places(width)])
-    alive = (times[pointer[at]] > 1) & (times[pointer[at + LENGTH - width]] > 1)
-    at, row = at[alive], row[alive]
-    if not len(at):
-        return row, at
-    pair = pointer[at] * (int(pointer.max()) + 1) + pointer[at + LENGTH - width]
-    pair = np.unique(pair, return_inverse=True)[1]
-    pair = bucket[row] * (int(pair.max()) + 1) + pair
-    start = at - base[row]
-    order = np.lexsort((lo[row] + start, owner[row], pair))
-    p, o, s = pair[order], owner[row][order], (lo[row] + start)[order]
-    new = np.concatenate(([True], (p[1:] != p[:-1])))
-    other = np.concatenate(([True], new[1:] | (o[1:] != o[:-1]) | (s[1:] != s[:-1])))  # another place
+    at, end = base + anchor, base + lengths
+
+    def shared(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Rows whose bytes from begin to stop occur in another row of the bucket."""
+        key = _hashes(total, np.maximum(begin, base), np.minimum(stop, end)) + mix(bucket.astype(np.uint64))
+        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
+        return times[which] > 1
+
+    middle = np.maximum(np.minimum(at - Q, end - LENGTH), base - 1)  # strings that start up to here hold Q bytes before
+    left = np.where(shared(at - Q, at + GRAM), np.minimum(middle, end - LENGTH) - base + 1, 0)
+    right = np.where(shared(at, at + GRAM + Q), np.minimum(at, end - LENGTH) - middle, 0)
+    # places: left ones count from the reach's start, right ones from behind ``middle``
+    counts = np.concatenate((np.maximum(left, 0), np.maximum(right, 0)))
+    origin = np.concatenate((base, middle + 1))
+    row = np.repeat(np.concatenate((np.arange(len(reaches)),) * 2), counts)
+    first = np.repeat(origin - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
+    place = first + np.arange(int(counts.sum()))
+    if not len(place):
+        return row, place
+    grams = _hashes(total, place, place + GRAM), _hashes(total, place + LENGTH - GRAM, place + LENGTH)
+    pointer = mix(grams[0] * np.uint64(0x9E3779B97F4A7C15) + grams[1] + mix(bucket[row].astype(np.uint64)))
+    order = np.argsort(pointer)
+    pointer = pointer[order]
+    again = np.concatenate(([False], pointer[1:] == pointer[:-1]))
+    alive = again | np.append(again[1:], False)
+    order, pointer = order[alive], pointer[alive]
+    row, place = row[order], place[order]
+    start = place - base[row]
+    where = lo[row] + start
+    # A string counts once per place of its text, however many reaches show it.
+    order = np.lexsort((where, owner[row], pointer))
+    p, o, s = pointer[order], owner[row][order], where[order]
+    new = np.concatenate(([True], p[1:] != p[:-1]))
+    other = np.concatenate(([True], new[1:] | (o[1:] != o[:-1]) | (s[1:] != s[:-1])))
     group = np.cumsum(new) - 1
     repeated = np.bincount(group, other)[group] > 1
     return row[order][repeated], start[order][repeated]
@@ -182,7 +191,7 @@ def _refine(batches):
         names: dict = {}
         owner = np.array([names.setdefault((r[1], r[2]), len(names)) for r in rows], np.int64)
         lo = np.array([r[3] for r in rows], np.int64)
-        row, start = refined(bucket, owner, lo, [r[4] for r in rows])
+        row, start = refined(bucket, owner, lo, np.array([r[4] for r in rows], np.int64), [r[5] for r in rows])
         if not len(row):
             return None
         order = np.lexsort((start, row))
@@ -198,7 +207,7 @@ def _refine(batches):
 
     rows: list = []
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "lo", "reach"))):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("g", "k1", "k2", "lo", "anchor", "reach"))):
             if len(rows) >= AT_ONCE and rows[-1][0] != r[0]:
                 if (found := work(rows)) is not None:
                     yield found
@@ -224,22 +233,21 @@ def _strings(batches):
 
 def _by_cluster(reaches: DataFrame) -> DataFrame:
     """What ``_refine`` does, for buckets of any size."""
-    rows = reaches.mapInArrow(_strings, "w1 long, w2 long, k1 long, k2 long, start long")
+    rows = reaches.mapInArrow(lean(_strings), "w1 long, w2 long, k1 long, k2 long, start long")
     rows = rows.withColumn("code", F.xxhash64("k1", "k2", "start"))
     twice = rows.groupBy("w1", "w2").agg(F.min("code").alias("one"), F.max("code").alias("other")).where("one <> other")
     return rows.join(twice.select("w1", "w2"), ["w1", "w2"]).select(
         "k1", "k2", F.col("start").alias("a"), (F.col("start") + LENGTH).alias("b"))
 
 
-def _merged(spans):
-    """Maximal intervals, in order."""
-    out: list = []
-    for a, b in sorted((s["a"], s["b"]) for s in spans):
-        if out and a <= out[-1][1]:
-            out[-1][1] = max(out[-1][1], b)
-        else:
-            out.append([a, b])
-    return out
+def _merged(found: DataFrame) -> DataFrame:
+    """(k1, k2, spans): maximal intervals of each text, in order, from (k1, k2, a, b)."""
+    order = Window.partitionBy("k1", "k2").orderBy("a", "b")
+    reached = F.max("b").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    apart = found.withColumn("apart", F.when(F.col("a") <= reached, 0).otherwise(1))
+    islands = apart.withColumn("island", F.sum("apart").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = islands.groupBy("k1", "k2", "island").agg(F.min("a").alias("a"), F.max("b").alias("b"))
+    return whole.groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("spans"))
 
 
 def keyed(text):
@@ -251,12 +259,13 @@ def removed_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(k1, k2, spans) of the texts that lose bytes: maximal removed intervals of
     the UTF-8 bytes, in order; [-1, -1) first where the whole text goes."""
     t = text_or_empty(text)
-    texts = docs.select(*keyed(t), t.alias("text"))
-    emitted = texts.mapInArrow(_emit_anchors, "g long, c long, k1 long, place long")
+    texts = documents(docs).select(*keyed(t), t.alias("text"))
+    emitted = texts.mapInArrow(lean(_emit_anchors), "g long, c long, k1 long, place long")
     reaches = emitted.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("holder"))
     live = reaches.groupBy("g").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("reaches")).where("members > 1")
     # Left out: buckets of one member.
     live = saved(reaches.join(live.select("g", "reaches"), "g"), "live-buckets", release=True)
+    any_large = bool(live.where(F.col("reaches") > LARGE).limit(1).count())
     sent = (F.col("reaches") > 1) & ((F.col("n") == 1) | (F.col("k1") == F.col("holder")))
     code = (F.shiftleft(F.col("place").bitwiseAND((1 << 32) - 1), 3) + F.when(F.col("n") > 1, 1).otherwise(0)
             + F.when(sent, 2).otherwise(0) + F.when(F.col("reaches") > LARGE, 4).otherwise(0))
@@ -264,12 +273,18 @@ def removed_spans(docs: DataFrame, text: str = "text") -> DataFrame:
              .select("k1", F.shiftrightunsigned("place", 32).alias("k2"), F.struct(code.alias("code"), "g").alias("mark"))
              .groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks")))
     marks = saved(marks, "marks", release=True)
-    asked = marks.where(F.exists("marks", lambda m: m["code"].bitwiseAND(2) > 0))
-    shipped = texts.join(asked, ["k1", "k2"]).mapInArrow(
-        _emit_reaches, "g long, large boolean, k1 long, k2 long, lo long, reach binary")
-    shipped = saved(shipped, "reaches", release=True)
-    small = shipped.where("not large").repartition("g").sortWithinPartitions("g")
-    spans = small.mapInArrow(_refine, "k1 long, k2 long, a long, b long").unionByName(_by_cluster(shipped.where("large")))
+    discard(live)
+
+    def reaches_of(flags: int) -> DataFrame:
+        """Reaches of the marks with just these of the flags 2 (sent) and 4 (large bucket)."""
+        asked = marks.select("k1", "k2", F.filter("marks", lambda m: m["code"].bitwiseAND(6) == flags).alias("marks"))
+        return texts.join(asked.where(F.size("marks") > 0), ["k1", "k2"]).mapInArrow(
+            lean(_emit_reaches), "g long, k1 long, k2 long, lo long, anchor long, reach binary")
+
+    spans = reaches_of(2).repartition("g").sortWithinPartitions("g").mapInArrow(lean(_refine), "k1 long, k2 long, a long, b long")
+    tables = [saved(spans, "refined", release=True)]
+    if any_large:  # after the others, so that their shuffle files are gone
+        tables.append(saved(_by_cluster(reaches_of(6)), "refined-large", release=True))
     # Intervals of reaches that occur twice, clipped at the text's end later.
     at = F.shiftright(F.col("m.code"), 3)
     whole = (marks.select("k1", "k2", F.explode(F.filter("marks", lambda m: m["code"].bitwiseAND(1) > 0)).alias("m"))
@@ -277,10 +292,13 @@ def removed_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     copies = (docs.select(*keyed(t), F.octet_length(t).alias("size")).where(F.col("size") >= LENGTH)
               .groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
               .select("k1", "k2", F.lit(-1).cast("long").alias("a"), F.lit(-1).cast("long").alias("b")))
-    found = spans.unionByName(whole).unionByName(copies).groupBy("k1", "k2").agg(
-        F.collect_list(F.struct("a", "b")).alias("spans"))
-    merged = F.udf(_merged, "array<struct<a:bigint,b:bigint>>")
-    return saved(found.select("k1", "k2", merged("spans").alias("spans")), "spans", release=True)
+    found = whole.unionByName(copies)
+    for table in tables:
+        found = found.unionByName(table)
+    out = saved(_merged(found), "spans", release=True)
+    for table in (marks, *tables):
+        discard(table)
+    return out
 
 
 def cut(data: bytes, spans) -> tuple[list[tuple[int, int]], bytes]:
@@ -319,7 +337,7 @@ def digest_documents(docs: DataFrame) -> DataFrame:
 
     narrow = docs.select(quoted("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = _with_spans(narrow).select("doc.doc_id", "doc.text", "spans")
-    return rows.mapInArrow(digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return rows.mapInArrow(lean(digest), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
