@@ -187,6 +187,24 @@ def test_state_is_carried_and_training_learns():
     assert gated_lm.log_likelihood(net, v, pattern[:1])[0] > before / 3
 
 
+def test_every_training_document_fits_the_network(spark, tmp_path, monkeypatch):
+    rows = [(i, i % 7 != 2, "shared text" if i % 3 == 0 else f"own text {i}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, trains boolean, text string").repartition(4)
+    dealt = [[r.text for r in gated_lm.round_of(docs, k).collect()] for k in range(gated_lm.ROUNDS)]
+    assert sorted(t for part in dealt for t in part) == sorted(r[2] for r in rows if r[1])
+    assert all("shared text" in part for part in dealt)
+    # each model's weight is the tokens it was trained on
+    trained = []
+    monkeypatch.setattr(gated_lm, "saved", lambda df, name, real=gated_lm.saved: trained.append(real(df, name)) or trained[-1])
+    monkeypatch.setattr(gated_lm, "discard", lambda table: None)
+    monkeypatch.setattr(gated_lm, "FAN_IN", 1 << 20)
+    v = gated_lm.vocabulary(gated_lm.token_counts(docs))
+    gated_lm.fitted(docs, v)
+    first = [t for t in trained[1:] if "weight" in t.columns]
+    models = first[::2] if len(first) == 2 * gated_lm.ROUNDS else first
+    assert sum(r.weight for t in models for r in t.collect()) == v.total
+
+
 # -- embeddings ---------------------------------------------------------------
 
 def test_cosine_against_brute_force(spark, monkeypatch):
