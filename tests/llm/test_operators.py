@@ -205,6 +205,21 @@ def test_every_training_document_fits_the_network(spark, tmp_path, monkeypatch):
     assert sum(r.weight for t in models for r in t.collect()) == v.total
 
 
+def test_network_vocabulary_grows_with_the_corpus():
+    heads = []
+    for distinct in (1000, 20_000, 120_000):
+        known = [(b"w%d" % i, 1 + 2_000_000 // (i + 1)) for i in range(distinct)] + [(gated_lm.END, 5000)]
+        total = sum(c for _, c in known)
+        v = gated_lm.Vocabulary(known, total, len(known), {"tokens": 0, "distinct": 0, "once": 0, "twice": 0})
+        assert v.counts[:v.head].sum() >= gated_lm.COVER * total
+        assert abs(v.neural - v.head ** 0.5) <= 1 and v.neural * v.per_class >= v.head
+        net = gated_lm.new_network(v)
+        symbols = [np.array([s], np.int32) for s in range(v.inputs() - 1)]
+        assert abs(np.exp(gated_lm.log_likelihood(net, v, symbols)).sum() - 1) < 1e-3
+        heads.append(v.head)
+    assert heads[0] == 1001 and heads[1] > gated_lm.LEAST_HEAD and heads[2] > 2 * heads[1]
+
+
 # -- embeddings ---------------------------------------------------------------
 
 def test_cosine_against_brute_force(spark, monkeypatch):
