@@ -9,8 +9,8 @@ character met at each: the steps of a length class are hash-sampled, and the
 steps of a longer class are a subset of those of a shorter one, so texts of
 different length can be compared.
 
-Near duplicates: bands of sampled bits name buckets, documents are compared with
-their bucket's first fingerprint, and verified links are joined to groups.
+Near duplicates: bands of sampled bits name buckets, the documents of a bucket
+are compared pair by pair in blocks, and verified links are joined to groups.
 
 Defined results: a null text counts as empty; the fingerprint of an empty text
 is like that of another empty text (1.0) and unlike any other (0.0); equal texts
@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from parlance.llm import blocks
 from parlance.llm.components import components
 from parlance.llm.support import documents, kept, lean, quoted, saved, text_or_empty
 
@@ -270,26 +271,64 @@ def bands(fingerprint: str) -> list[int]:
     return out
 
 
+def all_likeness(prints: list[str]) -> np.ndarray:
+    """``likeness`` of every pair of different fingerprints."""
+    own = np.array([int(p.split(".")[0], 16) for p in prints])
+    out = np.zeros((len(prints), len(prints)))
+    for octave in np.unique(own):
+        pick = np.flatnonzero(own <= octave)
+        bits = [_bits(prints[k], int(octave)) for k in pick]
+        size = np.array([len(b) for b in bits])
+        signs = np.zeros((len(pick), int(size.max(initial=0))), np.float32)
+        for k, b in enumerate(bits):
+            signs[k, :len(b)] = 1 - 2 * b.astype(np.float32)
+        # places that only one has are 0: the product is those alike less those that differ
+        found = np.maximum(signs @ signs.T, 0) / np.maximum(np.maximum.outer(size, size), 1)
+        here = np.maximum.outer(own[pick], own[pick]) == octave
+        at = np.ix_(pick, pick)
+        out[at] = np.where(here, found, out[at])
+    return out
+
+
+def _verify(least: float):
+    """(a, b): links of the fingerprints of each work unit to the smallest one that
+    verified pairs of the unit lead to."""
+    def verify(batches):
+        for unit in blocks.runs(batches, ["band"]):
+            prints, own = unit.column("fingerprint").to_pylist(), unit.column("own").to_numpy()
+            order = sorted(range(len(prints)), key=prints.__getitem__)
+            prints, own = [prints[k] for k in order], own[order]
+            i, j = unit.column("block_i")[0].as_py(), unit.column("block_j")[0].as_py()
+            close = blocks.to_compare(own, i, j)
+            if not close.any():
+                continue
+            close &= all_likeness(prints) >= least
+            close |= close.T
+            head = blocks.heads(close)
+            linked = np.flatnonzero(head != np.arange(len(head)))
+            if len(linked):
+                yield pa.RecordBatch.from_arrays([pa.array([prints[k] for k in linked]), pa.array([prints[k] for k in head[linked]])],
+                                                 names=["a", "b"])
+    return verify
+
+
 def near_groups(prints: DataFrame, least: float = 0.8) -> DataFrame:
     """(key, group) of (key, fingerprint) rows: the smallest key that verified
     links lead to. Equal fingerprints are one node, whatever their number; in a
-    bucket every fingerprint is verified against the bucket's smallest one, so
-    a bucket of any size gives one pair per member."""
+    bucket every pair of fingerprints is verified, in blocks, so a bucket of any
+    size is many units of work, and a unit returns star links."""
     @F.pandas_udf("array<bigint>")
     def banded(s: pd.Series) -> pd.Series:
         return s.map(bands)
 
-    @F.pandas_udf("double")
-    def alike(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([likeness(x, y) for x, y in zip(a, b)], dtype="float64")
-
     nodes = saved(prints.groupBy("fingerprint").agg(F.min("key").alias("node")), "fingerprint-nodes")
-    rows = nodes.select("fingerprint", F.explode(banded("fingerprint")).alias("band"))
-    heads = rows.groupBy("band").agg(F.min("fingerprint").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    pairs = rows.join(heads, "band").where("fingerprint <> head").select("fingerprint", "head").distinct()
-    links = pairs.where(alike("fingerprint", "head") >= least).select(
-        F.col("fingerprint").alias("a"), F.col("head").alias("b"))
-    found = components(links)
+    named = saved(nodes.select("fingerprint", banded("fingerprint").alias("bands")), "fingerprint-bands")
+    rows = named.select("fingerprint", F.explode(F.array_distinct("bands")).alias("band"))
+    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")
+    rows = rows.join(shared, "band")  # buckets of one fingerprint stay behind
+    found = blocks.units(blocks.in_blocks(rows, ["band"], "fingerprint"), ["band"]).mapInArrow(
+        lean(_verify(least)), "a string, b string")
+    found = components(saved(found.distinct(), "fingerprint-links"))
     grouped = nodes.join(found, nodes["fingerprint"] == found["node"], "left").select(
         "fingerprint", F.coalesce("component", "fingerprint").alias("component"), nodes["node"].alias("first"))
     smallest = grouped.groupBy("component").agg(F.min("first").alias("group"))

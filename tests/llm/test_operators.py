@@ -113,6 +113,38 @@ def test_fingerprint_groups(spark):
 
 # -- toxicity -----------------------------------------------------------------
 
+def _brute_groups(prints, least):
+    """Smallest key that links of all pairs lead to, by key."""
+    group = {k: k for k, _ in prints}
+    pairs = [(a, b) for a, x in prints for b, y in prints if a < b and edit_embedding.likeness(x, y) >= least]
+    while any(group[a] != group[b] for a, b in pairs):
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+    return group
+
+
+def test_groups_in_a_family_of_templates(spark, monkeypatch):
+    monkeypatch.setattr(edit_embedding.blocks.in_blocks, "__defaults__", (16,))
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    base = "".join(rng.choices(letters, k=900))
+
+    def changed(text, share):
+        return "".join(rng.choice(letters) if rng.random() < share else c for c in text)
+
+    texts = []
+    for _ in range(50):
+        own = changed(base, 0.06)
+        texts += [own, changed(own, 0.003)]
+    prints = list(enumerate(edit_embedding.fingerprints(texts)))
+    both = edit_embedding.all_likeness([p for _, p in prints])
+    assert all(abs(both[a, b] - edit_embedding.likeness(x, y)) < 1e-6 for a, x in prints[:20] for b, y in prints if a != b)
+    want = _brute_groups(prints, 0.8)
+    assert len(set(want.values())) > 20 and len(set(want.values())) <= 60
+    got = edit_embedding.near_groups(spark.createDataFrame(prints, "key long, fingerprint string"), 0.8)
+    assert {r.key: r.group for r in got.collect()} == want
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Іdiot ID10T, m0r0n! $tupid") == " idiot idiot moron stupid "
     lexicon = toxicity.Lexicon({" clown ": 2.0, " idio": 3.0}, ["clown fish"], 1.0, -1.0)
