@@ -22,6 +22,7 @@ empty result; other columns of the input are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -40,8 +41,12 @@ PERIOD, CLASSES = 4096, 256
 SEED = 20240229
 #: Characters walked side by side at most (bounds a task's memory, not a text).
 SLICE_CHARS = 6_000_000
-#: Bits of a band and number of bands.
-BAND_BITS, BANDS = 24, 48
+#: Recall of a pair at the threshold, and fingerprints that a bucket should hold
+#: when all bits are alike.
+RECALL, BUCKET = 0.999, 16
+#: Length slices of the walk: slice m reaches to step SLICE ** m. Allowances for the
+#: sampling of steps: of the lengths' ratio, and of the share of differing bits.
+SLICE, RATIO_SLACK, SHARE_SLACK = 1.25, 0.05, 0.03
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -253,21 +258,40 @@ def with_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return rows.mapInArrow(lean(describe), f"key {rows.schema['key'].dataType.simpleString()}, fingerprint string")
 
 
-def bands(fingerprint: str) -> list[int]:
-    """Band hashes in the text's own length class and the next longer one, so
-    that near copies on either side of a class border still meet."""
-    octave, total, _ = fingerprint.split(".")
-    own = int(octave, 16)
+def bands_for(prints: int, least: float, recall: float = RECALL) -> tuple[int, int]:
+    """(bits, bands) of a slice: enough bits for small buckets, enough bands for the
+    recall of a pair at the threshold wherever its edits lie. Such a pair differs
+    in (1 - least) / 2 of its bits, and its slice leaves out the last bits up to a
+    ``SLICE``-th part at most; at worst all that differ lie in the slice."""
+    bits = min(32, max(6, round(math.log2(max(prints, 2) / BUCKET))))
+    same = 1 - min((1 - least) / 2 * SLICE + SHARE_SLACK, 0.5)
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - same ** bits))
+
+
+def slices(total: int, least: float) -> list[int]:
+    """Slices that a walk of so many steps has bands in. They reach over steps that
+    the walk has; the last slice of a walk is one of every walk that is longer by
+    1 / least at most, so each pair at the threshold shares a slice that holds
+    nearly all of the shorter walk."""
+    out, m = [], 0
+    while SLICE ** m <= total:
+        if SLICE ** (m + 1) > total * max(least - RATIO_SLACK, 0.01):
+            out.append(m)
+        m += 1
+    return out
+
+
+def bands(fingerprint: str, bits: int, count: int, least: float) -> list[int]:
+    """Band hashes in each slice of the fingerprint: ``count`` times ``bits`` bits
+    drawn over the whole slice, of the length class of the slice's longest walk."""
+    total = int(fingerprint.split(".")[1], 16)
     out = []
-    for k in (own, own + 1):
-        bits = np.zeros(len(sampled_steps(k)), np.uint8)
-        have = _bits(fingerprint, k)
-        bits[:len(have)] = have
-        # Only steps that every text of the class or the one below may have.
-        reach = max(1, min(len(bits), int(np.searchsorted(sampled_steps(k), (SAMPLES << k) // 4))))
-        picks = np.random.default_rng(SEED + k).integers(0, reach, (BANDS, BAND_BITS))
-        values = np.packbits(bits[picks], axis=1).astype(np.int64) @ (np.int64(256) ** np.arange(-(-BAND_BITS // 8)))
-        out += (_mix(values * 131071 + np.arange(BANDS) * 64 + k) >> np.uint64(1)).astype(np.int64).tolist()
+    for m in slices(total, least):
+        octave = octave_of(math.ceil(SLICE ** (m + 1) / max(least - RATIO_SLACK, 0.01)))
+        reach = max(1, int(np.searchsorted(sampled_steps(octave), SLICE ** m)))
+        picks = np.random.default_rng(SEED + m).integers(0, reach, (count, bits))
+        values = _bits(fingerprint, octave)[picks].astype(np.int64) @ (np.int64(1) << np.arange(bits))
+        out += (_mix((values * 65536 + np.arange(count)) * 256 + m) >> np.uint64(1)).astype(np.int64).tolist()
     return out
 
 
@@ -319,9 +343,10 @@ def near_groups(prints: DataFrame, least: float = 0.8) -> DataFrame:
     size is many units of work, and a unit returns star links."""
     @F.pandas_udf("array<bigint>")
     def banded(s: pd.Series) -> pd.Series:
-        return s.map(bands)
+        return s.map(lambda p: bands(p, bits, count, least))
 
     nodes = saved(prints.groupBy("fingerprint").agg(F.min("key").alias("node")), "fingerprint-nodes")
+    bits, count = bands_for(nodes.count(), least)
     named = saved(nodes.select("fingerprint", banded("fingerprint").alias("bands")), "fingerprint-bands")
     rows = named.select("fingerprint", F.explode(F.array_distinct("bands")).alias("band"))
     shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("band")

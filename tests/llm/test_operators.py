@@ -113,10 +113,10 @@ def test_fingerprint_groups(spark):
 
 # -- toxicity -----------------------------------------------------------------
 
-def _brute_groups(prints, least):
-    """Smallest key that links of all pairs lead to, by key."""
-    group = {k: k for k, _ in prints}
-    pairs = [(a, b) for a, x in prints for b, y in prints if a < b and edit_embedding.likeness(x, y) >= least]
+def _brute_groups(likeness, least):
+    """Smallest number that links of all pairs lead to, by number."""
+    group = list(range(len(likeness)))
+    pairs = [(a, b) for a, b in np.argwhere(likeness >= least).tolist() if a < b]
     while any(group[a] != group[b] for a, b in pairs):
         for a, b in pairs:
             group[a] = group[b] = min(group[a], group[b])
@@ -124,7 +124,7 @@ def _brute_groups(prints, least):
 
 
 def test_groups_in_a_family_of_templates(spark, monkeypatch):
-    monkeypatch.setattr(edit_embedding.blocks.in_blocks, "__defaults__", (16,))
+    monkeypatch.setattr(edit_embedding.blocks.in_blocks, "__defaults__", (128,))
     rng = random.Random(8)
     letters = "abcdefghijklmnopqrstuvwxyz"
     base = "".join(rng.choices(letters, k=900))
@@ -133,16 +133,42 @@ def test_groups_in_a_family_of_templates(spark, monkeypatch):
         return "".join(rng.choice(letters) if rng.random() < share else c for c in text)
 
     texts = []
-    for _ in range(50):
+    for _ in range(1000):
         own = changed(base, 0.06)
         texts += [own, changed(own, 0.003)]
     prints = list(enumerate(edit_embedding.fingerprints(texts)))
     both = edit_embedding.all_likeness([p for _, p in prints])
-    assert all(abs(both[a, b] - edit_embedding.likeness(x, y)) < 1e-6 for a, x in prints[:20] for b, y in prints if a != b)
-    want = _brute_groups(prints, 0.8)
-    assert len(set(want.values())) > 20 and len(set(want.values())) <= 60
+    assert all(abs(both[a, b] - edit_embedding.likeness(x, y)) < 1e-6 for a, x in prints[:20] for b, y in prints[:100] if a != b)
+    want = _brute_groups(both, 0.8)
+    assert len(set(want)) > 500
     got = edit_embedding.near_groups(spark.createDataFrame(prints, "key long, fingerprint string"), 0.8)
-    assert {r.key: r.group for r in got.collect()} == want
+    assert {r.key: r.group for r in got.collect()} == dict(enumerate(want))
+
+
+def test_bands_find_pairs_wherever_their_edits_lie():
+    rng = random.Random(9)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    least, pairs, missed = 0.8, 0, 0
+    for k in range(200):
+        text = rng.choices(letters, k=rng.choice((300, 500, 670, 1000, 1340)))
+        size = int(len(text) * rng.uniform(0.12, 0.2))
+        lo = (0, (len(text) - size) // 2, len(text) - size)[k % 3]
+        near = text[:lo] + rng.choices(letters, k=size) + text[lo + size:]
+        a, b = edit_embedding.fingerprints(["".join(text), "".join(near)])
+        if not least <= edit_embedding.likeness(a, b) < 0.9:
+            continue
+        pairs += 1
+        for prints in (1000, 100_000_000):
+            bits, count = edit_embedding.bands_for(prints, least)
+            missed += not set(edit_embedding.bands(a, bits, count, least)) & set(edit_embedding.bands(b, bits, count, least))
+    assert pairs > 60 and missed <= 1
+    # texts of different length, and texts with a common opening
+    long = rng.choices(letters, k=1500)
+    a, b, c = edit_embedding.fingerprints(["".join(x) for x in (long, long[:1290], long[:375] + rng.choices(letters, k=1125))])
+    bits, count = edit_embedding.bands_for(1_000_000_000, least)
+    x, y, z = (set(edit_embedding.bands(p, bits, count, least)) for p in (a, b, c))
+    assert edit_embedding.likeness(a, b) >= least and x & y
+    assert len(x & z) < 20 < len(x) / 20
 
 
 def test_folding_and_exceptions():
