@@ -57,7 +57,7 @@ def recent(log: DataFrame, n: int = K.DASHBOARD_ROWS, chars: int = K.PREVIEW_CHA
                       F.when(F.col("escalated") == 1, "Yes").otherwise("No").alias("escalated"))
 
 
-def session_history(messages: DataFrame, session: str, order: str) -> DataFrame:
+def session_history(messages: DataFrame, session: str, order) -> DataFrame:
     """Messages with their 1-based position in the session (skew-safe rank)."""
     return row_number_within(messages, [session], [order], out="position")
 

@@ -158,9 +158,8 @@ FROM conversations WHERE role IN ('user', 'assistant')
 """, ids=("W8", "W9"))
 def session_history(spark, sf_dir):
     c = Tables(spark, sf_dir).conversations.where(F.col("role").isin("user", "assistant"))
-    # Only the keys are ranked; the messages are joined to them.
-    ranked = logs.session_history(c.select("conv_id", "turn"), "conv_id", "turn")
-    return c.select("conv_id", "turn", "role", "text").join(ranked, ["conv_id", "turn"])
+    # Messages are ranked whole: (conv_id, turn) may be null or repeated, so it cannot join them.
+    return logs.session_history(c.select("conv_id", "turn", "role", "text"), "conv_id", F.col("turn").asc_nulls_last())
 
 
 @plan("escalated_only", sql=f"SELECT id, session_id, sentiment FROM ({LOG_SQL}) WHERE escalated = 1",

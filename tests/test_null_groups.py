@@ -31,6 +31,20 @@ def test_previous_value_of_null_group(spark):
     assert sorted((r.id, r.previous) for r in got if r.id) == [(i, 2 * i - 2) for i in range(1, 100)]
 
 
+def test_session_history_keeps_null_and_repeated_turns(spark, tmp_path):
+    from parlance.plans.log_plans import session_history
+
+    rows = [(None, 1, "user", "a"), (None, 2, "assistant", "b"), (1, None, "user", "c"), (1, 1, "user", "d"), (1, 2, "user", "e"),
+            (1, 2, "assistant", "f"), (2, 1, "system", "g")]
+    spark.createDataFrame(rows, "conv_id long, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.text: (r.conv_id, r.turn, r.role, r.position) for r in session_history(spark, str(tmp_path)).collect()}
+    assert {k: v[:3] for k, v in got.items()} == {r[3]: r[:3] for r in rows if r[2] != "system"}
+    position = {k: v[3] for k, v in got.items()}
+    assert (position["a"], position["b"], position["d"], position["c"]) == (1, 2, 1, 4)
+    assert {position["e"], position["f"]} == {2, 3}
+    assert session_history(spark, str(tmp_path)).count() == 6
+
+
 def test_stratified_split_keeps_null_class(spark):
     df = spark.range(400).select("id", F.when(F.col("id") % 4 != 0, F.concat(F.lit("c"), F.col("id") % 2)).alias("c"))
     got = splits.stratified_split(df, "id", "c")
