@@ -261,17 +261,19 @@ def removed_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     t = text_or_empty(text)
     texts = documents(docs).select(*keyed(t), t.alias("text"))
     emitted = texts.mapInArrow(lean(_emit_anchors), "g long, c long, k1 long, place long")
-    reaches = emitted.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min("k1").alias("holder"))
+    # One place of a reach is sent for all of them: a text may hold a reach at many.
+    here = F.xxhash64("k1", "place")
+    reaches = emitted.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.min(here).alias("holder"))
     live = reaches.groupBy("g").agg(F.sum("n").alias("members"), F.count(F.lit(1)).alias("reaches")).where("members > 1")
     # Left out: buckets of one member.
     live = saved(reaches.join(live.select("g", "reaches"), "g"), "live-buckets", release=True)
     any_large = bool(live.where(F.col("reaches") > LARGE).limit(1).count())
-    sent = (F.col("reaches") > 1) & ((F.col("n") == 1) | (F.col("k1") == F.col("holder")))
+    sent = (F.col("reaches") > 1) & (here == F.col("holder"))
     code = (F.shiftleft(F.col("place").bitwiseAND((1 << 32) - 1), 3) + F.when(F.col("n") > 1, 1).otherwise(0)
             + F.when(sent, 2).otherwise(0) + F.when(F.col("reaches") > LARGE, 4).otherwise(0))
     marks = (emitted.join(live, ["g", "c"])
              .select("k1", F.shiftrightunsigned("place", 32).alias("k2"), F.struct(code.alias("code"), "g").alias("mark"))
-             .groupBy("k1", "k2").agg(F.collect_list("mark").alias("marks")))
+             .groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("mark")).alias("marks")))  # copies give the same
     marks = saved(marks, "marks", release=True)
     discard(live)
 

@@ -371,6 +371,24 @@ def test_suffixes_of_overlapping_repeats(spark, monkeypatch, large):
     assert got == [(i, *b) for i, b in enumerate(_brute_spans(texts))]
 
 
+def test_one_place_of_a_reach_is_sent(spark, monkeypatch):
+    saved, sent = suffix_dedup.saved, []
+
+    def watched(df, name, **how):
+        table = saved(df, name, **how)
+        if name == "marks":
+            sent.append(table.select(F.explode("marks").alias("m")).where("(m.code & 2) > 0").groupBy("m.g").count().agg(F.max("count")).first()[0])
+        return table
+
+    monkeypatch.setattr(suffix_dedup, "saved", watched)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcdefgh ", k=300)) + "-" * 20_000 + "".join(rng.choices("abcdefgh ", k=300)), "xy" * 150, "z" * 50]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in suffix_dedup.digest_documents(df).collect())
+    assert got == [(i, *b) for i, b in enumerate(_brute_spans(texts))]
+    assert sent[0] < 1000  # a run's edges give some hundred reaches
+
+
 def test_cleaned_keeps_columns(docs, rows):
     got = suffix_dedup.cleaned(docs)
     assert got.columns == docs.columns and got.count() == len(rows)
