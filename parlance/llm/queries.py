@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from parlance.llm import cosine_dedup, edit_embedding, gated_lm, jaccard_join, mixing, packing, sharding, suffix_dedup, token_files, toxicity
+from parlance.llm import (anchor_mining, cosine_dedup, edit_embedding, gated_lm, jaccard_join, lexical_search, mixing, packing,
+                          sharding, suffix_dedup, token_files, toxicity, warc_archive)
 from parlance.sources.tables import table
 
 
@@ -46,7 +47,19 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard_join.join_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op3_gated_lm, op4_cosine_dedup, op5_suffix_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join)}
+def op11_anchor_mining(spark, sf_dir):
+    return anchor_mining.mine_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_warc_archive(spark, sf_dir):
+    return warc_archive.archive_pages(table(spark, sf_dir, "pages"))
+
+
+def op13_lexical_search(spark, sf_dir):
+    return lexical_search.search_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_edit_embedding, op2_toxicity, op3_gated_lm, op4_cosine_dedup, op5_suffix_dedup, op6_packing, op7_mixing, op8_token_files, op9_sharding, op10_jaccard_join, op11_anchor_mining, op12_warc_archive, op13_lexical_search)}
 
 #: Hash-random order and prefix sums over whole sources; targets by the level
 #: that the largest prefix of capped sources leaves.
@@ -110,4 +123,56 @@ SELECT e.vec_id, coalesce(k.n, 0)::BIGINT AS n_links, coalesce(m.root, e.vec_id)
 FROM embeddings e LEFT JOIN m ON m.c = e.vec_id LEFT JOIN k ON k.a = e.vec_id
 """
 
-ORACLE_SQL = {"op4_cosine_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op10_jaccard_join": OP10_SQL}
+#: All anchors against all rows, positives and negatives by rank.
+OP11_SQL = r"""
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, v.vec_id, a.label = v.label AS same, list_inner_product(a.x, v.x)::BIGINT AS score
+      FROM v a JOIN v ON a.vec_id <> v.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT *, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n FROM s WHERE same QUALIFY n <= 5),
+q AS (SELECT p.anchor_id, p.n, p.vec_id AS positive_id, p.score AS positive_score, s.vec_id AS negative_id, s.score AS negative_score
+      FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score)
+SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, n ORDER BY negative_score DESC, negative_id)::INTEGER AS rank,
+       negative_id, positive_score, negative_score FROM q QUALIFY rank <= 3
+"""
+
+#: Digests of whole payloads; base 32 from the hexadecimal digits, 40 bits at a time.
+OP12_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+x AS (SELECT page_id, h, sha1(h) AS hex, row_number() OVER (PARTITION BY h ORDER BY page_id) AS n,
+             min(page_id) OVER (PARTITION BY h) AS head FROM p)
+SELECT page_id, strlen(h)::BIGINT AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + ((('0x' || substr(hex, 1 + 10 * (i // 8), 10))::BIGINT >> (35 - 5 * (i % 8))) & 31)::INT, 1)), '') AS payload_digest,
+       CASE WHEN n = 1 THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN n > 1 THEN head END AS refers_to
+FROM x
+"""
+
+#: Scores of all documents that share a term with an item.
+OP13_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents WHERE text IS NOT NULL),
+q AS (
+  SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+  FROM benchmark WHERE text IS NOT NULL),
+c AS (SELECT count(*)::HUGEINT AS n_docs, sum(len(ts))::HUGEINT AS words FROM d WHERE len(ts) > 0),
+p AS (SELECT r, any_value(doc_id) AS doc_id, any_value(n) AS n, t, count(*)::HUGEINT AS tf
+      FROM (SELECT r, doc_id, len(ts)::HUGEINT AS n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY r, t),
+w AS (SELECT t, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::HUGEINT AS w FROM p, c GROUP BY t, n_docs),
+s AS (SELECT q.item_id, q.text, p.r, any_value(p.doc_id) AS doc_id,
+             sum(w.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // words))))::BIGINT AS score
+      FROM q JOIN p USING (t) JOIN w USING (t), c GROUP BY q.item_id, q.text, p.r)
+SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+FROM s WHERE score > 0 QUALIFY rank <= 50
+"""
+
+ORACLE_SQL = {"op4_cosine_dedup": OP4_SQL, "op7_mixing": OP7_SQL, "op10_jaccard_join": OP10_SQL,
+              "op11_anchor_mining": OP11_SQL, "op12_warc_archive": OP12_SQL, "op13_lexical_search": OP13_SQL}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import ctypes
 
 import pyarrow as pa
@@ -111,6 +112,20 @@ def give_back() -> None:
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Small Arrow batches for what runs inside; the session's settings come back."""
+    names = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        spark.conf.set(names[0], min(BATCH_ROWS, int(before[0])) if int(before[0]) > 0 else BATCH_ROWS)
+        spark.conf.set(names[1], BATCH_BYTES)
+        yield
+    finally:
+        for n, v in zip(names, before):
+            spark.conf.set(n, v)
+
+
 def documents(df: DataFrame) -> DataFrame:
     """``df``, with its session set to hand documents to Python in small batches
     (a caller's smaller setting stays)."""
