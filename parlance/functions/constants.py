@@ -24,6 +24,7 @@ OVERRIDE_NEGATIVE_CONF = 0.90
 CALIBRATION_FACTOR = 1.15
 CALIBRATION_CAP = 0.99
 CALIBRATION_DIGITS = 4
+INTENT_DIGITS = 4
 ESCALATION_CONFIDENCE = 0.85
 
 # Retrieval: nearest corpus instruction.

@@ -1,48 +1,34 @@
 """Spark ML classifiers on the long-form TF-IDF.
 
-One feature implementation serves both the SQL-checked queries and the
-models: long-form weights are packed per document into a ``SparseVector``
-(a small per-row helper; the vocabulary is at most 5000 terms), and the
-estimators are Spark ML's, trained distributed.
+One feature implementation (``features``) serves both the SQL-checked queries
+and the models; the estimators are Spark ML's, trained distributed.
 """
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
-from parlance.operators import metrics, tfidf
-
-
-def _pack(size: int):
-    @F.udf(returnType=VectorUDT())
-    def pack(entries):
-        entries = sorted(entries or [], key=lambda e: e[0])
-        return SparseVector(size, [e[0] for e in entries], [float(e[1]) for e in entries])
-    return pack
-
-
-def vectors(weights: DataFrame, n_terms: int, docs: DataFrame, id_col: str) -> DataFrame:
-    """Attach ``features`` to every row of ``docs`` (empty vector when no term)."""
-    packed = weights.groupBy("id").agg(F.collect_list(F.struct("term_index", "weight")).alias("__e"))
-    j = docs.join(packed, docs[id_col] == packed["id"], "left").drop(packed["id"])
-    return j.withColumn("features", _pack(n_terms)(F.col("__e"))).drop("__e")
+from parlance.operators import features, metrics
+from parlance.sources.landing import stored
 
 
 def featurize(train: DataFrame, test: DataFrame, id_col: str, text_col: str):
-    """Fit the classifiers' TF-IDF on train; (train_vec, test_vec, vocab, n_terms)."""
-    tf_train = tfidf.term_counts(train, id_col, text_col, K.TFIDF_NGRAMS)
-    vocab = tfidf.fit_vocabulary(tf_train, tfidf.doc_count(train), K.TFIDF_MIN_DF, K.TFIDF_MAX_TERMS)
-    n_terms = vocab.count()  # a scalar, at most 5000
-    tr = tfidf.transform(tf_train, vocab, sublinear=True)
-    te = tfidf.transform(tfidf.term_counts(test, id_col, text_col, K.TFIDF_NGRAMS), vocab, sublinear=True)
-    return vectors(tr, n_terms, train, id_col), vectors(te, n_terms, test, id_col), vocab, n_terms
+    """Fit the classifiers' TF-IDF on train; (train_vec, test_vec, model, n_terms).
+
+    The vectors are made inside the rows and stored once: an iterative fit and its
+    folds read the stored table.
+    """
+    model = features.fit_tfidf(train, id_col, text_col)
+    tr, te = (stored(features.with_features(model, d), "features") for d in (train, test))
+    return tr, te, model, len(features.vocabulary_of(model))
 
 
 def sized(df: DataFrame, n_rows: int, rows_per_partition: int = K.ML_ROWS_PER_PARTITION) -> DataFrame:
@@ -109,3 +95,28 @@ def dt_grid(dt: DecisionTreeClassifier):
     """depth {10, 20, 30} (None -> 30, Spark's maximum) x leaf {1, 2, 4}."""
     return (ParamGridBuilder().addGrid(dt.maxDepth, K.DT_GRID_DEPTH)
             .addGrid(dt.minInstancesPerNode, K.DT_GRID_LEAF).build())
+
+
+def fit_text_classifier(train: DataFrame, id_col: str, text_col: str, class_col: str) -> PipelineModel:
+    """Text in, class name out: TF-IDF, logistic regression over the class names of
+    ``train`` (in alphabetical order) and the name of the likeliest class, as one
+    pipeline that can be saved. Rows without text or class are not learned from."""
+    train = stored(train.where(F.col(text_col).isNotNull() & F.col(class_col).isNotNull())
+                   .select(id_col, text_col, class_col), "classifier-rows")
+    tfidf_model = features.fit_tfidf(train, id_col, text_col)
+    indexer = StringIndexer(inputCol=class_col, outputCol="label", stringOrderType="alphabetAsc").fit(train)
+    rows = stored(features.with_features(tfidf_model, indexer.transform(train)).select("label", "features"), "features")
+    n = rows.count()
+    family = "binomial" if len(indexer.labels) <= 2 else "multinomial"
+    fitted = logistic(n).setFamily(family).fit(sized(rows, n))
+    names = IndexToString(inputCol="prediction", outputCol="predicted_class", labels=indexer.labels)
+    return PipelineModel(stages=[*tfidf_model.stages, fitted, names])
+
+
+def classify(model: PipelineModel, df: DataFrame, text_col: str, name: str, confidence: str) -> DataFrame:
+    """``df`` with the likeliest class of its text and that class's probability. The
+    pipeline reads ``text_col`` whatever the column it was fitted on was called."""
+    fitted_on = model.stages[0].getInputCol()
+    d = df.withColumn(fitted_on, F.col(text_col)) if fitted_on != text_col else df
+    d = model.transform(d).withColumn(confidence, F.array_max(vector_to_array("probability")))
+    return d.select(*[F.col(f"`{c}`") for c in df.columns], F.col("predicted_class").alias(name), confidence)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from parlance.functions import constants as K
 from parlance.functions import labels as L
 from parlance.functions import scoring as S
 from parlance.functions import text as TX
+from parlance.operators import models
 
 
 def pair_turns(conversations: DataFrame) -> DataFrame:
@@ -43,11 +45,16 @@ def _sentiment(df: DataFrame, p_positive=None) -> DataFrame:
     p = p_positive if p_positive is not None else S.lexicon_positive_probability("__clean", "__tokens", "__words")
     df = df.withColumn("__p", p)
     code, conf = S.binary_prediction("__p")
-    df = df.withColumns({"__s": L.code_to_sentiment(code, 2), "__conf": conf})
+    return _calibrated(df.withColumns({"__s": L.code_to_sentiment(code, 2), "__conf": conf}).drop("__p"))
+
+
+def _calibrated(df: DataFrame) -> DataFrame:
+    """Sentiment and confidence from the predicted ones (__s, __conf): keyword
+    override, then calibration."""
     df = df.withColumn("__over", L.keyword_override("__s", "__conf", tokens="__tokens"))
     return (df.withColumn("sentiment", F.col("__over.sentiment"))
             .withColumn("sentiment_confidence", L.calibrate("__over.confidence"))
-            .drop("__over", "__s", "__conf", "__p"))
+            .drop("__over", "__s", "__conf"))
 
 
 def _intent(df: DataFrame) -> DataFrame:
@@ -99,6 +106,22 @@ def score_turns(pairs: DataFrame, word_boundary: bool = False, p_positive=None)
     escalate, response, model_used, category.
     """
     df = _intent(_sentiment(_prepared(pairs, "user_message"), p_positive)).drop(*_PREPARED)
+    return _answered(df, word_boundary)
+
+
+def score_turns_by_models(pairs: DataFrame, sentiment: PipelineModel, intent: PipelineModel,
+                          word_boundary: bool = False) -> DataFrame:
+    """``score_turns`` with trained text classifiers in place of the fixed scorers;
+    keyword override, calibration, escalation and reply are the same."""
+    df = _prepared(pairs, "user_message")
+    df = _calibrated(models.classify(sentiment, df, "__clean", "__s", "__conf"))
+    df = models.classify(intent, df, "__clean", "intent", "intent_confidence")
+    df = df.withColumn("intent_confidence", F.round("intent_confidence", K.INTENT_DIGITS)).drop(*_PREPARED)
+    return _answered(df, word_boundary)
+
+
+def _answered(df: DataFrame, word_boundary: bool) -> DataFrame:
+    """Escalation, reply and its source for turns with sentiment and intent."""
     reply, source = choose_reply("reply")
     esc = L.escalate("user_message", "sentiment", "sentiment_confidence", word_boundary=word_boundary)
     key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))

@@ -6,10 +6,14 @@ from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
 from parlance.functions import text as TX
-from parlance.operators import retrieval, splits, tfidf, turns
+from parlance.functions.labels import stable_bucket
+from parlance.operators import features, retrieval, splits, tfidf, turns
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, SUPPORT_CORPUS_SQL, sentiment_corpus, support_prepared
 from parlance.plans.registry import Tables, plan
+from parlance.session import scratch_path
+from parlance.sources import indexstore
+from parlance.sources.landing import stored
 from parlance.sources.tables import spread
 from parlance.plans.turn_plans import PAIRS_SQL
 
@@ -87,12 +91,9 @@ def vocabulary(spark, sf_dir):
 
 @plan("tfidf_sublinear", sql=SUBLINEAR_SQL, ids=("V4", "V6"))
 def tfidf_sublinear(spark, sf_dir):
-    sc = _train_corpus(spark, sf_dir)
-    tr = sc.where(F.col("split") == "train")
-    tf = tfidf.term_counts(tr, "doc_id", "clean_text", K.TFIDF_NGRAMS)
-    v = tfidf.fit_vocabulary(tf, tfidf.doc_count(tr), K.TFIDF_MIN_DF, K.TFIDF_MAX_TERMS)
-    all_tf = tfidf.term_counts(sc, "doc_id", "clean_text", K.TFIDF_NGRAMS)
-    w = tfidf.transform(all_tf, v, sublinear=True)
+    sc = stored(_train_corpus(spark, sf_dir).select("doc_id", "clean_text", "split"), "sentiment-split")
+    model = features.fit_tfidf(sc.where(F.col("split") == "train"), "doc_id", "clean_text")
+    w = features.long_weights(model, sc, "doc_id")
     return w.select("id", "term", "term_index", F.round("weight", 6).alias("weight"))
 
 
@@ -196,9 +197,16 @@ def similarity_report(spark, sf_dir):
 
 # --- J5 / V8: nearest corpus instruction ----------------------------------------
 
-NEAREST_SQL = f"""
-WITH sc AS ({SUPPORT_CORPUS_SQL}),
-corpus AS (SELECT id, clean_instruction, clean_response FROM sc WHERE clean_instruction <> '' AND clean_response <> ''),
+_FIRST = Q.strip_ws(f"string_split_regex({Q.strip_ws('corpus.clean_response')}, {Q.q(TX.SENTENCE_END)})[1]")
+
+
+def nearest_sql(queries: str, corpus: str = "true") -> str:
+    """Matches and grounded prompts of ``queries`` (item_id, text) among the corpus rows
+    that hold the condition, all pairs with a common term compared."""
+    return f"""
+WITH benchmark AS ({queries}),
+sc AS ({SUPPORT_CORPUS_SQL}),
+corpus AS (SELECT id, clean_instruction, clean_response FROM sc WHERE clean_instruction <> '' AND clean_response <> '' AND {corpus}),
 n AS (SELECT count(*)::DOUBLE AS n FROM corpus),
 post AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest({toks('clean_instruction')}) AS term FROM corpus) GROUP BY 1, 2),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
@@ -220,7 +228,7 @@ allq AS (SELECT b.item_id, b.text, CASE WHEN best.sim > 0 THEN best.best_id ELSE
                 coalesce(best.sim, 0.0) AS similarity
          FROM benchmark b LEFT JOIN best ON b.item_id = best.item_id),
 j AS (SELECT allq.*, corpus.clean_response AS resp,
-             {Q.strip_ws(f"string_split_regex({Q.strip_ws('corpus.clean_response')}, {Q.q('[.!?][' + __import__('parlance.functions.text', fromlist=['WS']).WS + ']+')})[1]")} AS fs
+             {_FIRST} AS fs
       FROM allq LEFT JOIN corpus ON allq.best_id = corpus.id),
 o AS (SELECT *, (similarity > {K.RETRIEVAL_MIN_SIM} AND resp IS NOT NULL AND length(resp) > {K.REPLY_MIN_LEN} AND fs <> '') AS ok FROM j)
 SELECT item_id, best_id, round(similarity, 6) AS similarity, ok AS accepted,
@@ -230,6 +238,9 @@ FROM o
 """
 
 
+NEAREST_SQL = nearest_sql("SELECT item_id, text FROM main.benchmark")
+
+
 def retrieval_corpus(spark, sf_dir):
     sc = support_prepared(spark, sf_dir)
     return sc.where((F.col("clean_instruction") != "") & (F.col("clean_response") != ""))
@@ -241,3 +252,30 @@ def nearest_instruction(spark, sf_dir):
     q = Tables(spark, sf_dir).benchmark
     m = retrieval.nearest(q, "item_id", "text", corpus, "id", "clean_instruction")
     return retrieval.grounded_prompts(m, q, "item_id", "text", corpus, "id", "clean_response")
+
+
+_TRAIN = f"{Q.bucket('id', splits.BUCKETS, K.SEED)} < 8000"
+
+
+@plan("grounded_replies", sql=f"""
+WITH r AS ({nearest_sql(f"SELECT {Q.TURN_ID} AS item_id, text FROM conversations WHERE role = 'user'", _TRAIN)})
+SELECT item_id AS id, best_id, similarity, accepted, context, prompt,
+       CASE WHEN length(context) > {K.REPLY_MIN_LEN} THEN context ELSE {Q.q(K.DEFAULT_REPLY)} END AS reply,
+       CASE WHEN length(context) > {K.REPLY_MIN_LEN} THEN {Q.q(K.SOURCE_GROUNDED)} ELSE {Q.q(K.SOURCE_DEFAULT)} END AS reply_source
+FROM r
+""", ids=("V8", "J5", "T9", "T19", "T21", "W10"))
+def grounded_replies(spark, sf_dir):
+    """Every user turn answered from a stored index of the support corpus (its
+    training part, appended in two halves): nearest instruction, the reply's first
+    sentence as context, prompt and reply."""
+    root = scratch_path(spark, "retrieval-index")
+    corpus = stored(splits.hash_split(retrieval_corpus(spark, sf_dir), "id").where(F.col("split") == "train"), "index-corpus")
+    for half in range(2):
+        indexstore.append_documents(corpus.where(stable_bucket("id", 2) == half), root, "id", "clean_instruction", "clean_response")
+    index = indexstore.open_index(spark, root)
+    c = Tables(spark, sf_dir).conversations.where(F.col("role") == "user")
+    q = stored(c.select(turns.turn_id().alias("id"), "text"), "index-queries")
+    m = retrieval.nearest_in(q, "id", "text", index)
+    g = retrieval.grounded_prompts(m, q, "id", "text", index.forward.withColumnRenamed("id", "doc"), "doc", "reply")
+    reply, source = turns.choose_reply("context")
+    return g.withColumns({"reply": reply, "reply_source": source})

@@ -12,8 +12,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
+from parlance.functions import labels as L
 from parlance.functions import text as TX
-from parlance.operators import models, splits
+from parlance.operators import models, splits, turns
 from parlance.operators.encode import fit_codes, sentiment_codes
 from parlance.operators.ordered import first_by
 from parlance.plans import sqlfrag as Q
@@ -22,7 +23,8 @@ from parlance.plans.feature_plans import VOCAB_CTE
 from parlance.plans.log_plans import LOG_SQL, conversation_log
 from parlance.plans.registry import Tables, plan
 from parlance.session import scratch_path
-from parlance.sources import logtables
+from parlance.sources import logtables, modelstore
+from parlance.sources.landing import stored
 
 _CODE = " ".join(f"WHEN {{c}} = {Q.q(k)} THEN {v}" for k, v in K.SENTIMENT_CODES.items())
 
@@ -39,11 +41,10 @@ def split_corpus(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    sc = split_corpus(spark, sf_dir)
+    sc = stored(split_corpus(spark, sf_dir).select("doc_id", "clean_text", "label", "fold", "split"), "split-corpus")
     train, test = sc.where(F.col("split") == "train"), sc.where(F.col("split") == "test")
     tr, te, _, n_terms = models.featurize(train, test, "doc_id", "clean_text")
-    tr = tr.select("doc_id", "label", "fold", "features").cache()
-    te = te.select("doc_id", "label", "features").cache()
+    tr, te = tr.select("doc_id", "label", "fold", "features"), te.select("doc_id", "label", "features")
     return models.sized(tr, tr.count()), models.sized(te, te.count()), n_terms
 
 
@@ -135,10 +136,9 @@ def intent_lr(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", "lang", TX.clean_text("text").alias("clean_text"))
     dim = fit_codes(d, "lang", "code")
     d = d.join(dim, "lang").withColumn("label", F.col("code").cast("double"))
-    d = splits.stratified_split(d, "doc_id", "lang")
+    d = stored(splits.stratified_split(d, "doc_id", "lang"), "intent-split")
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     tr, te, _, _ = models.featurize(train, test, "doc_id", "clean_text")
-    tr = tr.cache()
     n = tr.count()
     m = models.logistic(n).setFamily("multinomial").fit(models.sized(tr, n))
     return models.evaluate(m, te, name="Intent LR", binary=False)
@@ -160,6 +160,70 @@ def model_reload(spark, sf_dir):
     return j.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("p1") == F.col("p2")).alias("equal"))
 
 
+# --- M7, M8 on turns: trained pipelines from the model store ---------------------------
+
+def train_turn_models(spark, sf_dir):
+    """Sentiment and intent classifiers of messages, fitted on the training parts of
+    the sentiment corpus and of the documents' languages."""
+    sc = split_corpus(spark, sf_dir).where(F.col("split") == "train")
+    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", TX.clean_text("text").alias("clean_text"))
+    d = splits.hash_split(d, "doc_id").where(F.col("split") == "train")
+    return {"sentiment": models.fit_text_classifier(sc, "doc_id", "clean_text", "sentiment"),
+            "intent": models.fit_text_classifier(d, "doc_id", "clean_text", "lang")}
+
+
+def published_turn_models(spark, sf_dir):
+    """(root, version) of a store with freshly trained turn models."""
+    root = scratch_path(spark, "model-store")
+    return root, modelstore.publish(spark, root, train_turn_models(spark, sf_dir))
+
+
+def turn_pairs_of(spark, sf_dir):
+    return turns.pair_turns(Tables(spark, sf_dir).conversations)
+
+
+@plan("turn_scoring_model", ids=("M7", "M8", "S12", "T13", "T15", "T16", "T17", "T21"))
+def turn_scoring_model(spark, sf_dir):
+    """Every user turn scored by the published models, loaded from the shared folder."""
+    root, _ = published_turn_models(spark, sf_dir)
+    version, m = modelstore.load(spark, root, ("sentiment", "intent"))
+    scored = turns.score_turns_by_models(turn_pairs_of(spark, sf_dir), m["sentiment"], m["intent"])
+    return scored.withColumn("model_version", F.lit(version))
+
+
+@plan("turn_model_checks", sql=f"""
+SELECT conv_id, turn, true AS known_sentiment, true AS known_intent, true AS in_range, true AS same_as_fitted, true AS rules_hold
+FROM conversations WHERE role = 'user'
+""", ids=("M7", "M8", "S12", "V6"))
+def turn_model_checks(spark, sf_dir):
+    """What must hold for any fit, per user turn: known classes, confidences in
+    range, the loaded pipelines' raw classes and probabilities equal to the fitted
+    ones', and sentiment and escalation equal to the rules applied to them."""
+    root = scratch_path(spark, "model-store")
+    fitted = train_turn_models(spark, sf_dir)
+    modelstore.publish(spark, root, fitted)
+    _, back = modelstore.load(spark, root, ("sentiment", "intent"))
+    pairs = turn_pairs_of(spark, sf_dir)
+    scored = turns.score_turns_by_models(pairs, back["sentiment"], back["intent"])
+    d = scored.withColumn("clean", TX.clean_text("user_message"))
+    for tag, m in (("a", fitted), ("b", back)):
+        d = models.classify(m["sentiment"], d, "clean", f"s_{tag}", f"sp_{tag}")
+        d = models.classify(m["intent"], d, "clean", f"i_{tag}", f"ip_{tag}")
+    same = ((F.col("s_a") == F.col("s_b")) & (F.col("i_a") == F.col("i_b")) & (F.abs(F.col("sp_a") - F.col("sp_b")) < 1e-12)
+            & (F.abs(F.col("ip_a") - F.col("ip_b")) < 1e-12))
+    over = L.keyword_override("s_a", "sp_a", tokens=TX.keyword_tokens("clean"))
+    d = d.withColumn("over", over)
+    rules = ((F.col("sentiment") == F.col("over.sentiment")) & (F.col("sentiment_confidence") == L.calibrate("over.confidence"))
+             & (F.col("intent") == F.col("i_a")) & (F.abs(F.col("intent_confidence") - F.col("ip_a")) < 1e-4)
+             & (F.col("escalate") == L.escalate("user_message", "sentiment", "sentiment_confidence")))
+    sentiments = back["sentiment"].stages[-1].getLabels()
+    intents = back["intent"].stages[-1].getLabels()
+    return d.select("conv_id", "turn", F.col("sentiment").isin(*{*sentiments, "positive", "negative"}).alias("known_sentiment"),
+                    F.col("intent").isin(*intents).alias("known_intent"),
+                    (F.col("sentiment_confidence").between(0, 1) & F.col("intent_confidence").between(0, 1)).alias("in_range"),
+                    same.alias("same_as_fitted"), rules.alias("rules_hold"))
+
+
 # --- U1, U2, J3, M10: the retrain data step -------------------------------------------
 
 UNION_SQL = f"""
@@ -223,10 +287,10 @@ def retrain_cycle(spark, sf_dir):
     sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id")
     test, _ = sentiment_codes(sc.where((F.col("split") == "test") & (F.col("clean_text") != "")), "sentiment")
     test = test.select("doc_id", "clean_text", F.col("sentiment_encoded").cast("double").alias("label"))
+    comb, test = stored(comb, "retrain-rows"), stored(test, "retrain-test")
     path = scratch_path(spark, "model_metrics")
     for run, rows in enumerate((comb.where(F.col("origin") == "corpus"), comb)):
         tr, te, _, _ = models.featurize(rows, test, "doc_id", "clean_text")
-        tr, te = (x.select("doc_id", "label", "features").cache() for x in (tr, te))
         n_train = tr.count()
         small, held = models.sized(tr, n_train), models.sized(te, te.count())
         for k, (name, est) in enumerate((("Logistic Regression", models.logistic(n_train)), ("Decision Tree", models.tree()))):
@@ -235,8 +299,6 @@ def retrain_cycle(spark, sf_dir):
                                       "accuracy", F.col("f1").alias("f1_score"), "precision", "recall",
                                       F.current_timestamp().alias("timestamp")).withColumn("run", F.lit(run)),
                              path, batch_id=run * 2 + k)
-        tr.unpersist()
-        te.unpersist()
     hist = spark.read.parquet(path)
     from parlance.operators.logs import previous_value
     return previous_value(hist, "model_name", ["run", "model_name"], "accuracy", out="previous_accuracy").select(

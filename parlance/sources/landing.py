@@ -27,3 +27,11 @@ def land(spark: SparkSession, df: DataFrame, dataset: str, path: str | None = No
         written = spark.read.parquet(path)
     return written.agg(F.count(F.lit(1)).alias("records")).select(
         F.lit(dataset).alias("dataset"), "records")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as Parquet in the shared folder and read back: one
+    evaluation serves every reader, and a lost executor costs only its own tasks."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

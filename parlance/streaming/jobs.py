@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.operators import turns
 from parlance.session import scratch_path
-from parlance.sources import logtables
+from parlance.sources import logtables, modelstore
 
 
 def file_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
@@ -39,10 +39,14 @@ def _run(query_builder, spark: SparkSession, name: str, trigger: dict | None = N
     out = scratch_path(spark, f"{name}-out")
     ckpt = scratch_path(spark, f"{name}-ckpt")
     q = query_builder(out).option("checkpointLocation", ckpt).trigger(**(trigger or {"availableNow": True})).start()
+    _finished(q)
+    return out
+
+
+def _finished(q) -> None:
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    return out
 
 
 def score_messages(messages: DataFrame) -> DataFrame:
@@ -63,6 +67,33 @@ def stream_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(_run(build, spark, "stream_scoring")).drop("batch")
 
 
+def score_by_store(spark: SparkSession, root: str, out: str):
+    """``foreachBatch`` function: user turns scored by the newest models published in
+    ``root`` when the batch starts; each row carries their version. A repeated batch
+    replaces its rows (and may use newer models for all of them)."""
+    held: dict = {}
+
+    def sink(df, bid):
+        newest = max(modelstore.versions(spark, root), default=None)
+        if newest not in held:
+            held.clear()
+            held[newest] = modelstore.load(spark, root, ("sentiment", "intent"), newest)[1]
+        m = held[newest]
+        user = df.where(F.col("role") == "user").select(
+            "conv_id", "turn", F.col("text").alias("user_message"), F.lit(None).cast("string").alias("reply"))
+        scored = turns.score_turns_by_models(user, m["sentiment"], m["intent"])
+        logtables.append(scored.withColumn("model_version", F.lit(newest)), out, bid)
+
+    return sink
+
+
+def stream_scoring_model(messages: DataFrame, root: str, out: str, checkpoint: str) -> None:
+    """Score a message stream by the model store until all waiting files are done."""
+    q = (messages.writeStream.foreachBatch(score_by_store(messages.sparkSession, root, out))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    _finished(q)
+
+
 def stream_two_sinks(spark: SparkSession, sf_dir: str):
     """Each micro-batch is persisted once and written to the log and the
     training table under its batch id (retry-safe)."""

@@ -3,8 +3,10 @@
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from parlance.operators import models, splits
-from parlance.plans import model_plans
+from parlance.operators import features, models, splits, turns
+from parlance.plans import feature_plans, model_plans
+from parlance.sources import modelstore
+from parlance.streaming import jobs
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -29,3 +31,78 @@ def test_hash_split_is_complete_and_disjoint(spark):
     assert s.count() == d.count()
     frac = s.where(F.col("split") == "test").count() / d.count()
     assert 0.1 < frac < 0.3
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_need_no_python_and_no_shuffle(spark):
+    train = spark.createDataFrame([(1, "good good day sun"), (2, "bad day sun"), (3, "good bad"), (4, None), (5, "")], "id int, text string")
+    model = features.fit_tfidf(train, "id", "text", (1, 2), min_df=1)
+    out = features.with_features(model, train)
+    plan = _plan(out)
+    assert "Python" not in plan and "Exchange" not in plan
+    rows = {r.id: r.features for r in out.collect()}
+    assert rows[4].numNonzeros() == rows[5].numNonzeros() == 0 and rows[1].size == len(features.vocabulary_of(model))
+    assert abs(rows[1].norm(2) - 1) < 1e-12
+    # by hand: idf = ln((1 + 5) / (1 + df)) + 1, 1 + ln(tf)
+    import math
+    terms = features.vocabulary_of(model)
+    raw = {"good": (1 + math.log(2)) * (math.log(6 / 3) + 1), "day": math.log(6 / 3) + 1, "sun": math.log(6 / 3) + 1,
+           "good good": math.log(6 / 2) + 1, "good day": math.log(6 / 2) + 1, "day sun": math.log(6 / 3) + 1}
+    norm = math.sqrt(sum(v * v for v in raw.values()))
+    got = {terms[i]: v for i, v in zip(rows[1].indices, rows[1].values)}
+    assert got.keys() == raw.keys() and all(abs(got[t] - raw[t] / norm) < 1e-12 for t in raw)
+    long = features.long_weights(model, train, "id")
+    assert "SortMergeJoin" not in _plan(long)
+    assert {(r.term, r.weight) for r in long.where("id = 1").collect()} == {(t, v) for t, v in got.items()}
+
+
+def test_saved_features_are_the_fitted_ones(spark, tmp_path):
+    train = spark.createDataFrame([(1, "a1 b1 c1"), (2, "b1 c1 c1"), (3, "é1 漢字")], "id int, text string")
+    model = features.fit_tfidf(train, "id", "text", (1, 2), min_df=1)
+    model.write().save(str(tmp_path / "m"))
+    from pyspark.ml import PipelineModel
+    back = PipelineModel.load(str(tmp_path / "m"))
+    assert features.vocabulary_of(back) == features.vocabulary_of(model)
+    a, b = (features.with_features(m, train).collect() for m in (model, back))
+    assert a == b
+
+
+def test_sublinear_weights_stay_in_the_row(spark):
+    assert "Window" not in _plan(feature_plans.tfidf_sublinear(spark, SMALL))
+
+
+def _messages(spark, rows, path):
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.mode("append").parquet(path)
+
+
+def test_a_version_published_between_batches_changes_later_rows_only(spark, tmp_path):
+    def fitted(flip):
+        rows = [(i, ("sun shine day" if i % 2 else "rain storm night"), ("positive" if (i % 2) ^ flip else "negative"), ("de" if i % 2 else "en")) for i in range(40)]
+        d = spark.createDataFrame(rows, "id int, clean_text string, sentiment string, lang string")
+        return {"sentiment": models.fit_text_classifier(d, "id", "clean_text", "sentiment"),
+                "intent": models.fit_text_classifier(d, "id", "clean_text", "lang")}
+
+    root, src, out, ckpt = (str(tmp_path / x) for x in ("store", "src", "out", "ckpt"))
+    schema = "conv_id long, turn long, role string, text string"
+
+    def run():
+        jobs.stream_scoring_model(spark.readStream.schema(schema).parquet(src), root, out, ckpt)
+
+    assert modelstore.versions(spark, root) == []
+    assert modelstore.publish(spark, root, fitted(0)) == 1
+    _messages(spark, [(1, 0, "user", "sun shine"), (1, 1, "assistant", "yes"), (2, 0, "user", None)], src)
+    run()
+    assert modelstore.publish(spark, root, fitted(1)) == 2
+    _messages(spark, [(3, 0, "user", "sun shine"), (4, 0, "user", "rain storm")], src)
+    run()
+    run()  # nothing waits: nothing changes
+    got = {r.conv_id: (r.sentiment, r.intent, r.model_version) for r in spark.read.parquet(out).collect()}
+    assert got[1] == ("positive", "de", 1) and got[3] == ("negative", "de", 2) and got[4] == ("positive", "en", 2)
+    assert got[2][2] == 1 and set(got) == {1, 2, 3, 4}
+    version, old = modelstore.load(spark, root, ("sentiment", "intent"), 1)
+    again = turns.score_turns_by_models(spark.createDataFrame([(1, 0, "sun shine", None)], "conv_id long, turn long, user_message string, reply string"),
+                                        old["sentiment"], old["intent"]).first()
+    assert (version, again.sentiment) == (1, "positive")
