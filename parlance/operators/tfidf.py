@@ -38,13 +38,13 @@ def _with_ngrams(df: DataFrame, text_col: str, ngrams=(1, 1), out: str = "__all"
     return d.withColumn(out, toks).drop("__tok")
 
 
-def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
-    """(id, term, tf) of every document; each row of ``df`` is one document.
+def counted(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
+    """(id, terms, counts) of every document; each row of ``df`` is one document.
 
     A document's tokens all sit in one row, so they are counted in the row:
-    sorted, then each run of equal tokens becomes (term, run length). The
-    (document, term) pairs leave the scan stage already counted and never
-    cross a shuffle. Lambda bodies read only lambda variables.
+    sorted, then each run of equal tokens becomes a term and its run length. A
+    document without tokens has the one term null. Lambda bodies read only lambda
+    variables.
     """
     d = _with_ngrams(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("__txt")), "__txt", ngrams)
     d = d.select("id", F.sort_array("__all").alias("__s"))
@@ -58,8 +58,14 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> Dat
                  F.filter(F.zip_with("__end", F.sequence(F.lit(1), F.greatest(F.size("__end"), F.lit(1))),
                                      lambda e, i: F.when(e, i)), lambda x: x.isNotNull()).alias("__e"))
     prev = F.concat(F.array(F.lit(0)), F.slice("__e", 1, F.greatest(F.size("__e") - 1, F.lit(1))))
-    d = d.select("id", "__t", F.zip_with("__e", prev, lambda e, p: e - p).alias("__c"))
-    d = d.select("id", F.explode(F.arrays_zip(F.col("__t").alias("term"), F.col("__c").alias("tf"))).alias("__p"))
+    return d.select("id", F.col("__t").alias("terms"), F.zip_with("__e", prev, lambda e, p: e - p).alias("counts"))
+
+
+def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> DataFrame:
+    """(id, term, tf) of every document: the (document, term) pairs leave the scan
+    stage already counted and never cross a shuffle."""
+    d = counted(df, id_col, text_col, ngrams)
+    d = d.select("id", F.explode(F.arrays_zip(F.col("terms").alias("term"), F.col("counts").alias("tf"))).alias("__p"))
     # a document without tokens yields one (null, 1) entry: dropped here
     return d.select("id", "__p.term", F.col("__p.tf").cast("long").alias("tf")).where(F.col("term").isNotNull())
 

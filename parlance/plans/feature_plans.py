@@ -91,7 +91,7 @@ def vocabulary(spark, sf_dir):
 
 @plan("tfidf_sublinear", sql=SUBLINEAR_SQL, ids=("V4", "V6"))
 def tfidf_sublinear(spark, sf_dir):
-    sc = stored(_train_corpus(spark, sf_dir).select("doc_id", "clean_text", "split"), "sentiment-split")
+    sc = spread(stored(_train_corpus(spark, sf_dir).select("doc_id", "clean_text", "split"), "sentiment-split"))
     model = features.fit_tfidf(sc.where(F.col("split") == "train"), "doc_id", "clean_text")
     w = features.long_weights(model, sc, "doc_id")
     return w.select("id", "term", "term_index", F.round("weight", 6).alias("weight"))

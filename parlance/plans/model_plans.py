@@ -25,6 +25,7 @@ from parlance.plans.registry import Tables, plan
 from parlance.session import scratch_path
 from parlance.sources import logtables, modelstore
 from parlance.sources.landing import stored
+from parlance.sources.tables import spread
 
 _CODE = " ".join(f"WHEN {{c}} = {Q.q(k)} THEN {v}" for k, v in K.SENTIMENT_CODES.items())
 
@@ -41,7 +42,7 @@ def split_corpus(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    sc = stored(split_corpus(spark, sf_dir).select("doc_id", "clean_text", "label", "fold", "split"), "split-corpus")
+    sc = spread(stored(split_corpus(spark, sf_dir).select("doc_id", "clean_text", "label", "fold", "split"), "split-corpus"))
     train, test = sc.where(F.col("split") == "train"), sc.where(F.col("split") == "test")
     tr, te, _, n_terms = models.featurize(train, test, "doc_id", "clean_text")
     tr, te = tr.select("doc_id", "label", "fold", "features"), te.select("doc_id", "label", "features")
