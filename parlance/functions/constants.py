@@ -149,3 +149,13 @@ GOOD_F1 = 0.7
 DEFAULT_SESSION = "default"
 DEFAULT_USER = "Customer"
 MISSING_RESULTS = "Results not found"
+
+# Message intake.
+INTAKE_DELAY = "1 day"  # how late a message may come
+REPLY_WITHIN = "1 hour"
+DASHBOARD_WINDOW = "1 day"
+SKETCH_BITS = 12
+FEED_START = 1_704_067_200  # 2024-01-01, first minute of the derived message feed
+FEED_MINUTES = 14 * 24 * 60
+CLOSING_SESSION = "~closing"
+COMPACTED_BYTES = 128 << 20

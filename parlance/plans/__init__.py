@@ -9,6 +9,7 @@ from parlance.plans import eval_plans  # noqa: F401
 from parlance.plans import model_plans  # noqa: F401
 from parlance.plans import source_plans  # noqa: F401
 from parlance.plans import stream_plans  # noqa: F401
+from parlance.plans import intake_plans  # noqa: F401
 from parlance.plans.registry import REGISTRY
 
 

@@ -7,6 +7,8 @@ commit per row. A retried write of the same batch goes to the same
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,6 +24,58 @@ def append(df: DataFrame, path: str, batch_id: int | None = None) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return []
+    names = [f.getPath().getName() for f in store.listStatus(folder)]
+    return sorted(int(n[len(prefix):]) for n in names if n.startswith(prefix) and n[len(prefix):].isdigit())
+
+
+def read_batches(spark: SparkSession, path: str, schema) -> DataFrame:
+    """Rows of a table written batch by batch: the newest compacted folder and the
+    batches behind it. The folders are named once, so a compaction that ends meanwhile
+    changes nothing for this reader (until ``remove_compacted``)."""
+    through = max(_numbers(spark, f"{path}/compacted", "through="), default=None)
+    folders = [] if through is None else [f"{path}/compacted/through={through}"]
+    folders += [f"{path}/batch={b}" for b in _numbers(spark, path, "batch=") if through is None or b > through]
+    return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
+
+
+def compact(spark: SparkSession, path: str, schema, file_bytes: int = K.COMPACTED_BYTES) -> int | None:
+    """Fold all batch folders into one folder of files of about ``file_bytes``; the number
+    of the last batch in it (None: nothing to do). The folder appears whole, by a
+    rename; the batches stay until ``remove_compacted``. One compaction at a time."""
+    batches, done = _numbers(spark, path, "batch="), max(_numbers(spark, f"{path}/compacted", "through="), default=None)
+    last = max(batches, default=None)
+    if last is None or last == done:
+        return None
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    store = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    folders = [f"{path}/batch={b}" for b in batches if done is None or b > done] + ([] if done is None else [f"{path}/compacted/through={done}"])
+    files = max(1, -(-sum(store.getContentSummary(new(f)).getLength() for f in folders) // file_bytes))
+    draft = f"{path}/compacted/draft-{uuid.uuid4().hex[:12]}"
+    read_batches(spark, path, schema).repartition(files).write.parquet(draft)
+    target = new(f"{path}/compacted/through={last}")
+    if store.exists(target) or not store.rename(new(draft), target):
+        raise RuntimeError(f"{path} was compacted meanwhile")
+    return last
+
+
+def remove_compacted(spark: SparkSession, path: str) -> int:
+    """Delete the folders that the newest compacted one replaces, once no reader has
+    them open; their number."""
+    new = spark._jvm.org.apache.hadoop.fs.Path
+    store = new(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    done = _numbers(spark, f"{path}/compacted", "through=")
+    old = [f"{path}/batch={b}" for b in _numbers(spark, path, "batch=") if done and b <= done[-1]]
+    old += [f"{path}/compacted/through={n}" for n in done[:-1]]
+    for folder in old:
+        store.delete(new(folder), True)
+    return len(old)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     """Conversation log rows with the time also as text."""
     df = spark.read.schema(CONVERSATION_LOG).parquet(path)

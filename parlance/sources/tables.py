@@ -75,6 +75,17 @@ CHAT_REQUEST = T.StructType([
     T.StructField("user_name", T.StringType()),
 ])
 
+# A message as it arrives, with its id and time.
+MESSAGE = T.StructType([
+    T.StructField("message_id", T.StringType()),
+    T.StructField("session_id", T.StringType()),
+    T.StructField("user_name", T.StringType()),
+    T.StructField("role", T.StringType()),
+    T.StructField("turn", T.LongType()),
+    T.StructField("message", T.StringType()),
+    T.StructField("sent_at", T.TimestampType()),
+])
+
 FEEDBACK = T.StructType([
     T.StructField("session_id", T.StringType()),
     T.StructField("rating", T.IntegerType()),
