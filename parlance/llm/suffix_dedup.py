@@ -273,7 +273,7 @@ def removed_spans(docs: DataFrame, text: str = "text") -> DataFrame:
             + F.when(sent, 2).otherwise(0) + F.when(F.col("reaches") > LARGE, 4).otherwise(0))
     marks = (emitted.join(live, ["g", "c"])
              .select("k1", F.shiftrightunsigned("place", 32).alias("k2"), F.struct(code.alias("code"), "g").alias("mark"))
-             .groupBy("k1", "k2").agg(F.array_distinct(F.collect_list("mark")).alias("marks")))  # copies give the same
+             .groupBy("k1", "k2").agg(F.collect_set("mark").alias("marks")))  # copies give the same
     marks = saved(marks, "marks", release=True)
     discard(live)
 
