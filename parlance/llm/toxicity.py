@@ -240,11 +240,12 @@ def scored(docs: DataFrame, lexicon: Lexicon, text: str = "text", score: str = "
     """``docs`` with the score of each whole text in a new last column (underscores
     are put before its name if the table already has it)."""
     name, = fresh(docs, score)
-    shared = docs.sparkSession.sparkContext.broadcast(lexicon)
+    # Plain data: a broadcast names classes, and workers may not have this package.
+    shared = docs.sparkSession.sparkContext.broadcast((lexicon.weights, lexicon.exceptions, lexicon.slope, lexicon.base))
 
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         kept("toxicity")
-        lexicon = shared.value
+        lexicon = Lexicon(*shared.value)
         automaton = lexicon.automaton()
         for batch in texts:
             yield batch.map(lambda t: lexicon.score(lexicon.feature(automaton, t))).astype("float64")

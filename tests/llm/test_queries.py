@@ -1,8 +1,13 @@
 """Contract queries against their SQL twins, and the pipeline stage by stage."""
 
+import os
+import subprocess
+import sys
+
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from parlance.llm import jaccard_join, mixing, queries, suffix_dedup
@@ -71,3 +76,36 @@ def _component(links, a):
             seen.add(b)
             todo.append(b)
     return seen
+
+
+def test_a_driver_elsewhere_needs_no_package_on_the_workers(tmp_path):
+    """The package on the driver's path only: queries still run, also those that
+    broadcast what they learned."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = (f"import sys; sys.path.insert(0, {root!r})\n"
+            "from parlance.session import local_session\n"
+            "from parlance.llm import queries\n"
+            "s = local_session(2, 2)\n"
+            f"print(queries.QUERIES['op2_toxicity'](s, {SF!r}).count())\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert out.stdout.strip().endswith("200"), out.stderr[-2000:]
+
+
+def test_pipeline_stages_on_awkward_rows(spark):
+    """Null, empty, blank and repeated texts, null ids and sources, clashing and dotted
+    extra columns: each stage keeps the columns and its defined rows."""
+    base = "word " + " ".join(f"w{i}" for i in range(120))
+    rows = [(1, base, "en", "a", 10), (2, base, "en", "a", 10), (3, None, "en", None, None), (4, "", None, "a", 0), (5, " \n", "en", "b", 2),
+            (None, "no id at all", None, None, 5), (6, "é" * 400, "de", "b", 400), (1, base, "en", "a", 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    for c in ("a.b", "score", "key", "spans", "K1", "taken"):
+        docs = docs.withColumn(c, F.lit("x"))
+    names, before, counts = docs.columns, docs, {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = stage(spark, before, SF)
+        assert before.columns == names, name
+        counts[name] = before.count()
+    assert counts["toxicity"] == len(rows)  # nothing here is toxic
+    assert counts["near_copies"] == counts["repeats"] == len(rows) - 2  # the copies of one text
+    assert corpus_pipeline.STAGES[-1][1](spark, before, SF).count() > 0
