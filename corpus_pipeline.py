@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm import jaccard_join, mixing, packing, suffix_dedup, toxicity
-from parlance.llm.support import fresh, saved
+from parlance.llm.support import fresh, quoted, saved
 from parlance.sources.tables import table
 
 
@@ -36,7 +36,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" not in out.columns:
         return out
     kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*docs.columns)
+    return out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(kind)).select(*map(quoted, docs.columns))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" not in out.columns:
         return out
     kind = docs.schema["n_chars"].dataType
-    return out.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return out.withColumn("n_chars", F.length("text").cast(kind)).select(*map(quoted, docs.columns))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,3 +61,59 @@ def positional_split(df: DataFrame, order_cols, train_fraction: float = K.POSITI
     cut = F.floor(F.col("__n") * F.lit(train_fraction))
     return (j.withColumn(out, F.when(F.col("__pos") <= cut, F.lit("train")).otherwise(F.lit("val")))
             .withColumnRenamed("__pos", "position").drop("__n"))
+
+
+#: Sample keys that part a range, and rows that a top-k settles.
+CUTS, FEW = 64, 10_000
+
+
+def cut_key(df: DataFrame, order_cols, position: int, few: int = FEW):
+    """The order columns (a Row) of the row at the 1-based ``position``, without ordering
+    all rows: the rows are counted by the ranges between a few sampled keys, then
+    those of the one range that holds the position, until a top-k settles it. Each
+    round is one aggregate over narrow keys; the driver sees at most CUTS keys."""
+    rows = df.select(F.struct(*order_cols).alias("k"))
+    fields = rows.schema["k"].dataType.fields
+
+    def literal(row):
+        return F.struct(*[F.lit(row[f.name]).cast(f.dataType).alias(f.name) for f in fields])
+
+    left, seed = position, 0
+    while True:
+        n, least, most = rows.agg(F.count(F.lit(1)), F.min("k"), F.max("k")).first()
+        if not 0 < left <= n:
+            raise ValueError(f"no row at position {position}")
+        if least == most:
+            return least
+        if n <= few:
+            return rows.orderBy("k").limit(left).agg(F.max("k")).first()[0]
+        drawn = F.xxhash64(F.lit(seed), *[F.col(f"k.`{f.name}`") for f in fields])
+        keys = rows.orderBy(drawn).limit(CUTS).select("k").distinct().orderBy("k").collect()
+        keys = [r[0] for r in keys if r[0] != most]  # a range beyond the last key is never empty
+        seed += 1
+        if not keys:
+            continue
+        beyond = sum(((F.col("k") > literal(k)).cast("int") for k in keys[1:]), (F.col("k") > literal(keys[0])).cast("int"))
+        counts = dict(rows.groupBy(beyond.alias("r")).count().collect())  # at most CUTS + 1 rows
+        at = 0
+        while left > counts.get(at, 0):
+            left -= counts.get(at, 0)
+            at += 1
+        if at:
+            rows = rows.where(F.col("k") > literal(keys[at - 1]))
+        if at < len(keys):
+            rows = rows.where(F.col("k") <= literal(keys[at]))
+
+
+def head_split(df: DataFrame, order_cols, train_fraction: float = K.POSITIONAL_TRAIN_FRACTION, out: str = "split") -> DataFrame:
+    """``positional_split`` without positions: rows up to the cut key are 'train', so no
+    row is ranked, moved or checkpointed. Rows equal in all order columns stay
+    together."""
+    cut = int(df.count() * train_fraction)
+    if not cut:
+        return df.withColumn(out, F.lit("val"))
+    last = cut_key(df, order_cols, cut)
+    key = F.struct(*order_cols)
+    kinds = df.select(key.alias("k")).schema["k"].dataType.fields
+    bound = F.struct(*[F.lit(last[f.name]).cast(f.dataType).alias(f.name) for f in kinds])
+    return df.withColumn(out, F.when(key <= bound, F.lit("train")).otherwise(F.lit("val")))

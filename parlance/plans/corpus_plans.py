@@ -332,6 +332,18 @@ def positional_split(spark, sf_dir):
     return splits.positional_split(p, ["conv_id", "turn"]).select("conv_id", "turn", "position", "split")
 
 
+@plan("head_split", sql=f"""
+WITH p AS ({PAIRS_SQL}),
+r AS (SELECT conv_id, turn, row_number() OVER (ORDER BY conv_id, turn) AS position, count(*) OVER () AS n FROM p)
+SELECT conv_id, turn, CASE WHEN position <= floor(n * {K.POSITIONAL_TRAIN_FRACTION}) THEN 'train' ELSE 'val' END AS split
+FROM r
+""", ids=("W11",))
+def head_split(spark, sf_dir):
+    """The positional split from one cut key."""
+    p = turns.pair_turns(Tables(spark, sf_dir).conversations).select("conv_id", "turn")
+    return splits.head_split(p, ["conv_id", "turn"])
+
+
 # --- S3, F9: landing and shape reports ------------------------------------------------
 
 LANDED = ("conversations", "documents")

@@ -14,6 +14,7 @@ from parlance.plans.registry import Tables, plan
 from parlance.plans.turn_plans import SCORED_SQL, scored_turns
 from parlance.session import scratch_path
 from parlance.sources import logtables
+from parlance.sources.tables import CONVERSATION_LOG, TRAINING_DATA
 
 # --- the tables -----------------------------------------------------------------
 
@@ -55,6 +56,28 @@ def training_table(spark, sf_dir):
     return bulk_rows(spark, sf_dir).unionByName(user_rows(spark, sf_dir))
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def _written(spark, sf_dir, name: str, build):
+    """A log table, written by the first query of this application that reads it (as
+    the online flow would have) and read from the shared folder by all."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _WRITTEN or not logtables.exists(spark, _WRITTEN[key]):
+        path = scratch_path(spark, f"written-{name}")
+        logtables.append(build(spark, sf_dir), path)
+        _WRITTEN[key] = path
+    return _WRITTEN[key]
+
+
+def written_log(spark, sf_dir):
+    return spark.read.schema(CONVERSATION_LOG).parquet(_written(spark, sf_dir, "log", conversation_log))
+
+
+def written_training(spark, sf_dir):
+    return spark.read.schema(TRAINING_DATA).parquet(_written(spark, sf_dir, "training", training_table))
+
+
 @plan("conversation_log", sql=LOG_SQL.replace("escalate::INTEGER AS escalated",
                                               "escalate::INTEGER AS escalated, true AS has_timestamp"),
       ids=("S4", "S7", "T25", "T28", "R2"))
@@ -80,7 +103,7 @@ def bulk_load(spark, sf_dir):
 SELECT instruction, response, intent, category, source FROM ({TRAINING_SQL}) ORDER BY id LIMIT 100
 """, ids=("S8", "W2", "U1"))
 def training_head(spark, sf_dir):
-    t = training_table(spark, sf_dir)
+    t = written_training(spark, sf_dir)
     return t.orderBy("id").limit(100).select("instruction", "response", "intent", "category", "source")
 
 
@@ -92,13 +115,13 @@ SELECT (SELECT count(*) FROM ({LOG_SQL})) AS total_conversations,
        (SELECT count(*) FROM ({TRAINING_SQL})) AS total_training_data
 """, ids=("A6", "A1"))
 def log_totals(spark, sf_dir):
-    return logs.totals(conversation_log(spark, sf_dir), training_table(spark, sf_dir))
+    return logs.totals(written_log(spark, sf_dir), written_training(spark, sf_dir))
 
 
 @plan("intent_distribution", sql=f"SELECT intent, count(intent) AS count FROM ({LOG_SQL}) GROUP BY intent",
       ids=("A5",))
 def intent_distribution(spark, sf_dir):
-    return logs.grouped_count(conversation_log(spark, sf_dir), "intent")
+    return logs.grouped_count(written_log(spark, sf_dir), "intent")
 
 
 @plan("sentiment_distribution", sql=f"""
@@ -109,7 +132,7 @@ SELECT count(*) FILTER (WHERE sentiment = 'positive') AS positive,
 FROM ({LOG_SQL})
 """, ids=("A7",))
 def sentiment_distribution(spark, sf_dir):
-    return logs.sentiment_distribution(conversation_log(spark, sf_dir))
+    return logs.sentiment_distribution(written_log(spark, sf_dir))
 
 
 @plan("most_common_intent", sql=f"""
@@ -119,7 +142,7 @@ SELECT coalesce(t.intent, 'N/A') AS most_common_intent, coalesce(t.count, 0) AS
 FROM (SELECT 1 AS k) o LEFT JOIN t ON true
 """, ids=("A8",))
 def most_common_intent(spark, sf_dir):
-    return logs.most_common(conversation_log(spark, sf_dir), "intent")
+    return logs.most_common(written_log(spark, sf_dir), "intent")
 
 
 @plan("message_totals", sql=f"""
@@ -127,7 +150,7 @@ SELECT count(*) AS total_rows, count(*) * 2 AS total_messages, count(DISTINCT se
 FROM ({LOG_SQL})
 """, ids=("A9", "A10"))
 def message_totals(spark, sf_dir):
-    log = conversation_log(spark, sf_dir)
+    log = written_log(spark, sf_dir)
     return log.agg(F.count(F.lit(1)).alias("total_rows"), (F.count(F.lit(1)) * 2).alias("total_messages"),
                    F.count_distinct("session_id").alias("total_sessions"))
 
@@ -149,7 +172,7 @@ SELECT id, session_id, {Q.preview('user_message', K.PREVIEW_CHARS)} AS message_p
 FROM ({LOG_SQL}) ORDER BY id DESC LIMIT {K.DASHBOARD_ROWS}
 """, ids=("W1", "T22", "T23"))
 def recent_turns(spark, sf_dir):
-    return logs.recent(conversation_log(spark, sf_dir))
+    return logs.recent(written_log(spark, sf_dir))
 
 
 @plan("session_history", sql="""
@@ -165,7 +188,7 @@ def session_history(spark, sf_dir):
 @plan("escalated_only", sql=f"SELECT id, session_id, sentiment FROM ({LOG_SQL}) WHERE escalated = 1",
       ids=("F6",))
 def escalated_only(spark, sf_dir):
-    return conversation_log(spark, sf_dir).where(F.col("escalated") == 1).select("id", "session_id", "sentiment")
+    return written_log(spark, sf_dir).where(F.col("escalated") == 1).select("id", "session_id", "sentiment")
 
 
 @plan("blank_messages", sql=f"""

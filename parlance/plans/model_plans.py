@@ -20,7 +20,7 @@ from parlance.operators.ordered import first_by
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
 from parlance.plans.feature_plans import VOCAB_CTE
-from parlance.plans.log_plans import LOG_SQL, conversation_log
+from parlance.plans.log_plans import LOG_SQL, written_log
 from parlance.plans.registry import Tables, plan
 from parlance.session import scratch_path
 from parlance.sources import logtables, modelstore
@@ -132,6 +132,49 @@ def lr_checks(spark, sf_dir):
         F.col("sums").alias("probabilities_sum_to_one"))
 
 
+@plan("tree_checks", sql=f"""
+WITH {MODEL_ROWS_CTE}
+SELECT count(*) FILTER (WHERE split = 'train') AS n_train, count(*) FILTER (WHERE split = 'test') AS n_test,
+       true AS metrics_in_range, true AS accuracy_recomputed, true AS within_depth, true AS leaves_large_enough FROM mr
+""", ids=("M2", "M6", "X1"))
+def tree_checks(spark, sf_dir):
+    """What must hold for any fitted tree: rows, metrics in range and equal to those
+    recomputed, its depth, and the training rows of each leaf."""
+    tr, te, _ = _features(spark, sf_dir)
+    m = models.tree().fit(tr)
+    row = models.evaluate(m, te)
+    ok = F.lit(True)
+    for c in ("accuracy", "precision", "recall", "f1", "auc"):
+        ok = ok & F.col(c).between(0, 1)
+    seen = m.transform(te).agg(F.count(F.lit(1)).alias("n_test"), F.avg((F.col("label") == F.col("prediction")).cast("double")).alias("acc"))
+    leaves = m.setLeafCol("leaf").transform(tr).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
+    leaves = leaves.agg(F.min("n").alias("least"), F.sum("n").alias("n_train"))
+    return row.crossJoin(F.broadcast(seen)).crossJoin(F.broadcast(leaves)).select(
+        "n_train", "n_test", ok.alias("metrics_in_range"), (F.abs(F.col("accuracy") - F.col("acc")) < 1e-9).alias("accuracy_recomputed"),
+        F.lit(m.depth <= K.DT_MAX_DEPTH).alias("within_depth"), (F.col("least") >= K.DT_MIN_LEAF).alias("leaves_large_enough"))
+
+
+@plan("cv_checks", sql=f"""
+WITH {MODEL_ROWS_CTE}
+SELECT fold, count(*) AS n_held, true AS in_range, true AS mean_is_reported
+FROM (SELECT {Q.bucket('doc_id', K.CV_FOLDS, K.SEED)}::INTEGER AS fold FROM mr WHERE split = 'train') GROUP BY fold
+""", ids=("M5", "D4", "A14", "X2"))
+def cv_checks(spark, sf_dir):
+    """Each fold fitted and measured by this library's own metrics: the mean of the
+    folds' weighted F1 is the one that cross-validation reports."""
+    tr, _, _ = _features(spark, sf_dir)
+    est = models.logistic(models.fold_rows(tr.count(), K.CV_FOLDS))
+    reported = models.cross_validate(est, tr).avgMetrics[0]
+    rows = []
+    for k in range(K.CV_FOLDS):
+        held = tr.where(F.col("fold") == k)
+        r = models.evaluate(est.fit(tr.where(F.col("fold") != k)), held, binary=False).first()
+        rows.append((k, held.count(), float(r.f1)))
+    mean = sum(r[2] for r in rows) / len(rows)
+    return spark.createDataFrame([(k, n, 0 <= f1 <= 1, bool(abs(mean - reported) < 1e-6)) for k, n, f1 in rows],
+                                 "fold int, n_held long, in_range boolean, mean_is_reported boolean")
+
+
 @plan("intent_lr", ids=("M8", "E1", "D2", "X3"))
 def intent_lr(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", "lang", TX.clean_text("text").alias("clean_text"))
@@ -247,7 +290,7 @@ def combined_train(spark, sf_dir, keys: bool = False):
     corpus, _ = sentiment_codes(sc.where(F.col("clean_text") != ""), "sentiment")
     corpus = corpus.select("clean_text", "sentiment_encoded", F.lit(0).alias("src"),
                            F.lpad(F.col("doc_id").cast("string"), K.ID_DIGITS, "0").alias("ord"))
-    log = conversation_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
+    log = written_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
     log = log.withColumn("clean_text", TX.clean_text("user_message"))
     log, _quarantined = sentiment_codes(log, "sentiment")
     log = log.where(F.col("clean_text") != "").select("clean_text", "sentiment_encoded", F.lit(1).alias("src"),
@@ -275,7 +318,7 @@ WHERE l.user_message IS NOT NULL AND l.intent IS NOT NULL
 @plan("intent_samples", sql=INTENT_SAMPLES_SQL, ids=("M10", "J2", "F3"))
 def intent_samples(spark, sf_dir):
     dim = fit_codes(Tables(spark, sf_dir).documents, "lang", "label").withColumnRenamed("lang", "intent")
-    log = conversation_log(spark, sf_dir).dropna(subset=["user_message", "intent"])
+    log = written_log(spark, sf_dir).dropna(subset=["user_message", "intent"])
     return log.join(dim, "intent").select("id", "intent", "label")
 
 

@@ -24,6 +24,11 @@ def append(df: DataFrame, path: str, batch_id: int | None = None) -> None:
         df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def _numbers(spark: SparkSession, folder: str, prefix: str) -> list[int]:
     folder = spark._jvm.org.apache.hadoop.fs.Path(folder)
     store = folder.getFileSystem(spark._jsc.hadoopConfiguration())

@@ -37,3 +37,22 @@ def test_first_by_keeps_earliest(spark):
     df = spark.createDataFrame([("x", 3, "c"), ("x", 1, "a"), ("y", 2, "b")], "k string, o int, v string")
     got = {r.k: (r.o, r.v) for r in first_by(df, ["k"], "o").collect()}
     assert got == {"x": (1, "a"), "y": (2, "b")}
+
+
+def test_cut_key_is_the_row_at_the_position(spark):
+    import random
+
+    from parlance.operators import splits
+
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 0, 1, 1, 1, 2]), i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g int, i int").repartition(5)
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    for at in (1, 2, 1499, 2999, 3000):
+        assert tuple(splits.cut_key(df, ["g", "i"], at, few=50)) == ordered[at - 1]
+    same = spark.createDataFrame([(7,)] * 200, "k int")
+    assert tuple(splits.cut_key(same, ["k"], 100, few=10)) == (7,)
+    got = splits.head_split(df, ["g", "i"], 0.9)
+    assert got.where("split = 'train'").count() == 2700
+    assert "Exchange rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert splits.head_split(df.limit(0), ["g", "i"]).count() == 0
