@@ -12,10 +12,10 @@ SQL = E.oracle_sql()
 
 
 def _norm(v):
-    if v is None:
-        return None
+    if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+        return None  # pandas shows a null number as NaN
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else round(v, 6) + 0.0
+        return round(v, 6) + 0.0
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, pd.Timestamp):
