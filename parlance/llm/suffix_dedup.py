@@ -13,19 +13,24 @@ the same place, so no repeat is missed.
 1. Every anchor gives its initial bucket (hash of its q-gram) and an identifier
    of all bytes that a string through it can touch (its reach). A reach that
    occurs twice is removed as a whole; a bucket of one member is done.
-2. Buckets that hold different reaches are refined, one copy of each reach: by
-   the bytes before and behind the anchor, then by the bucket identifiers of the
-   q-grams at every place and at the later offset, whose combination is the
-   identifier of LENGTH bytes, until strings of LENGTH bytes are told apart.
+2. Buckets that hold different reaches are refined, one copy of each reach, in
+   rounds. Equal strings hold the anchor at the same offset, so a bucket stands for
+   a range of offsets at first: all of them. A bucket whose members agree on every
+   byte that the range touches is done. Else the range is halved: members are
+   sorted on the identifier that the round before gave them and on the bytes that
+   the strings of the half share, which gives the identifiers of the next round,
+   until the range is one offset, a string of LENGTH bytes. Members left alone go.
+   Bytes are compared before a string counts as repeated.
    A bucket of more than ``LARGE`` reaches is refined by the whole cluster
-   instead: its strings are counted by hash with partial sums.
+   instead: its strings are counted by two hashes with partial sums.
 3. The removed intervals of each text are joined to the documents.
 
 Equal texts are one text to these steps; a text of LENGTH bytes or more that
 occurs twice is removed whole.
 
 Defined results: a null text counts as empty; matches never cross documents;
-texts shorter than LENGTH bytes stay; repeated rows are copies of each other;
+texts shorter than LENGTH bytes stay; a very long text is read whole (its anchors
+are rows of their own, its marks and intervals lie in one row each); repeated rows are copies of each other;
 an empty table gives an empty result; other columns are kept by ``cleaned`` and
 never read.
 """
@@ -42,10 +47,10 @@ from pyspark.sql import functions as F
 from parlance.llm.jaccard_join import _powers, mix
 from parlance.llm.support import discard, documents, fresh, lean, quoted, saved, text_or_empty
 
-LENGTH, GRAM = 200, 100
+LENGTH, GRAM = 200, 64
 SPAN = LENGTH - GRAM + 1
-#: Bytes before and behind the anchor's q-gram by which a bucket is refined first.
-Q = (SPAN - 1) // 2
+#: Strings whose bytes are compared in one go.
+COMPARED = 1 << 16
 #: Reaches of a bucket that one task refines, and reaches refined in one go.
 LARGE, AT_ONCE = 16384, 16384
 
@@ -131,78 +136,95 @@ def _emit_reaches(batches):
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["g", "k1", "k2", "lo", "anchor", "reach"])
 
 
-def refined(bucket: np.ndarray, owner: np.ndarray, lo: np.ndarray, anchor: np.ndarray,
-            reaches: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(row, start in its reach) of the strings of LENGTH bytes that start at two
-    places of the same bucket. ``owner`` tells texts apart, ``lo`` is the place
-    of a reach in its text, ``anchor`` the place of its anchor in the reach.
-
-    Round 1 refines a bucket by the q-grams Q bytes before and behind the
-    anchor: a string through the anchor reaches over one of them, so only the
-    strings over a shared one go on. Round 2 gives each place the identifier of
-    its GRAM bytes, round 3 that of LENGTH bytes from those of round 2 at the
-    place and at the later offset, and sorts the places by it."""
+def _by_bytes(data: np.ndarray, begin: np.ndarray, width: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """``group`` numbers, with members whose ``width`` bytes differ told apart. Members
+    of a group have one width."""
+    order = np.argsort(group, kind="stable")
+    follows = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1
+    after, before = order[follows], order[follows - 1]
+    differ = np.zeros(len(after), bool)
+    for w in np.unique(width[after]):
+        strings = np.lib.stride_tricks.sliding_window_view(data, int(w))
+        pairs = np.flatnonzero(width[after] == w)
+        for a in range(0, len(pairs), COMPARED):
+            here = pairs[a:a + COMPARED]
+            differ[here] = (strings[begin[after[here]]] != strings[begin[before[here]]]).any(axis=1)
+    if differ.any():  # different bytes met in a hash
+        group, names = group.copy(), {}
+        for k in np.flatnonzero(np.isin(group, group[after[differ]])):
+            content = (int(group[k]), data[begin[k]:begin[k] + width[k]].tobytes())
+            group[k] = -1 - names.setdefault(content, len(names))
+        _, group = np.unique(group, return_inverse=True)
+    return group
+
+
+def refined(bucket: np.ndarray, place: np.ndarray, anchor: np.ndarray,
+            reaches: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) in its reach of the bytes covered by a string of LENGTH
+    bytes through the anchor that another row of the bucket has too. ``place``
+    names a row's anchor in its text (rows with equal ones count once), ``anchor``
+    is the anchor's place in the reach."""
     lengths = np.array([len(r) for r in reaches], np.int64)
     base = np.concatenate(([0], np.cumsum(lengths)))[:-1]
-    total = _prefix(np.frombuffer(b"".join(reaches), np.uint8))
-    at, end = base + anchor, base + lengths
-
-    def shared(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
-        """Rows whose bytes from begin to stop occur in another row of the bucket."""
-        key = _hashes(total, np.maximum(begin, base), np.minimum(stop, end)) + mix(bucket.astype(np.uint64))
-        _, which, times = np.unique(key, return_inverse=True, return_counts=True)
-        return times[which] > 1
-
-    middle = np.maximum(np.minimum(at - Q, end - LENGTH), base - 1)  # strings that start up to here hold Q bytes before
-    left = np.where(shared(at - Q, at + GRAM), np.minimum(middle, end - LENGTH) - base + 1, 0)
-    right = np.where(shared(at, at + GRAM + Q), np.minimum(at, end - LENGTH) - middle, 0)
-    # places: left ones count from the reach's start, right ones from behind ``middle``
-    counts = np.concatenate((np.maximum(left, 0), np.maximum(right, 0)))
-    origin = np.concatenate((base, middle + 1))
-    row = np.repeat(np.concatenate((np.arange(len(reaches)),) * 2), counts)
-    first = np.repeat(origin - np.concatenate(([0], np.cumsum(counts)[:-1])), counts)
-    place = first + np.arange(int(counts.sum()))
-    if not len(place):
-        return row, place
-    grams = _hashes(total, place, place + GRAM), _hashes(total, place + LENGTH - GRAM, place + LENGTH)
-    pointer = mix(grams[0] * np.uint64(0x9E3779B97F4A7C15) + grams[1] + mix(bucket[row].astype(np.uint64)))
-    order = np.argsort(pointer)
-    pointer = pointer[order]
-    again = np.concatenate(([False], pointer[1:] == pointer[:-1]))
-    alive = again | np.append(again[1:], False)
-    order, pointer = order[alive], pointer[alive]
-    row, place = row[order], place[order]
-    start = place - base[row]
-    where = lo[row] + start
-    # A string counts once per place of its text, however many reaches show it.
-    order = np.lexsort((where, owner[row], pointer))
-    p, o, s = pointer[order], owner[row][order], where[order]
-    new = np.concatenate(([True], p[1:] != p[:-1]))
-    other = np.concatenate(([True], new[1:] | (o[1:] != o[:-1]) | (s[1:] != s[:-1])))
-    group = np.cumsum(new) - 1
-    repeated = np.bincount(group, other)[group] > 1
-    return row[order][repeated], start[order][repeated]
+    data = np.frombuffer(b"".join(reaches), np.uint8)
+    total = _prefix(data)
+    at = base + anchor
+    # Bytes before the anchor at which a row has a string.
+    least, most = np.maximum(at + LENGTH - base - lengths, 0), np.minimum(anchor, SPAN - 1)
+    _, row = np.unique(place, return_index=True)
+    pointer, low, high = bucket[row].astype(np.int64), np.zeros(len(row), np.int64), np.full(len(row), SPAN - 1)
+    done = np.zeros(len(row), bool)
+    found: list[tuple] = []
+    while len(row):
+        # Members that agree on all bytes of the range; one of them stays to be met by the others.
+        full = np.flatnonzero((least[row] <= low) & (high <= most[row]))
+        begin, width = at[row[full]] - high[full], LENGTH + high[full] - low[full]
+        key = _hashes(total, begin, begin + width) + mix(pointer[full].astype(np.uint64))
+        _, group = np.unique(key, return_inverse=True)
+        group = _by_bytes(data, begin, width, group)
+        _, first, group, times = np.unique(group, return_index=True, return_inverse=True, return_counts=True)
+        again = times[group] > 1
+        new = full[again & ~done[full]]
+        found.append((row[new], anchor[row[new]] - high[new], anchor[row[new]] - low[new] + LENGTH))
+        stays = np.ones(len(row), bool)
+        stays[full[again]] = False
+        stays[full[first]] = True
+        done[full[again]] = True
+        stays &= high > low
+        row, pointer, low, high, done = row[stays], pointer[stays], low[stays], high[stays], done[stays]
+        # Halves of the ranges, refined by the bytes that all strings of a half share.
+        middle = (low + high) // 2
+        row, done = np.tile(row, 2), np.tile(done, 2)
+        pointer = np.concatenate((2 * pointer, 2 * pointer + 1))
+        low, high = np.concatenate((low, middle + 1)), np.concatenate((middle, high))
+        alive = (least[row] <= high) & (low <= most[row])
+        row, pointer, low, high, done = row[alive], pointer[alive], low[alive], high[alive], done[alive]
+        key = _hashes(total, at[row] - low, at[row] - high + LENGTH) + mix(pointer.astype(np.uint64))
+        _, pointer, times = np.unique(key, return_inverse=True, return_counts=True)
+        alive = (times > 1)[pointer] & (np.bincount(pointer, ~done, len(times)) > 0)[pointer]
+        row, pointer, low, high, done = row[alive], pointer[alive], low[alive], high[alive], done[alive]
+    if not found:
+        return (np.zeros(0, np.int64),) * 3
+    return tuple(np.concatenate(c) for c in zip(*found))
 
 
 def _refine(batches):
     """(k1, k2, a, b): removed intervals of the texts, from rows sorted by g."""
     def work(rows):
-        keys, bucket = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
+        _, bucket = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
         names: dict = {}
         owner = np.array([names.setdefault((r[1], r[2]), len(names)) for r in rows], np.int64)
-        lo = np.array([r[3] for r in rows], np.int64)
-        row, start = refined(bucket, owner, lo, np.array([r[4] for r in rows], np.int64), [r[5] for r in rows])
+        lo, anchor = (np.array([r[k] for r in rows], np.int64) for k in (3, 4))
+        row, begin, end = refined(bucket, (owner << 32) + lo + anchor, anchor, [r[5] for r in rows])
         if not len(row):
             return None
-        order = np.lexsort((start, row))
-        row, start = row[order], start[order]
-        fresh_ = np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + LENGTH)))
-        cut = np.flatnonzero(fresh_)
-        ends = np.append(cut[1:], len(row)) - 1
+        order = np.lexsort((begin, row))
+        row, begin, end = row[order], begin[order], end[order]
+        cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (begin[1:] > end[:-1]))))
         who = row[cut]
         return pa.RecordBatch.from_arrays(
             [pa.array([rows[k][1] for k in who], pa.int64()), pa.array([rows[k][2] for k in who], pa.int64()),
-             pa.array(lo[who] + start[cut], pa.int64()), pa.array(lo[who] + start[ends] + LENGTH, pa.int64())],
+             pa.array(lo[who] + begin[cut], pa.int64()), pa.array(lo[who] + end[np.append(cut[1:], len(row)) - 1], pa.int64())],
             names=["k1", "k2", "a", "b"])
 
     rows: list = []

@@ -371,6 +371,47 @@ def test_suffixes_of_overlapping_repeats(spark, monkeypatch, large):
     assert got == [(i, *b) for i, b in enumerate(_brute_spans(texts))]
 
 
+def test_refined_buckets_equal_brute_force():
+    rng = random.Random(5)
+    for alphabet, size in ((b"ab", 900), (b"abcd", 2000), (b"a", 700), (bytes(range(97, 123)), 2500)):
+        base = bytes(rng.choices(alphabet, k=size))
+        pieces = [base[i:i + rng.randint(100, 500)] for i in rng.sample(range(size - 100), 12)]
+        texts = [b"".join(rng.choice(pieces) + bytes(rng.choices(alphabet, k=rng.randint(0, 60))) for _ in range(4)) for _ in range(8)]
+        rows = []  # (gram, place, anchor, reach), some rows twice as copies in other partitions give them
+        for i, t in enumerate(texts):
+            for x in suffix_dedup.anchors(t)[0] if len(t) >= 200 else ():
+                lo = max(int(x) - suffix_dedup.SPAN + 1, 0)
+                rows.append((t[x:x + suffix_dedup.GRAM], (i << 32) + int(x), int(x) - lo, t[lo:int(x) + 200]))
+        rows += rows[::7]
+        _, bucket = np.unique(np.array([r[0] for r in rows]), return_inverse=True)
+        row, begin, end = suffix_dedup.refined(bucket, np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), [r[3] for r in rows])
+        masks = [np.zeros(len(t) + 1, bool) for t in texts]
+        for k, a, b in zip(row, begin, end):
+            i, lo = rows[k][1] >> 32, (rows[k][1] & 0xFFFFFFFF) - rows[k][2]
+            masks[i][lo + a:lo + b] = True
+        want = _brute_spans([t.decode() for t in texts])
+        assert [int(m.sum()) for m in masks] == [w[1] for w in want]
+
+
+def test_bytes_split_what_a_hash_merged():
+    data = np.frombuffer(bytes(random.Random(6).choices(b"abc", k=250)) * 3, np.uint8)
+    wide = np.full(6, 200)
+    got = suffix_dedup._by_bytes(data, np.array([0, 250, 1, 500, 251, 3]), wide, np.ones(6, np.int64))
+    assert got[0] == got[1] == got[3] != got[2] == got[4] and got[5] not in (got[0], got[2])
+    same = suffix_dedup._by_bytes(data, np.array([0, 250, 7]), wide[:3], np.array([1, 1, 2]))
+    assert (same == [1, 1, 2]).all()
+
+
+def test_a_text_of_very_many_anchors(spark):
+    rng = random.Random(7)
+    body = rng.randbytes(3_500_000).hex()  # 7 MB, about 100,000 anchors
+    passage = rng.randbytes(150).hex()
+    texts = [body[:3_000_000] + passage + body[3_000_000:], "Z" * 150 + passage + "Y" * 150, body[100:5_000_000] + "!"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.digest_documents(df).collect()}
+    assert got[1] == (300, 1) and got[0] == (5_000_000 - 100 + 300, 1) and got[2] == (4_999_900, 1)
+
+
 def test_one_place_of_a_reach_is_sent(spark, monkeypatch):
     saved, sent = suffix_dedup.saved, []
 
