@@ -1,8 +1,9 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick automata.
 
 Texts are folded first: lower case, look-alike letters of other scripts and
-full-width forms to plain ones, digits and signs that stand for letters back to
-the letters. A lexicon entry is a whole word or a word beginning, with a
+compatibility forms (full-width, mathematical) to plain ones, accents dropped,
+digits and signs that stand for letters back to the letters, other punctuation
+and symbols to spaces. A lexicon entry is a whole word or a word beginning, with a
 weight learned from labelled rows (smoothed log odds of its document counts).
 Exception phrases, given or learned (a word pair that holds an entry's word and
 is found in clean documents), are entries too: a match inside one does not
@@ -16,7 +17,12 @@ rows and whole texts.
 Defined results: a null or empty text has no match and gets the curve's value
 at zero; repeated rows get equal scores; with no labelled rows (or of one class
 only) the lexicon is empty and the score is the smoothed share of toxic rows; a
-null label or id is no training row; an empty table gives an empty result.
+null label or id is no training row; an empty table gives an empty result; a very
+long text is matched whole in its row; extra columns travel along, and the score
+column gets another name where the table has one of its name.
+
+The lexicon, its candidates and the learned exception phrases are bounded
+(``LEXICON``, ``CANDIDATES``); a warning says so when a bound bites.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,8 +41,10 @@ from pyspark.sql import functions as F
 
 from parlance.llm.support import documents, fresh, give_back, kept, lean, quoted, saved, text_or_empty
 
-#: Bound of the labelled sample, entries of the lexicon at most.
+#: Bound of the labelled sample; entries of the lexicon (and exception phrases) at
+#: most, and the patterns weighed for them.
 TRAIN_ROWS, LEXICON = 40_000, 20_000
+CANDIDATES = 20 * LEXICON
 #: Distinct patterns that a task adds up before it passes them on.
 TALLIED = 100_000
 #: Word beginnings of these lengths may be entries.
@@ -55,16 +64,25 @@ LOOK_ALIKES = {
 SIGNS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 
 
-def _fold_table() -> dict[int, str]:
-    table = {ord(k): v for k, v in (LOOK_ALIKES | SIGNS).items()}
-    # Full-width forms, and everything between words as one space.
-    table |= {c: unicodedata.normalize("NFKC", chr(c)).lower() for c in range(0xFF21, 0xFF5B) if chr(c).isalpha()}
-    table |= {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in SIGNS}
-    table |= {0x200B: "", 0x200C: "", 0x200D: "", 0x00AD: ""}
-    return table
+class _Folds(dict):
+    """Characters to what they fold to, worked out when first met."""
+
+    def __missing__(self, code: int) -> str:
+        kind, form = unicodedata.category(chr(code)), unicodedata.normalize("NFKD", chr(code))
+        if kind == "Cf" or 0x0300 <= code < 0x0370:  # soft hyphens, joiners; accents
+            out = ""
+        elif kind[0] in "PSZ" and not (len(form) == 1 and form.isalpha()):  # not a letter in a circle
+            out = " "
+        else:
+            plain = [c for c in form.lower() if not 0x0300 <= ord(c) < 0x0370]
+            out = unicodedata.normalize("NFC", "".join(LOOK_ALIKES.get(c) or SIGNS.get(c, c) for c in plain))
+        self[code] = out
+        return out
 
 
-FOLDS = _fold_table()
+FOLDS = _Folds({ord(k): v for k, v in (LOOK_ALIKES | SIGNS).items()}
+               | {c: " " for c in range(128) if not chr(c).isalnum() and chr(c) not in SIGNS}
+               | {ord(c): c for c in "abcdefghijklmnopqrstuvwxyz269"})
 #: A sign that no letter follows is punctuation, not a letter.
 ENDS_WORD = re.compile(r"[!@$]+(?!\w)")
 
@@ -186,6 +204,11 @@ def _fit_curve(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(w[1])
 
 
+def _told(got: int, bound: int, what: str) -> None:
+    if got >= bound:
+        warnings.warn(f"toxicity: {what} reached their bound of {bound}", stacklevel=3)
+
+
 def learn(docs: DataFrame, labels: DataFrame, train, rows: int = TRAIN_ROWS,
           exceptions: tuple[str, ...] = ()) -> Lexicon:
     """Lexicon, exceptions and curve from labelled rows that ``train(doc_id)`` admits."""
@@ -193,7 +216,8 @@ def learn(docs: DataFrame, labels: DataFrame, train, rows: int = TRAIN_ROWS,
     toxic = sample.where("toxic = 1")
     seen = _counts(toxic, _word_patterns).where(F.col("toxic") >= LEAST_DOCS)
     # Of the bounded sample's patterns, the most common ones are weighed.
-    candidates = {r[0] for r in seen.orderBy(F.desc("toxic"), "pattern").limit(20 * LEXICON).select("pattern").collect()}
+    candidates = {r[0] for r in seen.orderBy(F.desc("toxic"), "pattern").limit(CANDIDATES).select("pattern").collect()}
+    _told(len(candidates), CANDIDATES, "candidate patterns")
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(candidates)
 
@@ -217,6 +241,8 @@ def learn(docs: DataFrame, labels: DataFrame, train, rows: int = TRAIN_ROWS,
 
     excused = _counts(sample, pairs).where((F.col("clean") >= EXCEPTION_DOCS) & (F.col("clean") > 4 * F.col("toxic")))
     found = [r[0] for r in excused.orderBy(F.desc("clean"), "pattern").limit(LEXICON).select("pattern").collect()] if weights else []
+    _told(len(weights), LEXICON, "lexicon entries")
+    _told(len(found), LEXICON, "exception phrases")
     lexicon = Lexicon(weights, sorted({fold(e).strip() for e in exceptions} | set(found)), 0.0, 0.0)
 
     shared.destroy()

@@ -171,6 +171,36 @@ def test_bands_find_pairs_wherever_their_edits_lie():
     assert len(x & z) < 20 < len(x) / 20
 
 
+def test_folding_of_signs_and_forms():
+    for t in ("\u201cidiot\u201d", "idiot\u2026", "i\u0301diot", "\u00eddiot", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d",
+              "\U0001d408\U0001d403\U0001d408\U0001d40e\U0001d413", "\u2014idiot\u2014", "ｉｄｉｏｔ", "IDIOT\uff01", "id\u00adi\u200bot", "\u24d8diot", "idi\u043et"):
+        assert toxicity.fold(t) == " idiot ", t
+    assert toxicity.fold("\ud55c\uad6d\uc5b4 \u0939\u093f\u0928\u094d\u0926\u0940") == " \ud55c\uad6d\uc5b4 \u0939\u093f\u0928\u094d\u0926\u0940 "  # other scripts keep their marks
+    assert toxicity.fold("don\u2019t") == toxicity.fold("don't") and toxicity.fold("") == toxicity.fold("\u2026") == "  "
+
+
+def test_matches_equal_plain_search():
+    rng = random.Random(3)
+    words = ["".join(rng.choices("ab", k=rng.randint(1, 5))) for _ in range(60)]
+    for _ in range(40):
+        weights = {rng.choice((f" {w} ", f" {w}")): rng.random() for w in rng.sample(words, 12)}
+        phrases = [" ".join(rng.sample(words, 2)) for _ in range(25)]
+        lexicon = toxicity.Lexicon(weights, phrases, 1.0, 0.0)
+        automaton = lexicon.automaton()
+        for _ in range(20):
+            text = toxicity.fold(" ".join(rng.choices(words, k=rng.randint(0, 40))))
+            best = {}
+            for p, w in weights.items():  # a word begins behind a space; its heaviest entry counts
+                for at in range(len(text)):
+                    if text.startswith(p, at):
+                        best[at] = max(best.get(at, 0.0), w)
+            for p in phrases:
+                for at in range(len(text)):
+                    if text.startswith(f" {p} ", at):
+                        best = {x: w for x, w in best.items() if not at <= x < at + len(p) + 1}
+            assert abs(lexicon.matched(automaton, text) - sum(best.values())) < 1e-12
+
+
 def test_folding_and_exceptions():
     assert toxicity.fold("Іdiot ID10T, m0r0n! $tupid") == " idiot idiot moron stupid "
     lexicon = toxicity.Lexicon({" clown ": 2.0, " idio": 3.0}, ["clown fish"], 1.0, -1.0)
