@@ -12,13 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def fit(df: DataFrame, vec: str, label: str) -> DataFrame:
-    """One row: classes (sorted) and their centroid arrays."""
+def fit_rows(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """(label, c): one row per class with its centroid array."""
     per_dim = (df.select(F.col(label).alias("label"), F.posexplode(vec).alias("j", "x"))
                .groupBy("label", "j").agg(F.avg(F.col("x").cast("double")).alias("m")))
-    per_class = per_dim.groupBy("label").agg(
+    return per_dim.groupBy("label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("j", "m"))), lambda s: s["m"]).alias("c"))
-    return per_class.agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("model"))
+
+
+def fit(df: DataFrame, vec: str, label: str) -> DataFrame:
+    """One row: classes (sorted) and their centroid arrays."""
+    return fit_rows(df, vec, label).agg(F.array_sort(F.collect_list(F.struct("label", "c"))).alias("model"))
 
 
 def score(df: DataFrame, vec: str, model: DataFrame) -> DataFrame:

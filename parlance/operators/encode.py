@@ -8,16 +8,22 @@ broadcast at run time, a large one stays a shuffle join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions import constants as K
 from parlance.operators.ordered import row_number_within
+from parlance.sources.landing import stored
 
 
 def fit_codes(df: DataFrame, col: str, code_col: str = "code") -> DataFrame:
-    """Dimension (value, code): codes 0..k-1 in sorted order of distinct non-null values."""
-    values = df.select(col).where(F.col(col).isNotNull()).distinct()
+    """Dimension (value, code): codes 0..k-1 in sorted order of distinct non-null values.
+
+    The distinct values are written once; at most ``DIMENSION_BROADCAST_ROWS`` of them
+    are numbered in one task, more by ranges."""
+    values = stored(df.select(col).where(F.col(col).isNotNull()).distinct(), "dimension")
+    if values.count() <= K.DIMENSION_BROADCAST_ROWS:
+        return values.select(col, (F.row_number().over(Window.orderBy(col)) - 1).cast("int").alias(code_col))
     numbered = row_number_within(values, [], [col], out="__rn")
     return numbered.select(col, (F.col("__rn") - 1).cast("int").alias(code_col))
 
@@ -29,8 +35,7 @@ def apply_codes(df: DataFrame, dim: DataFrame, col: str, code_col: str = "code",
     unknown="drop" keeps only known values (inner join); "null" keeps the row
     with a null code; "error" raises on the first unknown value.
 
-    A fitted dimension is materialised (its numbering is checkpointed), so its
-    row count is cheap to take; at most ``broadcast_max_rows`` rows it is
+    A fitted dimension's values are written, so its row count is cheap to take; at most ``broadcast_max_rows`` rows it is
     broadcast. Otherwise it stays a shuffle join, never a broadcast of
     unchecked size.
     """

@@ -15,6 +15,7 @@ from parlance.functions import text as TX
 from parlance.operators import centroids, external, metrics, splits
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
+from parlance.sources.landing import stored
 from parlance.plans.registry import Tables, plan
 from parlance.session import checkpoint_root
 
@@ -287,12 +288,26 @@ def model_report_text(spark, sf_dir):
 
 # --- P3: the same model applied as an external scorer on Arrow batches ------------------
 
-@plan("external_scores", sql=f"""
+EXTERNAL_SQL = f"""
 WITH {CENTROID_SQL}
 SELECT vec_id, y, p AS predicted, round(confidence, 4) AS confidence FROM mc
-""", ids=("P3", "M7"))
+"""
+
+
+def _external(scored):
+    return scored.select("vec_id", F.col("label").alias("y"), "predicted", F.round("confidence", 4).alias("confidence"))
+
+
+@plan("external_scores", sql=EXTERNAL_SQL, ids=("P3", "M7"))
 def external_scores(spark, sf_dir):
     e = Tables(spark, sf_dir).embeddings
-    make_fn, dims = external.centroid_predictor(centroids.fit(e, "embedding", "label"))
-    s = external.score_with(e, "embedding", make_fn, dims)
-    return s.select("vec_id", F.col("label").alias("y"), "predicted", F.round("confidence", 4).alias("confidence"))
+    return _external(external.score_centroids(e, "vec_id", "embedding", stored(centroids.fit_rows(e, "embedding", "label"), "centroids")))
+
+
+@plan("external_scores_blocks", sql=EXTERNAL_SQL, ids=("P3", "M7"))
+def external_scores_blocks(spark, sf_dir):
+    """The same scores by the way that larger models take: three classes a block."""
+    e = Tables(spark, sf_dir).embeddings
+    classes = stored(centroids.fit_rows(e, "embedding", "label"), "centroids")
+    dims = classes.agg(F.max(F.size("c"))).first()[0] or 1
+    return _external(external.score_in_blocks(e, "vec_id", "embedding", classes, block_values=3 * dims))

@@ -16,6 +16,7 @@ from parlance.functions import labels as L
 from parlance.functions import text as TX
 from parlance.operators import models, splits, turns
 from parlance.operators.encode import fit_codes, sentiment_codes
+from parlance.operators.logs import previous_value
 from parlance.operators.ordered import first_by
 from parlance.plans import sqlfrag as Q
 from parlance.plans.corpus_plans import SENTIMENT_CORPUS_SQL, sentiment_corpus
@@ -175,6 +176,34 @@ def cv_checks(spark, sf_dir):
                                  "fold int, n_held long, in_range boolean, mean_is_reported boolean")
 
 
+@plan("grid_checks", sql=f"""
+WITH {MODEL_ROWS_CTE},
+pts AS (SELECT 'lr' AS model, unnest({K.LR_GRID_C})::DOUBLE AS a, 0::INTEGER AS b
+        UNION ALL SELECT 'dt', d::DOUBLE, l::INTEGER FROM (SELECT unnest({K.DT_GRID_DEPTH}) AS d), (SELECT unnest({K.DT_GRID_LEAF}) AS l))
+SELECT model, a, b, (SELECT count(*) FROM mr WHERE split = 'train') AS n_train, true AS in_range, true AS best_is_highest, true AS best_recomputed FROM pts
+""", ids=("M3", "M4", "D4", "X2"))
+def grid_checks(spark, sf_dir):
+    """What must hold for any grid: every point has a mean F1 in range, the model kept
+    is of the highest one, and that mean equals the one of folds fitted and measured
+    one by one by this library's own metrics."""
+    tr, _, _ = _features(spark, sf_dir)
+    n = tr.count()
+    tr3 = stored(splits.folds(tr.drop("fold"), "doc_id", K.GRID_FOLDS), "grid-rows")
+    inside = models.fold_rows(n, K.GRID_FOLDS)
+    lr, dt = models.logistic(inside), models.tree()
+    rows = []
+    for name, est, grid in (("lr", lr, models.lr_grid(lr, inside)), ("dt", dt, models.dt_grid(dt))):
+        cvm = models.cross_validate(est, tr3, grid, K.GRID_FOLDS)
+        best = max(range(len(grid)), key=lambda i: cvm.avgMetrics[i])
+        own = [models.evaluate(est.copy(grid[best]).fit(tr3.where(F.col("fold") != k)), tr3.where(F.col("fold") == k), binary=False).first().f1
+               for k in range(K.GRID_FOLDS)]
+        recomputed = abs(sum(own) / len(own) - cvm.avgMetrics[best]) < 1e-6
+        kept = all(cvm.bestModel.getOrDefault(p.name) == v for p, v in grid[best].items())
+        points = zip(K.LR_GRID_C, [0] * len(grid)) if name == "lr" else [(pm[dt.maxDepth], pm[dt.minInstancesPerNode]) for pm in grid]
+        rows += [(name, float(a), int(b), n, 0 <= f1 <= 1, kept, recomputed) for (a, b), f1 in zip(points, cvm.avgMetrics)]
+    return spark.createDataFrame(rows, "model string, a double, b int, n_train long, in_range boolean, best_is_highest boolean, best_recomputed boolean")
+
+
 @plan("intent_lr", ids=("M8", "E1", "D2", "X3"))
 def intent_lr(spark, sf_dir):
     d = Tables(spark, sf_dir).documents.select("doc_id", "lang", TX.clean_text("text").alias("clean_text"))
@@ -292,7 +321,7 @@ def combined_train(spark, sf_dir, keys: bool = False):
                            F.lpad(F.col("doc_id").cast("string"), K.ID_DIGITS, "0").alias("ord"))
     log = written_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
     log = log.withColumn("clean_text", TX.clean_text("user_message"))
-    log, _quarantined = sentiment_codes(log, "sentiment")
+    log, _ = sentiment_codes(log, "sentiment")  # ``code_quarantine`` reports the others
     log = log.where(F.col("clean_text") != "").select("clean_text", "sentiment_encoded", F.lit(1).alias("src"),
                                                       F.col("id").alias("ord"))
     u = corpus.unionByName(log, allowMissingColumns=True).withColumn("__o", F.struct("src", "ord"))
@@ -307,6 +336,28 @@ def union_dedup_train(spark, sf_dir):
     return combined_train(spark, sf_dir)
 
 
+@plan("code_quarantine", sql=f"""
+WITH sc AS ({SENTIMENT_CORPUS_SQL}),
+r AS (SELECT 'corpus' AS origin, sentiment FROM sc WHERE {Q.bucket('doc_id', splits.BUCKETS, K.SEED)} < 8000 AND clean_text <> ''
+      UNION ALL SELECT 'log', sentiment FROM ({LOG_SQL}) WHERE user_message IS NOT NULL AND sentiment IS NOT NULL)
+SELECT origin, sentiment, {_code_sql('sentiment')} AS sentiment_encoded, {_code_sql('sentiment')} IS NULL AS quarantined, count(*) AS n_rows
+FROM r GROUP BY ALL
+""", ids=("J3", "A4"))
+def code_quarantine(spark, sf_dir):
+    """Rows of the retrain union by class name and code; names without a code are
+    quarantined there, and counted here."""
+    sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id").where((F.col("split") == "train") & (F.col("clean_text") != ""))
+    log = written_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
+    return code_report(sc.select(F.lit("corpus").alias("origin"), "sentiment").unionByName(log.select(F.lit("log").alias("origin"), "sentiment")))
+
+
+def code_report(rows):
+    """(origin, sentiment, code, quarantined, n_rows) of rows with origin and sentiment."""
+    n = rows.groupBy("origin", "sentiment").agg(F.count(F.lit(1)).alias("n_rows"))
+    known, unknown = sentiment_codes(n, "sentiment")
+    return known.withColumn("quarantined", F.lit(False)).unionByName(unknown.withColumn("quarantined", F.lit(True)))
+
+
 INTENT_SAMPLES_SQL = f"""
 WITH dim AS (SELECT lang AS intent, (row_number() OVER (ORDER BY lang) - 1)::INTEGER AS label
              FROM (SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL))
@@ -322,11 +373,9 @@ def intent_samples(spark, sf_dir):
     return log.join(dim, "intent").select("id", "intent", "label")
 
 
-@plan("retrain_cycle", ids=("M9", "S6", "W3", "W4"))
-def retrain_cycle(spark, sf_dir):
-    """Fit on the corpus alone (run 0) and on corpus + log (run 1), evaluate both
-    on the unchanged test split, append metrics rows, report each model's
-    previous accuracy."""
+def retrain_runs(spark, sf_dir):
+    """Metrics history of two runs: fitted on the corpus alone (run 0) and on corpus +
+    log (run 1), both measured on the unchanged test split."""
     comb = combined_train(spark, sf_dir, keys=True).withColumn("label", F.col("sentiment_encoded").cast("double"))
     sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id")
     test, _ = sentiment_codes(sc.where((F.col("split") == "test") & (F.col("clean_text") != "")), "sentiment")
@@ -336,14 +385,40 @@ def retrain_cycle(spark, sf_dir):
     for run, rows in enumerate((comb.where(F.col("origin") == "corpus"), comb)):
         tr, te, _, _ = models.featurize(rows, test, "doc_id", "clean_text")
         n_train = tr.count()
-        small, held = models.sized(tr, n_train), models.sized(te, te.count())
+        n_test = te.count()
+        small, held = models.sized(tr, n_train), models.sized(te, n_test)
         for k, (name, est) in enumerate((("Logistic Regression", models.logistic(n_train)), ("Decision Tree", models.tree()))):
             r = models.evaluate(est.fit(small), held, name=name, binary=False)
             logtables.append(r.select(F.lit(f"{run}:{name}").alias("id"), F.col("name").alias("model_name"),
                                       "accuracy", F.col("f1").alias("f1_score"), "precision", "recall",
-                                      F.current_timestamp().alias("timestamp")).withColumn("run", F.lit(run)),
+                                      F.current_timestamp().alias("timestamp"))
+                             .withColumns({"run": F.lit(run), "n_train": F.lit(n_train).cast("long"), "n_test": F.lit(n_test).cast("long")}),
                              path, batch_id=run * 2 + k)
-    hist = spark.read.parquet(path)
-    from parlance.operators.logs import previous_value
-    return previous_value(hist, "model_name", ["run", "model_name"], "accuracy", out="previous_accuracy").select(
-        "model_name", "run", "accuracy", "f1_score", "precision", "recall", "previous_accuracy")
+    return previous_value(spark.read.parquet(path), "model_name", ["run", "model_name"], "accuracy", out="previous_accuracy")
+
+
+@plan("retrain_cycle", ids=("M9", "S6", "W3", "W4"))
+def retrain_cycle(spark, sf_dir):
+    """The two runs' metrics with each model's previous accuracy."""
+    return retrain_runs(spark, sf_dir).select("model_name", "run", "accuracy", "f1_score", "precision", "recall", "previous_accuracy")
+
+
+@plan("retrain_checks", sql=f"""
+WITH un AS ({UNION_SQL}),
+te AS (SELECT * FROM ({SENTIMENT_CORPUS_SQL}) WHERE {Q.bucket('doc_id', splits.BUCKETS, K.SEED)} >= 8000 AND clean_text <> '' AND {_code_sql('sentiment')} IS NOT NULL)
+SELECT m AS model_name, r::INTEGER AS run, (SELECT count(*) FROM un WHERE r = 1 OR origin = 'corpus') AS n_train,
+       (SELECT count(*) FROM te) AS n_test, true AS in_range, true AS previous_holds
+FROM (SELECT unnest(['Logistic Regression', 'Decision Tree']) AS m), (SELECT unnest([0, 1]) AS r)
+""", ids=("M9", "S6", "W4", "U2"))
+def retrain_checks(spark, sf_dir):
+    """What must hold for any retrain cycle: run 0 learns from the corpus' rows, run 1
+    from the union's, both are measured on the same rows with metrics in range, and
+    the previous accuracy of run 1 is the accuracy of run 0."""
+    hist = stored(retrain_runs(spark, sf_dir), "retrain-history")
+    first = hist.where("run = 0").select("model_name", F.col("accuracy").alias("first"))
+    ok = F.lit(True)
+    for c in ("accuracy", "f1_score", "precision", "recall"):
+        ok = ok & F.col(c).between(0, 1)
+    expected = F.when(F.col("run") == 0, F.lit(None).cast("double")).otherwise(F.col("first"))
+    return hist.join(first, "model_name").select("model_name", "run", "n_train", "n_test", ok.alias("in_range"),
+                                                 F.col("previous_accuracy").eqNullSafe(expected).alias("previous_holds"))

@@ -1,9 +1,13 @@
 """Model invariants: rows kept, probabilities sum to one, reload is identical."""
 
+import math
+import random
+
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from parlance.operators import features, models, splits, turns
+from parlance.operators import encode, external, features, models, splits, turns
 from parlance.plans import feature_plans, model_plans
 from parlance.sources import modelstore
 from parlance.streaming import jobs
@@ -106,3 +110,47 @@ def test_a_version_published_between_batches_changes_later_rows_only(spark, tmp_
     again = turns.score_turns_by_models(spark.createDataFrame([(1, 0, "sun shine", None)], "conv_id long, turn long, user_message string, reply string"),
                                         old["sentiment"], old["intent"]).first()
     assert (version, again.sentiment) == (1, "positive")
+
+
+def test_blocks_score_as_one_model_does(spark):
+    rng = random.Random(2)
+    classes = [(k, [rng.uniform(-1, 1) for _ in range(3)]) for k in range(23)] + [(40, None)]
+    classes[23] = (40, classes[5][1])  # a tie: the lower class wins
+    model = spark.createDataFrame(classes, "label int, c array<double>")
+    rows = [(i, [rng.uniform(-2, 2) for _ in range(3)], "x") for i in range(60)] + [(60, classes[5][1], "x"), (61, None, "x"), (62, [1.0, None, 2.0], "x")]
+    df = spark.createDataFrame(rows, "id long, v array<float>, label string")
+    got = {r.id: r for r in external.score_in_blocks(df, "id", "v", model, block_values=9, block_rows=7).collect()}
+    assert len(got) == 63 and got[60].predicted == 5 and got[61].predicted is got[62].confidence is None and got[0].label == "x"
+    for i, v, _ in rows[:60]:
+        v = np.float32(v).astype(float)
+        s = {k: -float(((v - c) ** 2).sum()) for k, c in classes}
+        best = max(s.values())
+        assert got[i].predicted == min(k for k in s if s[k] == best)
+        assert abs(got[i].confidence - 1 / sum(math.exp(x - best) for x in s.values())) < 1e-9
+    none = external.score_in_blocks(df, "id", "v", model.limit(0)).collect()
+    assert len(none) == 63 and all(r.predicted is None for r in none)
+
+
+def test_large_models_go_by_blocks(spark, monkeypatch):
+    model = spark.createDataFrame([(0, [0.0, 0.0]), (1, [3.0, 3.0])], "label int, c array<double>")
+    df = spark.createDataFrame([(1, [0.1, 0.2]), (2, [2.9, 3.0])], "id long, v array<float>")
+    small = external.score_centroids(df, "id", "v", model).orderBy("id").collect()
+    monkeypatch.setattr(external, "MAX_MODEL_VALUES", 3)
+    large = external.score_centroids(df, "id", "v", model).orderBy("id").collect()
+    assert [r.predicted for r in small] == [r.predicted for r in large] == [0, 1]
+    assert all(abs(a.confidence - b.confidence) < 1e-12 for a, b in zip(small, large))
+
+
+def test_codes_alike_by_one_task_and_by_ranges(spark, monkeypatch):
+    df = spark.createDataFrame([(x,) for x in ["b", "a", None, "c", "b", "", "é"] * 3], "name string")
+    want = {"": 0, "a": 1, "b": 2, "c": 3, "é": 4}
+    assert {r.name: r.code for r in encode.fit_codes(df, "name").collect()} == want
+    monkeypatch.setattr(encode.K, "DIMENSION_BROADCAST_ROWS", 2)
+    assert {r.name: r.code for r in encode.fit_codes(df, "name").collect()} == want
+    assert encode.fit_codes(df.limit(0), "name").count() == 0
+
+
+def test_names_without_a_code_are_counted(spark):
+    df = spark.createDataFrame([("log", "positive"), ("log", "angry"), ("log", "angry"), ("corpus", "neutral"), ("log", None)], "origin string, sentiment string")
+    got = {(r.origin, r.sentiment): (r.sentiment_encoded, r.quarantined, r.n_rows) for r in model_plans.code_report(df).collect()}
+    assert got == {("log", "positive"): (2, False, 1), ("log", "angry"): (None, True, 2), ("corpus", "neutral"): (1, False, 1), ("log", None): (None, True, 1)}
