@@ -200,7 +200,7 @@ def grid_checks(spark, sf_dir):
         recomputed = abs(sum(own) / len(own) - cvm.avgMetrics[best]) < 1e-6
         kept = all(cvm.bestModel.getOrDefault(p.name) == v for p, v in grid[best].items())
         points = zip(K.LR_GRID_C, [0] * len(grid)) if name == "lr" else [(pm[dt.maxDepth], pm[dt.minInstancesPerNode]) for pm in grid]
-        rows += [(name, float(a), int(b), n, 0 <= f1 <= 1, kept, recomputed) for (a, b), f1 in zip(points, cvm.avgMetrics)]
+        rows += [(name, float(a), int(b), n, bool(0 <= f1 <= 1), kept, bool(recomputed)) for (a, b), f1 in zip(points, cvm.avgMetrics)]
     return spark.createDataFrame(rows, "model string, a double, b int, n_train long, in_range boolean, best_is_highest boolean, best_recomputed boolean")
 
 
