@@ -2,9 +2,14 @@
 
 import math
 import random
+import threading
 
 import numpy as np
+import pytest
+from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
+from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
 from parlance.operators import encode, external, features, models, splits, turns
@@ -154,3 +159,55 @@ def test_names_without_a_code_are_counted(spark):
     df = spark.createDataFrame([("log", "positive"), ("log", "angry"), ("log", "angry"), ("corpus", "neutral"), ("log", None)], "origin string, sentiment string")
     got = {(r.origin, r.sentiment): (r.sentiment_encoded, r.quarantined, r.n_rows) for r in model_plans.code_report(df).collect()}
     assert got == {("log", "positive"): (2, False, 1), ("log", "angry"): (None, True, 2), ("corpus", "neutral"): (1, False, 1), ("log", None): (None, True, 1)}
+
+
+def _tree_rows(spark, n=240, seed=5):
+    rng = random.Random(seed)
+    rows = [(i, float(rng.random() < 0.35 + 0.3 * (i % 3 == 0)), i % 3, Vectors.dense([rng.random(), float(i % 3 == 0), round(rng.random(), 1)])) for i in range(n)]
+    return spark.createDataFrame(rows, ["id", "label", "fold", "features"])
+
+
+def test_a_tree_cut_at_a_depth_is_the_shallower_tree(spark):
+    rows = _tree_rows(spark)
+    deep = models.tree(depth=9, leaf=1).fit(rows)
+    cut = deep.copy({deep.leafCol: "leaf"}).transform(rows).select("id", "leaf").join(models.depth_predictions(spark, deep, [1, 3, 5, 9]), "leaf")
+    assert deep.depth > 5
+    for depth in (1, 3, 5, 9):
+        own = models.tree(depth=depth, leaf=1).fit(rows).transform(rows).select("id", F.col("prediction").alias("own"))
+        both = cut.where(F.col("depth") == depth).join(own, "id")
+        assert both.count() == 240 and both.where("own <> prediction").count() == 0
+
+
+def test_depths_of_a_grid_share_a_fit_and_score_alike(spark, monkeypatch):
+    rows = _tree_rows(spark).cache()
+    dt = models.tree()
+    grid = ParamGridBuilder().addGrid(dt.maxDepth, [2, 4, 7]).addGrid(dt.minInstancesPerNode, [1, 4]).build()
+    fits, fit = [], models.fitted
+    monkeypatch.setattr(models, "fitted", lambda *a: fits.append(1) or fit(*a))
+    got = models.cross_validate(dt, rows, grid, 3)
+    assert len(fits) == 3 * 2 + 1  # 3 folds, 2 leaf sizes, the best one
+    want = CrossValidator(estimator=dt, estimatorParamMaps=grid, numFolds=3, foldCol="fold", seed=1,
+                          evaluator=MulticlassClassificationEvaluator(metricName="f1")).fit(rows)
+    assert np.allclose(got.avgMetrics, want.avgMetrics, atol=1e-12) and np.allclose(got.stdMetrics, want.stdMetrics, atol=1e-12)
+    assert got.bestModel.getMaxDepth() == want.bestModel.getMaxDepth() and got.bestModel.numNodes == want.bestModel.numNodes
+
+
+def test_fits_side_by_side_have_their_own_job_properties(spark):
+    """Threads that share one copy take each other's execution id away."""
+    sc, gate = spark.sparkContext, threading.Barrier(4, timeout=60)
+
+    def task(i):
+        sc.setLocalProperty("parlance.test", str(i))
+        gate.wait()
+        return sc.getLocalProperty("parlance.test")
+
+    assert models.side_by_side(spark, [lambda i=i: task(i) for i in range(4)], 4) == ["0", "1", "2", "3"]
+    empty = _tree_rows(spark).where("fold <> 1")
+    with pytest.raises(ValueError):
+        models.cross_validate(models.tree(), empty, folds=3)
+
+
+def test_tree_rows_are_dealt_over_the_cores(spark):
+    rows = _tree_rows(spark).coalesce(1)
+    assert models.dealt(rows, 240).rdd.getNumPartitions() == 1
+    assert models.dealt(rows, 1_000_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
