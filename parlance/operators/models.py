@@ -201,8 +201,9 @@ def fit_text_classifier(train: DataFrame, id_col: str, text_col: str, class_col:
     """Text in, class name out: TF-IDF, logistic regression over the class names of
     ``train`` (in alphabetical order) and the name of the likeliest class, as one
     pipeline that can be saved. Rows without text or class are not learned from."""
-    train = stored(train.where(F.col(text_col).isNotNull() & F.col(class_col).isNotNull())
-                   .select(id_col, text_col, class_col), "classifier-rows")
+    # Filtered as read: a filter before would make a computed text a second time, in the scan.
+    train = stored(train.where(F.col(class_col).isNotNull()).select(id_col, text_col, class_col), "classifier-rows")
+    train = train.where(F.col(text_col).isNotNull())
     tfidf_model = features.fit_tfidf(train, id_col, text_col)
     indexer = StringIndexer(inputCol=class_col, outputCol="label", stringOrderType="alphabetAsc").fit(train)
     rows = stored(features.with_features(tfidf_model, indexer.transform(train)).select("label", "features"), "features")

@@ -35,15 +35,23 @@ def _code_sql(c: str) -> str:
     return "CASE " + _CODE.format(c=c) + " END"
 
 
+def cleaned_corpus(spark, sf_dir):
+    """The corpus' (doc_id, clean_text, sentiment, sentiment_encoded), stored, without empty
+    texts. A filter on the cleaned text that is written into the plan of the corpus is
+    moved to the scan, where it cleans every document, with a label or not, and the
+    corpus' texts a second time."""
+    sc = sentiment_corpus(spark, sf_dir).select("doc_id", "clean_text", "sentiment", "sentiment_encoded")
+    return stored(sc, "clean-corpus").where(F.col("clean_text") != "")
+
+
 def split_corpus(spark, sf_dir):
-    sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id")
+    sc = splits.hash_split(cleaned_corpus(spark, sf_dir), "doc_id")
     sc = splits.folds(sc, "doc_id", K.CV_FOLDS)
-    return (sc.withColumn("label", F.col("sentiment_encoded").cast("double"))
-            .where(F.col("clean_text") != ""))
+    return sc.withColumn("label", F.col("sentiment_encoded").cast("double"))
 
 
 def _features(spark, sf_dir):
-    sc = spread(stored(split_corpus(spark, sf_dir).select("doc_id", "clean_text", "label", "fold", "split"), "split-corpus"))
+    sc = spread(split_corpus(spark, sf_dir).select("doc_id", "clean_text", "label", "fold", "split"))
     train, test = sc.where(F.col("split") == "train"), sc.where(F.col("split") == "test")
     tr, te, _, n_terms = models.featurize(train, test, "doc_id", "clean_text")
     tr, te = tr.select("doc_id", "label", "fold", "features"), te.select("doc_id", "label", "features")
@@ -207,10 +215,12 @@ def grid_checks(spark, sf_dir):
 
 @plan("intent_lr", ids=("M8", "E1", "D2", "X3"))
 def intent_lr(spark, sf_dir):
-    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", TX.clean_text("text").alias("clean_text"))
+    d = Tables(spark, sf_dir).documents.select("doc_id", "lang", "text")
     dim = fit_codes(d, "lang", "code")
     d = d.join(dim, "lang").withColumn("label", F.col("code").cast("double"))
-    d = stored(splits.stratified_split(d, "doc_id", "lang"), "intent-split")
+    # Cleaned as it is stored: the ranges of the split read the rows twice.
+    d = splits.stratified_split(d, "doc_id", "lang").withColumn("clean_text", TX.clean_text("text")).drop("text")
+    d = stored(d, "intent-split")
     train, test = d.where(F.col("split") == "train"), d.where(F.col("split") == "test")
     tr, te, _, _ = models.featurize(train, test, "doc_id", "clean_text")
     n = tr.count()
@@ -313,11 +323,11 @@ FROM u GROUP BY clean_text
 """
 
 
-def combined_train(spark, sf_dir, keys: bool = False):
+def combined_train(spark, sf_dir, keys: bool = False, corpus=None):
     """Corpus and log rows, the first row of each text kept; ``keys`` adds the
-    kept row's own key as ``doc_id``."""
-    sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id").where(F.col("split") == "train")
-    corpus, _ = sentiment_codes(sc.where(F.col("clean_text") != ""), "sentiment")
+    kept row's own key as ``doc_id``; ``corpus``: the split corpus, if it is at hand."""
+    corpus = splits.hash_split(cleaned_corpus(spark, sf_dir), "doc_id") if corpus is None else corpus
+    corpus, _ = sentiment_codes(corpus.where(F.col("split") == "train"), "sentiment")
     corpus = corpus.select("clean_text", "sentiment_encoded", F.lit(0).alias("src"),
                            F.lpad(F.col("doc_id").cast("string"), K.ID_DIGITS, "0").alias("ord"))
     log = written_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
@@ -347,7 +357,7 @@ FROM r GROUP BY ALL
 def code_quarantine(spark, sf_dir):
     """Rows of the retrain union by class name and code; names without a code are
     quarantined there, and counted here."""
-    sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id").where((F.col("split") == "train") & (F.col("clean_text") != ""))
+    sc = splits.hash_split(cleaned_corpus(spark, sf_dir), "doc_id").where(F.col("split") == "train")
     log = written_log(spark, sf_dir).dropna(subset=["user_message", "sentiment"])
     return code_report(sc.select(F.lit("corpus").alias("origin"), "sentiment").unionByName(log.select(F.lit("log").alias("origin"), "sentiment")))
 
@@ -377,9 +387,9 @@ def intent_samples(spark, sf_dir):
 def retrain_runs(spark, sf_dir):
     """Metrics history of two runs: fitted on the corpus alone (run 0) and on corpus +
     log (run 1), both measured on the unchanged test split."""
-    comb = combined_train(spark, sf_dir, keys=True).withColumn("label", F.col("sentiment_encoded").cast("double"))
-    sc = splits.hash_split(sentiment_corpus(spark, sf_dir), "doc_id")
-    test, _ = sentiment_codes(sc.where((F.col("split") == "test") & (F.col("clean_text") != "")), "sentiment")
+    sc = splits.hash_split(cleaned_corpus(spark, sf_dir), "doc_id")
+    comb = combined_train(spark, sf_dir, keys=True, corpus=sc).withColumn("label", F.col("sentiment_encoded").cast("double"))
+    test, _ = sentiment_codes(sc.where(F.col("split") == "test"), "sentiment")
     test = test.select("doc_id", "clean_text", F.col("sentiment_encoded").cast("double").alias("label"))
     comb, test = stored(comb, "retrain-rows"), stored(test, "retrain-test")
     path = scratch_path(spark, "model_metrics")
