@@ -128,7 +128,7 @@ def with_bigrams(tokens) -> Column:
     t = _col(tokens)
     pairs = F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))),
                        F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))),
-                       lambda a, b: F.concat_ws(" ", a, b))
+                       lambda a, b: F.concat(a, F.lit(" "), b))
     return F.when(F.size(t) > 1, F.concat(t, pairs)).otherwise(t)
 
 

@@ -94,8 +94,8 @@ class _TermVectorReader(MLReader):
 def fit_tfidf(train: DataFrame, id_col: str, text_col: str, ngrams=K.TFIDF_NGRAMS, min_df: int = K.TFIDF_MIN_DF,
               max_terms: int = K.TFIDF_MAX_TERMS, sublinear: bool = True, out: str = "features") -> PipelineModel:
     """TF-IDF stages fitted on ``train``: text column -> L2-normalised sparse vector."""
-    counts = tfidf.term_counts(train, id_col, text_col, ngrams)
-    vocabulary = tfidf.fit_vocabulary(counts, tfidf.doc_count(train), min_df, max_terms)
+    totals = tfidf.term_totals(train, text_col, ngrams)
+    vocabulary = tfidf.vocabulary_of(totals, tfidf.doc_count(train), min_df, max_terms)
     rows = vocabulary.select("term_index", "term", "idf").orderBy("term_index").collect()  # at most max_terms
     stage = TermVector(inputCol=text_col, outputCol="__tf", ngrams=list(ngrams), sublinear=sublinear, vocabulary=[r.term for r in rows])
     idf = ElementwiseProduct(scalingVec=Vectors.dense([r.idf for r in rows]), inputCol="__tf", outputCol="__tfidf")

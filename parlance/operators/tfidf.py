@@ -3,7 +3,9 @@
 Documents become ``(id, term, tf)`` rows: tokens are exploded inside the scan
 stage and counted with a partial (map-side) aggregate, so only distinct
 (doc, term) pairs cross the shuffle. Document frequencies are a second
-partial aggregate; a hot term is combined map-side like any other.
+partial aggregate; a hot term is combined map-side like any other. Where only the
+totals by term are wanted (``term_totals``, the classifiers' vocabulary), a task
+sorts its terms as numbers in numpy and sends its distinct terms alone.
 
 Weights follow the smooth IDF of the common vectorizer:
 ``idf = ln((1 + n) / (1 + df)) + 1``, tf raw or sublinear ``1 + ln(tf)``,
@@ -13,6 +15,9 @@ so it is broadcast; without a cap it is joined by shuffle.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +75,76 @@ def term_counts(df: DataFrame, id_col: str, text_col: str, ngrams=(1, 1)) -> Dat
     return d.select("id", "__p.term", F.col("__p.tf").cast("long").alias("tf")).where(F.col("term").isNotNull())
 
 
+#: Tokens that are sorted together; documents and distinct words told apart meanwhile
+#: (16 bits of a key number the document, 24 each word). Documents are added by slices.
+TALLIED, TALLIED_DOCS, TALLIED_WORDS, SLICE = 4_000_000, 1 << 16, 1 << 24, 256
+
+
+class _Tally:
+    """df and cf of the terms of some documents: a term is a key of its words' numbers, a
+    (term, document) occurrence one 64-bit number, and all are sorted at once."""
+
+    def __init__(self, ngrams):
+        self.ngrams = ngrams
+        self.number: dict[str, int] = {}
+        self.keys: list[np.ndarray] = []
+        self.docs = self.tokens = 0
+
+    def full(self, docs: int, words: int) -> bool:
+        return self.tokens > TALLIED or self.docs + docs > TALLIED_DOCS or len(self.number) + words >= TALLIED_WORDS
+
+    def add(self, lengths: np.ndarray, words: list[str], word_of: np.ndarray) -> None:
+        """Documents of ``lengths`` tokens; token i is ``words[word_of[i]]``."""
+        number = self.number  # from 1: 0 stands for no second word
+        of = np.array([number.setdefault(w, len(number) + 1) for w in words], np.uint64)[word_of]
+        doc = np.repeat(np.arange(self.docs, self.docs + len(lengths), dtype=np.uint64), lengths)
+        if len(number) >= TALLIED_WORDS:
+            raise ValueError(f"{SLICE} documents hold more than {TALLIED_WORDS} different words")
+        if self.ngrams[0] < 2:
+            self.keys.append((of << np.uint64(40)) | doc)
+        if self.ngrams[1] >= 2:
+            pair = (of[:-1] << np.uint64(40)) | (of[1:] << np.uint64(16)) | doc[1:]
+            self.keys.append(pair[doc[:-1] == doc[1:]])
+        self.docs += len(lengths)
+        self.tokens += len(of)
+
+    def rows(self) -> pa.RecordBatch:
+        keys = np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64)
+        keys.sort()
+        new = np.r_[True, keys[1:] != keys[:-1]][:len(keys)]
+        at = np.flatnonzero(new)  # first of each (term, document)
+        term = keys[at] >> np.uint64(16)
+        begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][:len(term)])
+        df = np.diff(np.r_[begins, len(term)])
+        cf = np.diff(np.r_[at[begins], len(keys)])
+        words = pa.array(["", *self.number], pa.string())
+        a, b = (term[begins] >> np.uint64(24)).astype(np.int64), (term[begins] & np.uint64((1 << 24) - 1)).astype(np.int64)
+        names = words.take(pa.array(a))
+        pairs = pc.binary_join_element_wise(names, words.take(pa.array(b)), " ")
+        return pa.RecordBatch.from_arrays([pc.if_else(pa.array(b > 0), pairs, names), pa.array(df, pa.int64()), pa.array(cf, pa.int64())],
+                                          names=["term", "df", "cf"])
+
+
+def term_totals(df: DataFrame, text_col: str, ngrams=(1, 1)) -> DataFrame:
+    """(term, df, cf) over all documents: ``term_counts`` added up by term. A task sorts
+    its documents' terms as numbers, so that only its distinct terms become rows."""
+    def tally(batches):
+        held = _Tally(ngrams)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                tokens = batch.column("tokens").slice(lo, SLICE)
+                lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
+                coded = tokens.flatten().dictionary_encode()
+                if held.full(len(lengths), len(coded.dictionary)):
+                    yield held.rows()
+                    held = _Tally(ngrams)
+                held.add(lengths, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
+        yield held.rows()
+
+    rows = df.select(vector_tokens(text_col).alias("tokens")).mapInArrow(tally, "term string, df long, cf long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
 def doc_count(df: DataFrame) -> DataFrame:
     """One-row frame with the number of documents ``n``."""
     return df.agg(F.count(F.lit(1)).cast("double").alias("n"))
@@ -81,6 +156,11 @@ def fit_vocabulary(tf: DataFrame, n_docs: DataFrame, min_df: int = 1,
     ``max_terms`` most frequent by corpus count (ties by term), indexed in
     alphabetical order."""
     stats = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    return vocabulary_of(stats, n_docs, min_df, max_terms)
+
+
+def vocabulary_of(stats: DataFrame, n_docs: DataFrame, min_df: int = 1, max_terms: int | None = None) -> DataFrame:
+    """``fit_vocabulary`` of (term, df, cf) rows."""
     if min_df > 1:
         stats = stats.where(F.col("df") >= min_df)
     if max_terms:

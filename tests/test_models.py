@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from parlance.operators import encode, external, features, models, splits, turns
+from parlance.operators import encode, external, features, models, splits, tfidf, turns
 from parlance.plans import feature_plans, model_plans
 from parlance.sources import modelstore
 from parlance.streaming import jobs
@@ -211,3 +211,24 @@ def test_tree_rows_are_dealt_over_the_cores(spark):
     rows = _tree_rows(spark).coalesce(1)
     assert models.dealt(rows, 240).rdd.getNumPartitions() == 1
     assert models.dealt(rows, 1_000_000).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_term_totals_are_the_summed_term_counts_of_any_split_into_tallies(spark, monkeypatch):
+    """df and cf of a task's sorted numbers equal the (document, term) rows added up, also
+    where a task starts anew, for null, empty, one-word and non-ASCII texts."""
+    texts = [None, "", "a", "one", "one one", "one two one two", "zwei Zwei été ÉTÉ x", "two one", "one"] * 150
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string").repartition(3)
+    for tallied in (tfidf.TALLIED, 5):
+        monkeypatch.setattr(tfidf, "TALLIED", tallied)
+        for ngrams in ((1, 1), (1, 2), (2, 2)):
+            counts = tfidf.term_counts(df, "id", "text", ngrams).groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+            assert sorted(map(tuple, tfidf.term_totals(df, "text", ngrams).collect())) == sorted(map(tuple, counts.collect()))
+
+
+def test_fitting_the_vocabulary_makes_no_row_per_document_and_term(spark):
+    """The vocabulary's aggregate meets a task's distinct terms, not its documents' ones."""
+    df = spark.range(4000).select(F.col("id"), F.lit("same words again").alias("text")).coalesce(1)
+    plan = tfidf.term_totals(df, "text", (1, 2))._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan
+    assert {(r.term, r.df, r.cf) for r in tfidf.term_totals(df, "text", (1, 2)).collect()} == {
+        (t, 4000, 4000) for t in ("same", "words", "again", "same words", "words again")}
