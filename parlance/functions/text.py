@@ -29,10 +29,17 @@ WS_RUN = f"[{WS}]+"
 _KEPT = f"a-zA-Z0-9{WS}?.!,'"
 CLEAN_PASS = (f"((?:[a-gi-vx-zA-Z0-9{WS}?.!,']++|h(?!ttp[^{WS}])|w(?!ww[^{WS}]))*+)"
               f"(?:http[^{WS}]+|www[^{WS}]+|[^{_KEPT}]+|\\z)")
+# Texts without a URL take the runs of kept characters, then the words, out of the
+# text: such a search runs through what it keeps and makes no pattern step per
+# character. The class is a union whose ASCII part is asked first.
+MAY_HOLD_URL = ("http", "www")
+KEPT_RUN = f"[[a-z0-9?.!,'\\x09-\\x0D\\x1C-\\x20][{WS}]]+"
+CLEAN_WORD = "[a-z0-9?.!,']+"
 # Word tokens of the keyword override: \b[a-z']+\b on cleaned text.
 KEYWORD_TOKEN = r"\b[a-z']+\b"
 # Vectorizer tokens: two or more word characters, Unicode-aware.
-VECTOR_TOKEN = r"(?U)\b\w\w+\b"
+# A greedy run from the first word character on begins and ends at a word boundary.
+VECTOR_TOKEN = r"(?U)\w\w+"
 SENTENCE_END = f"[.!?][{WS}]+"
 
 
@@ -43,9 +50,14 @@ def _col(c) -> Column:
 def clean_text(c) -> Column:
     """lower -> drop URLs -> keep [a-zA-Z0-9 whitespace ?.!,'] -> collapse whitespace -> strip."""
     c = F.lower(_col(c))
-    c = F.regexp_replace(c, CLEAN_PASS, "$1")
-    c = F.regexp_replace(c, WS_RUN, " ")
-    return F.trim(c)
+    may_hold_url = F.contains(c, F.lit(MAY_HOLD_URL[0])) | F.contains(c, F.lit(MAY_HOLD_URL[1]))
+    without_urls = F.trim(F.regexp_replace(F.regexp_replace(c, CLEAN_PASS, "$1"), WS_RUN, " "))
+    return F.when(may_hold_url, without_urls).otherwise(_runs(_runs(c, KEPT_RUN, ""), CLEAN_WORD, " "))
+
+
+def _runs(c, pattern: str, sep: str) -> Column:
+    """The matches of ``pattern`` in ``c``, joined by ``sep``."""
+    return F.array_join(F.regexp_extract_all(c, F.lit(pattern), 0), sep)
 
 
 def strip_ws(c) -> Column:

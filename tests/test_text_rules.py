@@ -165,3 +165,29 @@ def test_shape_report_and_landing(spark):
     back = spark.read.schema(df.schema).option("header", True).option("multiLine", True).option(
         "escape", '"').csv(path)
     assert sorted(back.collect()) == sorted(df.collect())
+
+
+def test_texts_without_a_url_are_cleaned_by_runs_as_by_the_two_passes(spark):
+    """The same result as URL removal, character filter and white space in turn, for
+    both ways of cleaning; no replacing pattern runs over a text without a URL."""
+    import random
+
+    rng = random.Random(5)
+    parts = ["a", "B", "h", "w", "http", "www", "ww", "htt", "x9", " ", "  ", "\t", "\x1c", "\x85", " ", "　", "%", "é", "İ", "K",
+             "\U0001f389", "?", ".", "'", "_", "[", "\\"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(600)] + [None, "", " ", "%", "é"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    low = F.lower("x")
+    turn = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(low, TX.URL_PATTERN, ""), TX.NON_KEPT_CHARS, ""), TX.WS_RUN, " "))
+    got = df.select("x", TX.clean_text("x").alias("got"), turn.alias("want"))
+    assert got.where(~F.col("got").eqNullSafe(F.col("want"))).collect() == []
+    plan = got.select("got")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2 and "CASE WHEN (Contains" in plan
+
+
+def test_vector_tokens_are_those_between_word_boundaries(spark):
+    texts = ["a bc, d_e f", "été à l'école", "x́y ź", "ab‍cd e", "12 3 4a", "", None, "हिन्दी a", "-ab-", "a" * 50]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    bounded = F.regexp_extract_all(F.lower("x"), F.lit(r"(?U)\b\w\w+\b"), 0)
+    assert df.where(~TX.vector_tokens("x").eqNullSafe(bounded)).collect() == []
+    assert r"\b" not in TX.VECTOR_TOKEN  # a boundary is looked for at every character
