@@ -30,8 +30,9 @@ RUN = re.compile(r"[!-&(-/:-@\[-`{-~](?<![^\w\s].)(?<!_.)[!-&(-/:-@\[-`{-~]*+(?!
 SPLIT = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters whose lower case depends on their neighbours, or is two letters.
 FOLDS_BY_PLACE = "\u03a3\u0130"
-#: Distinct pieces remembered by a worker, in each of two generations.
-REMEMBERED = 300_000
+#: Distinct pieces remembered by a worker, in each of two generations (about 200 bytes
+#: a piece, 240 MB at most in all). A text's rare words are most of what is learned again.
+REMEMBERED = 600_000
 END_ID = 1
 
 

@@ -640,3 +640,18 @@ def test_large_group_of_near_copies(spark, monkeypatch):
 def test_band_count_reaches_its_recall():
     b = jaccard_join.band_count()
     assert 1 - (1 - 0.8 ** 7) ** b >= 0.9999
+
+
+def test_a_large_vocabulary_is_learned_once():
+    enc = tokens.WordEncoder(tokens.default_path())
+    learned = []
+
+    def learn(pieces):
+        learned.extend(pieces)
+        enc.new.update(dict.fromkeys(pieces, b"\2\0"))
+
+    enc._learn = learn
+    texts = [" ".join(f"w{i}" for i in range(lo, lo + 500)) for lo in range(0, 450_000, 500)]
+    for _ in range(2):
+        assert all(len(ids) == 2 * 501 for ids in enc.many(texts))
+    assert len(learned) == 450_000
