@@ -104,6 +104,8 @@ PERCENT_DIGITS = 2
 
 # Training rows per partition for iterative Spark ML fits.
 ML_ROWS_PER_PARTITION = 50_000
+# Rows that are worth a task of their own while cores are idle.
+ML_LEAST_ROWS_PER_TASK = 5_000
 # A tree's pass reads all terms of a row, present or not: a row costs some 25 times as much.
 ML_TREE_ROWS_PER_PARTITION = 2_000
 

@@ -1,7 +1,8 @@
 """Fitted text features as Spark ML stages.
 
 A document's terms are counted, weighted and normalised inside its row by JVM
-stages, so neither a (document, term) row nor a Python worker is involved:
+stages, so neither a (document, term) row nor (but for whole training sets,
+``stored_features``) a Python worker is involved:
 ``TermVector`` (tokens, n-grams, counts by vocabulary), ``ElementwiseProduct`` (the
 idf), ``Normalizer``. The vocabulary is at most ``max_terms`` rows, the one thing
 that comes to the driver. All stages can be saved and loaded, so a pipeline of
@@ -23,6 +24,7 @@ from pyspark.sql import types as T
 
 from parlance.functions import constants as K
 from parlance.operators import tfidf
+from parlance.session import scratch_path
 
 _ONE_VECTOR = T.StructType([T.StructField("v", VectorUDT())])
 
@@ -94,7 +96,7 @@ class _TermVectorReader(MLReader):
 def fit_tfidf(train: DataFrame, id_col: str, text_col: str, ngrams=K.TFIDF_NGRAMS, min_df: int = K.TFIDF_MIN_DF,
               max_terms: int = K.TFIDF_MAX_TERMS, sublinear: bool = True, out: str = "features") -> PipelineModel:
     """TF-IDF stages fitted on ``train``: text column -> L2-normalised sparse vector."""
-    totals = tfidf.term_totals(train, text_col, ngrams)
+    totals = tfidf.frequent_totals(train, text_col, ngrams, min_df, max_terms)
     vocabulary = tfidf.vocabulary_of(totals, tfidf.doc_count(train), min_df, max_terms)
     rows = vocabulary.select("term_index", "term", "idf").orderBy("term_index").collect()  # at most max_terms
     stage = TermVector(inputCol=text_col, outputCol="__tf", ngrams=list(ngrams), sublinear=sublinear, vocabulary=[r.term for r in rows])
@@ -111,6 +113,19 @@ def with_features(model: PipelineModel, df: DataFrame, out: str = "features") ->
     return model.transform(df).select(*[F.col(f"`{c}`") for c in df.columns], out)
 
 
+def stored_features(model: PipelineModel, df: DataFrame, out: str = "features") -> DataFrame:
+    """``with_features`` of a whole training set, without its text, stored once. The
+    vectors are made in numpy, batch by batch, and written as the struct that a vector
+    is in a file, so that reading them back gives vectors."""
+    counts, idf, _ = model.stages
+    rows = tfidf.weighed(df, counts.getInputCol(), counts.vocabulary, idf.getScalingVec().toArray(), tuple(counts.getOrDefault(counts.ngrams)),
+                         counts.getOrDefault(counts.sublinear), out)
+    path = scratch_path(df.sparkSession, "features")
+    rows.write.parquet(path)
+    vectors = T.StructType([T.StructField(f.name, VectorUDT() if f.name == out else f.dataType) for f in rows.schema])
+    return df.sparkSession.read.schema(vectors).parquet(path)
+
+
 def long_weights(model: PipelineModel, df: DataFrame, id_col: str) -> DataFrame:
     """(id, term, term_index, weight) of every document, its terms taken out of its own
     row; the vocabulary (at most max_terms rows) is broadcast."""

@@ -29,11 +29,11 @@ from parlance.sources.landing import stored
 def featurize(train: DataFrame, test: DataFrame, id_col: str, text_col: str):
     """Fit the classifiers' TF-IDF on train; (train_vec, test_vec, model, n_terms).
 
-    The vectors are made inside the rows and stored once: an iterative fit and its
-    folds read the stored table.
+    The vectors are stored once, without the texts: an iterative fit and its folds
+    read the stored table.
     """
     model = features.fit_tfidf(train, id_col, text_col)
-    tr, te = (stored(features.with_features(model, d), "features") for d in (train, test))
+    tr, te = (features.stored_features(model, d) for d in (train, test))
     return tr, te, model, len(features.vocabulary_of(model))
 
 
@@ -41,10 +41,12 @@ def sized(df: DataFrame, n_rows: int, rows_per_partition: int = K.ML_ROWS_PER_PA
     """Fewer partitions for a small training set (no shuffle).
 
     An iterative fit runs one job per iteration; on a few hundred rows the
-    task overhead of many partitions dominates. A large set keeps its
-    partitions: the target grows with the row count.
+    task overhead of many partitions dominates. A set that has work for every
+    core keeps them busy, and a large set keeps its partitions: the target grows
+    with the row count.
     """
-    target = max(1, -(-n_rows // rows_per_partition))
+    busy = min(df.sparkSession.sparkContext.defaultParallelism, n_rows // K.ML_LEAST_ROWS_PER_TASK)
+    target = max(1, busy, -(-n_rows // rows_per_partition))
     return df.coalesce(target) if df.rdd.getNumPartitions() > target else df
 
 
@@ -206,7 +208,7 @@ def fit_text_classifier(train: DataFrame, id_col: str, text_col: str, class_col:
     train = train.where(F.col(text_col).isNotNull())
     tfidf_model = features.fit_tfidf(train, id_col, text_col)
     indexer = StringIndexer(inputCol=class_col, outputCol="label", stringOrderType="alphabetAsc").fit(train)
-    rows = stored(features.with_features(tfidf_model, indexer.transform(train)).select("label", "features"), "features")
+    rows = features.stored_features(tfidf_model, indexer.transform(train).select(text_col, "label"))
     n = rows.count()
     family = "binomial" if len(indexer.labels) <= 2 else "multinomial"
     fitted = logistic(n).setFamily(family).fit(sized(rows, n))

@@ -5,7 +5,8 @@ stage and counted with a partial (map-side) aggregate, so only distinct
 (doc, term) pairs cross the shuffle. Document frequencies are a second
 partial aggregate; a hot term is combined map-side like any other. Where only the
 totals by term are wanted (``term_totals``, the classifiers' vocabulary), a task
-sorts its terms as numbers in numpy and sends its distinct terms alone.
+sorts its terms as numbers in numpy and sends its distinct terms alone; the
+training sets' vectors (``weighed``) are made of such numbers too.
 
 Weights follow the smooth IDF of the common vectorizer:
 ``idf = ln((1 + n) / (1 + df)) + 1``, tf raw or sublinear ``1 + ln(tf)``,
@@ -18,13 +19,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from parlance.functions import constants as K
 from parlance.functions.text import vector_tokens, with_bigrams
 from parlance.operators.ordered import row_number_within
+from parlance.sources.landing import stored
 
 
 def _with_ngrams(df: DataFrame, text_col: str, ngrams=(1, 1), out: str = "__all") -> DataFrame:
@@ -108,7 +112,9 @@ class _Tally:
         self.docs += len(lengths)
         self.tokens += len(of)
 
-    def rows(self) -> pa.RecordBatch:
+    def rows(self, most: int | None = None) -> pa.RecordBatch:
+        """(term, df, cf); with ``most``, of the so many most frequent terms, and then
+        ``rest``: what a term left out occurs at most."""
         keys = np.concatenate(self.keys) if self.keys else np.empty(0, np.uint64)
         keys.sort()
         new = np.r_[True, keys[1:] != keys[:-1]][:len(keys)]
@@ -117,34 +123,222 @@ class _Tally:
         begins = np.flatnonzero(np.r_[True, term[1:] != term[:-1]][:len(term)])
         df = np.diff(np.r_[begins, len(term)])
         cf = np.diff(np.r_[at[begins], len(keys)])
+        rest = 0
+        if most is not None and len(cf) > most:
+            by_cf = np.argpartition(-cf, most)
+            rest = int(cf[by_cf[most]])
+            df, cf, begins = (x[by_cf[:most]] for x in (df, cf, begins))
         words = pa.array(["", *self.number], pa.string())
         a, b = (term[begins] >> np.uint64(24)).astype(np.int64), (term[begins] & np.uint64((1 << 24) - 1)).astype(np.int64)
         names = words.take(pa.array(a))
         pairs = pc.binary_join_element_wise(names, words.take(pa.array(b)), " ")
-        return pa.RecordBatch.from_arrays([pc.if_else(pa.array(b > 0), pairs, names), pa.array(df, pa.int64()), pa.array(cf, pa.int64())],
-                                          names=["term", "df", "cf"])
+        out = [pc.if_else(pa.array(b > 0), pairs, names), pa.array(df, pa.int64()), pa.array(cf, pa.int64())]
+        if most is not None:
+            # a row without a term says that this tally is there, whatever it kept
+            out = [pa.concat_arrays([x, y]) for x, y in zip(out, (pa.nulls(1, pa.string()), pa.array([0]), pa.array([0])))]
+            out.append(pa.array(np.full(len(cf) + 1, rest), pa.int64()))
+        return pa.RecordBatch.from_arrays(out, names=["term", "df", "cf", "rest"][:len(out)])
+
+
+def tokenized(df: DataFrame, text_col: str, *kept) -> DataFrame:
+    """``kept`` columns, the text where it is ASCII (``ascii``), else its tokens
+    (``tokens``): what ``tokens_of`` reads. The regex runs on the other texts alone."""
+    c = F.col(f"`{text_col}`")
+    plain = F.octet_length(c) == F.length(c)
+    return df.select(*kept, F.when(plain, c).alias("ascii"), F.when(~plain, vector_tokens(c)).alias("tokens"))
+
+
+#: Lower-cased word characters of ASCII by byte, 0 for all other bytes.
+_WORD_BYTES = np.zeros(256, np.uint8)
+for _c in b"abcdefghijklmnopqrstuvwxyz0123456789_":
+    _WORD_BYTES[_c] = _WORD_BYTES[ord(chr(_c).upper())] = _c
+
+
+def _ascii_tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """``vector_tokens`` of ASCII texts: number of tokens of each, all tokens. The bytes
+    of a batch are classed at once; runs of word characters end where a text does."""
+    at = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1]
+    data = texts.buffers()[2]
+    if at[0] == at[-1]:
+        return np.zeros(len(texts), np.int64), pa.array([], pa.string())
+    folded = _WORD_BYTES[np.frombuffer(data, np.uint8)[at[0]:at[-1]]]
+    at = at - at[0]
+    word = folded != 0
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1]
+    ends[:-1] &= ~word[1:]
+    inner = at[(at > 0) & (at < at[-1])]
+    begins[inner] = word[inner]
+    ends[inner - 1] = word[inner - 1]
+    first, size = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    size -= first
+    word[first[size < 2]] = False
+    first, size = first[size >= 2], size[size >= 2]
+    offsets = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    found = pa.StringArray.from_buffers(len(size), pa.py_buffer(offsets), pa.py_buffer(folded[word]))
+    return np.diff(np.searchsorted(first, at)), found
+
+
+def tokens_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list[str], np.ndarray]:
+    """(order, lengths, words, word_of) of ``tokenized`` rows: row ``order[k]`` has
+    ``lengths[k]`` tokens; token i of all is ``words[word_of[i]]``. A null has none."""
+    lengths, found = _ascii_tokens(pc.fill_null(batch.column("ascii"), ""))
+    order = np.arange(len(lengths))
+    listed = batch.column("tokens")
+    if listed.null_count < len(listed):
+        # ASCII and null texts first, then the texts whose tokens are listed
+        is_listed = listed.is_valid().to_numpy(zero_copy_only=False)
+        order = np.concatenate((order[~is_listed], order[is_listed]))
+        others = pc.list_value_length(listed).drop_null().to_numpy(zero_copy_only=False)
+        lengths = np.concatenate((lengths[~is_listed], others))
+        found = pa.concat_arrays([found, listed.flatten()])
+    coded = found.dictionary_encode()
+    return order, lengths.astype(np.int64), coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+
+
+def _tallied(df: DataFrame, text_col: str, ngrams, schema: str, most: int | None = None) -> DataFrame:
+    def tally(batches):
+        held = _Tally(ngrams)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                _, lengths, words, word_of = tokens_of(batch.slice(lo, SLICE))
+                if held.full(len(lengths), len(words)):
+                    yield held.rows(most)
+                    held = _Tally(ngrams)
+                held.add(lengths, words, word_of)
+        yield held.rows(most)
+
+    return tokenized(df, text_col).mapInArrow(tally, schema)
 
 
 def term_totals(df: DataFrame, text_col: str, ngrams=(1, 1)) -> DataFrame:
     """(term, df, cf) over all documents: ``term_counts`` added up by term. A task sorts
     its documents' terms as numbers, so that only its distinct terms become rows."""
-    def tally(batches):
-        held = _Tally(ngrams)
+    rows = _tallied(df, text_col, ngrams, "term string, df long, cf long")
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+
+
+#: Terms that a tally tells of, and terms counted again, per term wanted.
+TOLD, RECOUNTED = 8, 20
+
+
+def frequent_totals(df: DataFrame, text_col: str, ngrams, min_df: int, max_terms: int) -> DataFrame:
+    """``term_totals`` of terms that hold the ``max_terms`` most frequent ones of at least
+    ``min_df`` documents. A tally tells its most frequent terms and how often one that it
+    leaves out occurs at most; the terms whose total may then reach the last one
+    wanted are counted again. Where that bound leaves too many, all terms are added up."""
+    told = stored(_tallied(df, text_col, ngrams, "term string, df long, cf long, rest long", TOLD * max_terms), "told-terms")
+    unseen = told.where("term is null").agg(F.sum("rest")).first()[0] or 0
+    sums = told.where("term is not null").groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"), F.sum("rest").alias("met"))
+    if not unseen:
+        return sums.drop("met")
+    wanted = sums.where(F.col("df") >= min_df).orderBy(F.desc("cf")).limit(max_terms).agg(F.count(F.lit(1)), F.min("cf")).first()
+    least = wanted[1] if wanted[0] == max_terms else 0
+    if unseen < least:
+        likely = sums.where(F.col("cf") + unseen - F.col("met") >= least).select("term").limit(RECOUNTED * max_terms + 1)
+        terms = [r.term for r in likely.collect()]
+        if len(terms) <= RECOUNTED * max_terms:
+            return recounted(df, text_col, terms, ngrams)
+    return term_totals(df, text_col, ngrams)
+
+
+def recounted(df: DataFrame, text_col: str, terms: list[str], ngrams) -> DataFrame:
+    """``term_totals`` of the given terms alone, one row per task and term met."""
+    def count(batches):
+        finder, totals = Finder(terms, ngrams), np.zeros((2, len(terms)), np.int64)
         for batch in batches:
             for lo in range(0, batch.num_rows, SLICE):
-                tokens = batch.column("tokens").slice(lo, SLICE)
-                lengths = pc.fill_null(pc.list_value_length(tokens), 0).to_numpy(zero_copy_only=False)
-                coded = tokens.flatten().dictionary_encode()
-                if held.full(len(lengths), len(coded.dictionary)):
-                    yield held.rows()
-                    held = _Tally(ngrams)
-                held.add(lengths, coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False))
-        yield held.rows()
+                _, *tokens = tokens_of(batch.slice(lo, SLICE))
+                _, term, tf = finder.counts(*tokens)
+                totals += np.bincount(term, minlength=len(terms)), np.bincount(term, tf, len(terms)).astype(np.int64)
+        met = np.flatnonzero(totals[0])
+        yield pa.RecordBatch.from_arrays([pa.array(terms, pa.string()).take(pa.array(met)), *(pa.array(x[met]) for x in totals)], names=["term", "df", "cf"])
 
-    rows = df.select(vector_tokens(text_col).alias("tokens")).mapInArrow(tally, "term string, df long, cf long")
+    rows = tokenized(df, text_col).mapInArrow(count, "term string, df long, cf long")
     return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
 
 
+class Finder:
+    """Counts of given terms (by their place in the list) in batches of tokens."""
+
+    def __init__(self, terms, ngrams):
+        self.size = len(terms)
+        single = [(t, k) for k, t in enumerate(terms) if " " not in t and ngrams[0] < 2]
+        double = [(t.split(" "), k) for k, t in enumerate(terms) if " " in t and ngrams[1] >= 2]
+        self.number: dict[str, int] = {}
+        for w in (*(t for t, _ in single), *(w for pair, _ in double for w in pair)):
+            self.number.setdefault(w, len(self.number))
+        self.term = np.full(len(self.number) + 1, -1, np.int64)  # the last place: unknown words
+        self.term[[self.number[t] for t, _ in single]] = [k for _, k in single]
+        pairs = sorted((self._pair(*(self.number[w] for w in pair)), k) for pair, k in double)
+        self.pairs, self.pair_term = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+
+    def _pair(self, a, b):
+        return a * (len(self.number) + 1) + b
+
+    def counts(self, lengths: np.ndarray, words: list[str], word_of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, term, tf), sorted by document and term."""
+        unknown, size = len(self.number), max(self.size, 1)
+        of = np.array([self.number.get(w, unknown) for w in words], np.int64)[word_of]
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int64), lengths)
+        term = self.term[of]
+        keys = [(doc * size + term)[term >= 0]]
+        if len(self.pairs):
+            both = np.flatnonzero((doc[:-1] == doc[1:]) & (of[:-1] < unknown) & (of[1:] < unknown))
+            pair = self._pair(of[both], of[both + 1])
+            place = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+            hit = self.pairs[place] == pair
+            keys.append(doc[both[hit]] * size + self.pair_term[place[hit]])
+        key, tf = np.unique(np.concatenate(keys), return_counts=True)
+        return *np.divmod(key, size), tf
+
+
+def _vectors(finder: Finder, idf: np.ndarray, damped: np.ndarray | None, tokens) -> pa.Array:
+    """One sparse vector (type, size, indices, values) per document, as ``TermVector``,
+    the idf product and the normalizer give them; ``damped``: 1 + ln(tf) by tf."""
+    n = len(tokens[0])
+    doc, term, tf = finder.counts(*tokens)
+    if damped is None:
+        values = tf.astype(np.float64)
+    else:
+        values = damped[np.minimum(tf, len(damped) - 1)]
+        over = tf >= len(damped)
+        values[over] = 1.0 + np.log(tf[over])
+    values *= idf[term]
+    norm = np.sqrt(np.bincount(doc, values * values, n))[doc]
+    values /= np.where(norm == 0, 1.0, norm)
+    offsets = pa.array(np.searchsorted(doc, np.arange(n + 1)).astype(np.int32))
+    return pa.StructArray.from_arrays(
+        [pa.array(np.zeros(n, np.int8)), pa.array(np.full(n, finder.size, np.int32)),
+         pa.ListArray.from_arrays(offsets, pa.array(term.astype(np.int32))), pa.ListArray.from_arrays(offsets, pa.array(values))],
+        names=["type", "size", "indices", "values"])
+
+
+#: Counts whose 1 + ln(tf) comes from Spark, whose logarithm may differ in the last bit.
+DAMPED = 4096
+
+
+def weighed(df: DataFrame, text_col: str, vocabulary, idf, ngrams, sublinear: bool, out: str) -> DataFrame:
+    """``df`` without its text, with each text's sparse vector as the struct ``out``."""
+    kept = [c for c in df.columns if c != text_col]
+    damped = None
+    if sublinear:
+        rows = df.sparkSession.range(1, DAMPED, 1, 1).select("id", (1.0 + F.log("id")).alias("x")).collect()
+        damped = np.array([0.0, *(r.x for r in sorted(rows))])
+
+    def work(batches):
+        finder, scale = Finder(vocabulary, ngrams), np.asarray(idf, np.float64)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, SLICE):
+                some = batch.slice(lo, SLICE)
+                order, *tokens = tokens_of(some)
+                vectors = _vectors(finder, scale, damped, tokens).take(pa.array(np.argsort(order)))
+                yield pa.RecordBatch.from_arrays([*(some.column(c) for c in kept), vectors], names=[*kept, out])
+
+    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(out, VectorUDT.sqlType())])
+    return tokenized(df, text_col, *(F.col(f"`{c}`") for c in kept)).mapInArrow(work, schema)
+
+
 def doc_count(df: DataFrame) -> DataFrame:
     """One-row frame with the number of documents ``n``."""
     return df.agg(F.count(F.lit(1)).cast("double").alias("n"))

@@ -232,3 +232,69 @@ def test_fitting_the_vocabulary_makes_no_row_per_document_and_term(spark):
     assert "Generate" not in plan and "MapInArrow" in plan
     assert {(r.term, r.df, r.cf) for r in tfidf.term_totals(df, "text", (1, 2)).collect()} == {
         (t, 4000, 4000) for t in ("same", "words", "again", "same words", "words again")}
+
+
+def test_stored_vectors_are_those_of_the_stages(spark):
+    """Vectors made in numpy equal the JVM stages' ones bit by bit, in rows and order, and
+    the regex is asked for texts that are not ASCII alone."""
+    texts = [None, "", "a", "one", "One one_2 a one", "it's one.two,ONE two", "zwei Zwei été ÉTÉ x", "two one", "İstanbul one two", "b one", "two", "x"]
+    train = spark.createDataFrame([(i, t, f"k{i % 3}") for i, t in enumerate(texts * 60)], "id long, text string, kind string").repartition(3)
+    for ngrams, sublinear in (((1, 2), True), ((1, 1), False), ((2, 2), True)):
+        model = features.fit_tfidf(train, "id", "text", ngrams, min_df=1, sublinear=sublinear)
+        stored = features.stored_features(model, train)
+        assert stored.columns == ["id", "kind", "features"]
+        want = {r.id: (r.kind, r.features) for r in features.with_features(model, train).collect()}
+        assert {r.id: (r.kind, r.features) for r in stored.collect()} == want
+    plan = _plan(tfidf.weighed(train, "text", ["one"], [1.0], (1, 1), True, "v"))
+    assert "MapInArrow" in plan and "from_json" not in plan
+    many = spark.createDataFrame([(k, " ".join(["one"] * k + ["two"])) for k in (3, 5, 4095, 4096, 5000)], "id long, text string")
+    got, want = ({r.id: r.features for r in f(model, many).collect()} for f in (features.stored_features, features.with_features))
+    assert got.keys() == want.keys() and all(abs(got[k].values - want[k].values).max() < 1e-15 for k in got)
+
+
+def test_tokens_of_a_batch_are_the_vectorizer_tokens(spark):
+    rng = random.Random(3)
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices("abzAZ09_ .,'\n-é漢", k=rng.randint(0, 12))) for _ in range(3000)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    batch = tfidf.tokenized(df, "text").toArrow().combine_chunks().to_batches()[0]
+    want = df.select(F.coalesce(tfidf.vector_tokens("text"), F.array().cast("array<string>")).alias("t")).toArrow()["t"].to_pylist()
+    for lo, n in ((0, 3000), (17, 256), (2999, 1)):
+        order, lengths, words, word_of = tfidf.tokens_of(batch.slice(lo, n))
+        flat, at, got = [words[i] for i in word_of], 0, [None] * n
+        for row, size in zip(order, lengths):
+            got[row], at = flat[at:at + size], at + size
+        assert got == want[lo:lo + n]
+
+
+def test_a_training_set_with_work_for_every_core_is_spread_over_them(spark):
+    rows = spark.range(0, 100, 1, 64)
+    cores = spark.sparkContext.defaultParallelism
+    assert models.sized(rows, 4_000).rdd.getNumPartitions() == 1
+    assert models.sized(rows, 40_000).rdd.getNumPartitions() == min(cores, 8)
+    assert models.sized(rows, 10_000_000).rdd.getNumPartitions() == 64
+
+
+def test_vocabulary_of_the_terms_told_is_that_of_all_terms(spark, monkeypatch):
+    """Few terms told by many tallies, terms that are frequent in some of them alone, and
+    equal counts at the end of the vocabulary; a text without frequent terms adds all up."""
+    rng = random.Random(8)
+    words = [f"w{i:03d}" for i in range(300)]
+    weights = [1 / (i + 1) for i in range(300)]
+    texts = [" ".join(rng.choices(words[:150] if i < 200 else words[::-1], weights[:150] if i < 200 else weights, k=rng.randint(0, 40))) for i in range(400)]
+    flat = [f"u{i} v{i}" for i in range(400)]
+    monkeypatch.setattr(tfidf, "SLICE", 10)
+    monkeypatch.setattr(tfidf, "TALLIED", 600)
+    asked = []
+    for name in ("recounted", "term_totals"):
+        monkeypatch.setattr(tfidf, name, lambda *a, f=getattr(tfidf, name), name=name: asked.append(name) or f(*a))
+    for rows, path, told in ((texts, "recounted", 8), (texts, "term_totals", 1), (flat, "term_totals", 8)):
+        monkeypatch.setattr(tfidf, "TOLD", told)
+        df = spark.createDataFrame(list(enumerate(rows)), "id long, text string").coalesce(2)
+        n = tfidf.doc_count(df)
+        for ngrams, min_df in (((1, 1), 1), ((1, 2), 2), ((2, 2), 1)):
+            want = tfidf.fit_vocabulary(tfidf.term_counts(df, "id", "text", ngrams), n, min_df, 20)
+            asked.clear()
+            got = tfidf.vocabulary_of(tfidf.frequent_totals(df, "text", ngrams, min_df, 20), n, min_df, 20)
+            assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+            if ngrams == (1, 2):
+                assert asked == [path]
