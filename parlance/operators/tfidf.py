@@ -4,8 +4,9 @@ Documents become ``(id, term, tf)`` rows: tokens are exploded inside the scan
 stage and counted with a partial (map-side) aggregate, so only distinct
 (doc, term) pairs cross the shuffle. Document frequencies are a second
 partial aggregate; a hot term is combined map-side like any other. Where only the
-totals by term are wanted (``term_totals``, the classifiers' vocabulary), a task
-sorts its terms as numbers in numpy and sends its distinct terms alone; the
+totals by term are wanted (``term_totals``), a task sorts its terms as numbers in numpy
+and sends its distinct terms alone, and where the most frequent ones are
+(``frequent_totals``, the classifiers' vocabulary) those that may be among them; the
 training sets' vectors (``weighed``) are made of such numbers too.
 
 Weights follow the smooth IDF of the common vectorizer:
