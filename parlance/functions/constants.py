@@ -108,6 +108,8 @@ ML_ROWS_PER_PARTITION = 50_000
 ML_LEAST_ROWS_PER_TASK = 5_000
 # A tree's pass reads all terms of a row, present or not: a row costs some 25 times as much.
 ML_TREE_ROWS_PER_PARTITION = 2_000
+# Up to so many rows Spark's own tree, with fewer jobs a level, is the faster one.
+ML_DENSE_TREE_ROWS = 2_000
 
 # Largest counted class dimension joined by broadcast.
 DIMENSION_BROADCAST_ROWS = 100_000

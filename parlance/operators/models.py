@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.util import inheritable_thread_target
 
 from parlance.functions import constants as K
-from parlance.operators import features, metrics
+from parlance.operators import features, metrics, trees
 from parlance.session import scratch_path
 from parlance.sources.landing import stored
 
@@ -80,12 +80,20 @@ def evaluate(model, test: DataFrame, label: str = "label", name: str = "model",
 
 
 def fitted(estimator, rows: DataFrame, n_rows: int):
-    """``estimator`` fitted on ``rows``. A tree reads every term of a row, present or
-    not, in every pass: its rows are dealt over the cores where a sparse fit would
-    do with one partition."""
+    """``estimator`` fitted on ``rows``. Spark's own tree reads every term of a row, present
+    or not, in every pass: it grows the trees of few rows, which are dealt over the cores
+    where a sparse fit would do with one partition; ``trees`` grows the same tree of more
+    rows from the terms present."""
+    if by_columns(estimator, rows, n_rows):
+        return trees.fit([estimator], rows)[0]
     return estimator.fit(dealt(rows, n_rows) if isinstance(estimator, DecisionTreeClassifier) else rows)
 
 
+def by_columns(estimator, rows: DataFrame, n_rows: int) -> bool:
+    """Whether a tree of so many rows is grown from its rows' entries."""
+    return trees.fits(estimator, rows) and n_rows > K.ML_DENSE_TREE_ROWS
+
+
 def tree_tasks(spark, n_rows: int) -> int:
     """Tasks that a tree's pass over ``n_rows`` rows is worth."""
     return max(1, min(spark.sparkContext.defaultParallelism, -(-n_rows // K.ML_TREE_ROWS_PER_PARTITION)))
@@ -133,19 +141,26 @@ def cross_validate(estimator, data: DataFrame, grid=None, folds: int = K.CV_FOLD
         others = tuple(sorted((p.name, v) for p, v in point.items() if p.name != "maxDepth"))
         groups.setdefault(others if is_tree else (i,), []).append(i)
 
-    def measured(k: int, points: list[int]) -> list[tuple[int, int, float]]:
+    sparse = by_columns(estimator, data, n - max(sizes.values()))
+
+    def measured(k: int, sets: list[list[int]]) -> list[tuple[int, int, float]]:
         rows, held = data.where(F.col(fold_col) != k), data.where(F.col(fold_col) == k)
         if not is_tree:
             ev = MulticlassClassificationEvaluator(labelCol=label, predictionCol="prediction", metricName="f1")
-            return [(k, i, ev.evaluate(estimator.fit(rows, grid[i]).transform(held))) for i in points]
-        own = [estimator.copy(grid[i]) for i in points]
-        depths = [e.getMaxDepth() for e in own]
-        model = fitted(own[int(np.argmax(depths))], rows, n - sizes[k])
-        scores = f1_by_depth(model, held, depths, label)
-        return [(k, i, scores[d]) for i, d in zip(points, depths)]
-
-    workers = min(K.CV_PARALLELISM, max(2, spark.sparkContext.defaultParallelism // tree_tasks(spark, n))) if is_tree else K.CV_PARALLELISM
-    tasks = [lambda k=k, points=points: measured(k, points) for k in range(folds) for points in groups.values()]
+            return [(k, i, ev.evaluate(estimator.fit(rows, grid[i]).transform(held))) for points in sets for i in points]
+        deepest = [max((estimator.copy(grid[i]) for i in points), key=lambda e: e.getMaxDepth()) for points in sets]
+        grown = trees.fit(deepest, rows) if sparse else [fitted(e, rows, n - sizes[k]) for e in deepest]
+        out = []
+        for points, model in zip(sets, grown):
+            depths = [estimator.copy(grid[i]).getMaxDepth() for i in points]
+            scores = f1_by_depth(model, held, depths, label)
+            out += [(k, i, scores[d]) for i, d in zip(points, depths)]
+        return out
+
+    workers = min(K.CV_PARALLELISM, max(2, spark.sparkContext.defaultParallelism // tree_tasks(spark, n))) if is_tree and not sparse else K.CV_PARALLELISM
+    # The trees of a fold that are grown from its rows by feature share them.
+    shares = [[*groups.values()]] if sparse else [[points] for points in groups.values()]
+    tasks = [lambda k=k, sets=sets: measured(k, sets) for k in range(folds) for sets in shares]
     scores = np.zeros((folds, len(grid)))
     for found in side_by_side(spark, tasks, workers):
         for k, i, score in found:

@@ -12,7 +12,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import functions as F
 
-from parlance.operators import encode, external, features, models, splits, tfidf, turns
+from parlance.operators import encode, external, features, models, splits, tfidf, trees, turns
 from parlance.plans import feature_plans, model_plans
 from parlance.sources import modelstore
 from parlance.streaming import jobs
@@ -298,3 +298,61 @@ def test_vocabulary_of_the_terms_told_is_that_of_all_terms(spark, monkeypatch):
             assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
             if ngrams == (1, 2):
                 assert asked == [path]
+
+
+def _sparse_rows(spark, seed, n=500, features=30, classes=2):
+    """Sparse and dense vectors with negative values, equal ones and zeros that are written down."""
+    rng = random.Random(seed)
+
+    def vector():
+        if rng.random() < 0.2:
+            return Vectors.dense([rng.choice([0.0, 0.0, -1.0, rng.random()]) for _ in range(features)])
+        return Vectors.sparse(features, {i: (rng.random() - 0.3 if i % 3 else round(rng.random(), 1)) for i in sorted(rng.sample(range(features), rng.randint(0, 9)))})
+
+    rows = [(i, float(rng.randrange(classes)), i % 3, vector()) for i in range(n)]
+    return spark.createDataFrame(rows, ["id", "label", "fold", "features"]).repartition(3)
+
+
+def _saved_nodes(spark, model, path):
+    model.write().overwrite().save(str(path))
+    return [tuple(r) for r in spark.read.parquet(f"{path}/data").orderBy("id").collect()]
+
+
+def test_trees_by_columns_are_sparks_node_for_node(spark, monkeypatch, tmp_path):
+    """Trees of several depths and leaf sizes grown side by side, in one block of features
+    and in several, equal Spark's own: splits, gains, counts, pruning."""
+    for seed, block, chunk in ((0, trees.BLOCK, trees.CHUNK), (1, 2000, 300)):
+        monkeypatch.setattr(trees, "BLOCK", block)
+        monkeypatch.setattr(trees, "CHUNK", chunk)
+        monkeypatch.setattr(trees, "DENSE", 0 if seed else 4)
+        rows = _sparse_rows(spark, seed, classes=2 + seed).cache()
+        asked = [models.tree(depth=d, leaf=leaf) for d, leaf in ((3, 1), (12, 2), (30, 1))]
+        for est, got in zip(asked, trees.fit(asked, rows)):
+            want = est.fit(rows)
+            assert _saved_nodes(spark, got, tmp_path / "a") == _saved_nodes(spark, want, tmp_path / "b")
+            assert (got.numFeatures, got.numClasses, got.depth, got.getMaxDepth()) == (want.numFeatures, want.numClasses, want.depth, want.getMaxDepth())
+    alike = spark.createDataFrame([(float(i % 2), Vectors.sparse(3, {})) for i in range(6)], ["label", "features"])
+    assert trees.fit([models.tree()], alike)[0].numNodes == 1
+    fine = (0.0, Vectors.dense([1.0]))
+    for odd in ((None, Vectors.dense([1.0])), (0.5, Vectors.dense([1.0])), (1.0, None)):
+        with pytest.raises(ValueError):
+            trees.fit([models.tree()], spark.createDataFrame([fine, odd], ["label", "features"]))
+    with pytest.raises(ValueError):
+        trees.fit([models.tree()], spark.createDataFrame([fine], ["label", "features"]).limit(0))
+
+
+def test_a_larger_grid_is_grown_from_columns_and_scores_alike(spark, monkeypatch):
+    """Above the rows that Spark's own tree is for, no fold is made dense, a fold's trees
+    share its columns, and the scores are those of Spark's trees."""
+    rows = _sparse_rows(spark, 4).cache()
+    dt = models.tree()
+    grid = ParamGridBuilder().addGrid(dt.maxDepth, [3, 8]).addGrid(dt.minInstancesPerNode, [1, 4]).build()
+    want = models.cross_validate(dt, rows, grid, 3)
+    monkeypatch.setattr(models.K, "ML_DENSE_TREE_ROWS", 100)
+    made, make = [], trees.columns_of
+    monkeypatch.setattr(trees, "columns_of", lambda *a: made.append(1) or make(*a))
+    monkeypatch.setattr(models, "dealt", lambda *a: pytest.fail("a tree of many rows was made dense"))
+    got = models.cross_validate(dt, rows, grid, 3)
+    assert len(made) == 3 + 1  # the folds, all rows for the best one
+    assert got.avgMetrics == want.avgMetrics and got.stdMetrics == want.stdMetrics
+    assert got.bestModel.toDebugString.split("\n")[1:] == want.bestModel.toDebugString.split("\n")[1:]
